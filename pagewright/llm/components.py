@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps, each a shuffle of edges."""
+"""Connected components by contracting every node into its least neighbour, again and again."""
 
 from __future__ import annotations
 
@@ -8,28 +8,26 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links every node's neighbours to the least of them: larger neighbours, or smaller ones and the node itself."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    near = both if large else both.where("v < u")
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")) if large else near.groupBy("u").agg(F.min("v").alias("m"))
-    found = near.join(least, "u")
-    if large:
-        return found.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    return found.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node that links reach) for every node of edges (a, b); links to itself add nothing.
+    """node, component (the least node that links reach) for every node of edges (a, b); a link of a node to itself adds nothing.
 
-    Rounds are few (the logarithm of the longest chain); each is written to
-    shared storage and read again, so no round is repeated if executors go.
+    A round maps each node to the least of itself and its neighbours and maps
+    the links' ends along; links within a new node go. Rounds are few (stars
+    take one or two, a chain the logarithm of its length), none collects
+    anything, and each is written to shared storage, so that no round is
+    repeated if executors go.
     """
-    now = written(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct())
-    seen = None
+    left = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    rounds = []
     while True:
-        now = written(_star(_star(now, True), False))
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        seen = state
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to")))
+        rounds.append(least)
+        to_a, to_b = (least.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
+        left = written(left.join(to_a, "a").join(to_b, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
+        if left.isEmpty():
+            break
+    found = rounds[0].withColumnRenamed("to", "component")
+    for least in rounds[1:]:
+        found = found.join(least.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return found

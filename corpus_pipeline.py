@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import neardup, substrings
+from pagewright.llm import bpe, decontamination, neardup, quality, substrings
 from pagewright.llm.common import spread, table, written
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier trained on the labels accepts."""
+    docs = spread(docs)
+    return quality.accepted(docs, *quality.trained(docs, table(spark, sf_dir, "labels"), F.lit(True)))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near copies."""
     return neardup.without_near_copies(spread(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that repeat."""
     return substrings.deduplicated(spread(docs))
 
 
-STAGES = [("minhash near-dedup", near_dedup), ("substring dedup", substring_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.decontaminated(spread(docs), table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of each document's ids and of the text decoded from them."""
+    return bpe.digests(spread(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("minhash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("byte-level bpe", encode),
+]
 
 #: The classifier's scores and the tokenizer's ids can't be had from SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -7,33 +7,71 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, neardup, substrings, urls
+import public_tokenizers
+
+from . import bpe, decontamination, fingerprints, licenses, neardup, ppm, quality, substrings, urls, webpages
 from .common import spread, table
 
 #: The rules of the URL query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+#: Rows that the classifier may not learn a label from, and those that the language model may not learn from.
+UNSEEN_LABEL = "pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1"
+UNSEEN_TEXT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ppm.scored(table(spark, sf_dir, "documents"), ~F.expr(UNSEEN_TEXT))
+    return found.select("doc_id", F.expr(UNSEEN_TEXT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict by the longest rule that covers its URL; allow where none does."""
     listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judged(table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.trained(docs, table(spark, sf_dir, "labels"), ~F.expr(UNSEEN_LABEL))
+    return quality.scored(docs, *model).select("doc_id", F.expr(UNSEEN_LABEL).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("expressions")
+    return licenses.scan(documents(spark, sf_dir)).drop("expressions")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webpages.extracted(spread(table(spark, sf_dir, "pages")))
+
+
+def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(documents(spark, sf_dir))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.without_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = substrings.without_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha256")).alias("kept_sha256"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return neardup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_url_filter, op6_license_scan, op9_substring_dedup, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ppm_scoring, op2_byte_bpe, op3_url_filter, op4_decontamination, op5_quality_classifier, op6_license_scan, op7_html_extraction, op8_imatch_fingerprints, op9_substring_dedup, op10_minhash_near_dedup)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

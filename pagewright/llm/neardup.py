@@ -31,7 +31,7 @@ from .components import components
 
 SHINGLE, SLOTS, CHUNKS, DISTANCE = 5, 48, 16, 31
 #: Rows that one task of a comparison holds of either side.
-LEFT, RIGHT = 256, 1024
+LEFT, RIGHT = 512, 1024
 
 
 def shingles(numbers: WordNumbers, text: bytes, size: int) -> np.ndarray:
@@ -189,10 +189,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int]
     each = known.groupBy("key", "component").agg(F.count("*").alias("m"))
     split = each.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("m", "component")).alias("most")).where("k > 1")
     known = written(known.join(split, "key").select("key", "doc_id", "component", "hub", "most"))
-    owners = known.where("component <> most").groupBy("doc_id").agg(F.min("hub").alias("hub"))
-    owners = _parts(owners, ["hub"], LEFT, "row").select("doc_id", F.struct("hub", "row").alias("block"))
-    lefts = written(owners)
-    asked = known.where("component <> most").join(lefts, "doc_id").select("block", "key").distinct()
+    owned = known.where("component <> most").select("key", "doc_id", F.expr("min(hub) over (partition by doc_id)").alias("first_hub"))
+    sized = owned.groupBy("first_hub").agg(F.ceil(F.countDistinct("doc_id") / LEFT).alias("n_parts"))
+    owned = written(owned.join(sized, "first_hub").select("key", "doc_id", F.struct("first_hub", F.pmod(F.xxhash64("doc_id"), F.col("n_parts")).alias("row")).alias("block")))
+    lefts = owned.select("doc_id", "block").distinct()
+    asked = owned.select("block", "key").distinct()
     rights = asked.join(known.select("key", "doc_id"), "key").select("block", "doc_id").distinct()
     rights = written(_parts(rights, ["block"], RIGHT, "part").select("block", "part", "doc_id", F.lit(False).alias("is_left")))
     lefts = rights.select("block", "part").distinct().join(lefts, "block").select("block", "part", "doc_id", F.lit(True).alias("is_left"))

@@ -26,7 +26,7 @@ from .common import MIX_1, MIX_2, WordNumbers, map_arrow, mixed, released, texts
 #: Shares of all documents that a term of the lexicon is in.
 BAND = (0.0005, 0.2)
 #: One term in so many is in a subset of each level, and subsets of a level.
-RATES, SUBSETS = (2, 8, 32, 128), 12
+RATES, SUBSETS = (2, 8, 32, 128, 512), 12
 #: Subsets with parts on both sides that a level needs to be compared.
 LEAST_PARTS = 3
 
@@ -44,8 +44,9 @@ class Subsets:
     @staticmethod
     def _member(terms: np.ndarray) -> np.ndarray:
         bits = np.zeros((len(terms), len(RATES) * SUBSETS), bool)
-        for k in range(bits.shape[1]):
-            bits[:, k] = mixed(terms ^ (np.uint64(k + 1) * MIX_2)) % np.uint64(RATES[k // SUBSETS]) == 0
+        seeds = np.arange(1, bits.shape[1] + 1, dtype=np.uint64) * MIX_2
+        for k, seed in enumerate(seeds):
+            bits[:, k] = mixed(terms ^ seed) % np.uint64(RATES[k // SUBSETS]) == 0
         return bits
 
     def fingerprint(self, terms: np.ndarray) -> str:

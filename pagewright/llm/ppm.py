@@ -32,7 +32,7 @@ from .common import WordNumbers, map_arrow, texts, written
 
 ORDER = 5
 #: Bytes of text in a block, and of those handled at a time.
-BLOCK_BYTES, PIECE_BYTES = 24_000_000, 3_000_000
+BLOCK_BYTES, PIECE_BYTES = 40_000_000, 3_000_000
 END, BEFORE, BITS = 256, 257, 9
 #: Symbols that may follow a context.
 SYMBOLS = 257
@@ -110,15 +110,15 @@ def costs(counts: DataFrame, order: int) -> DataFrame:
     """string, cost: log10 of what the model gives each string's last symbol after the others. counts: (string, n), n may be 0."""
     levels = [counts]
     for k in range(order, 0, -1):
-        levels.append(levels[-1].groupBy(_shorter(F.col("string"), k).alias("string")).agg(F.sum("n").alias("n")))
+        levels.append(written(levels[-1].groupBy(_shorter(F.col("string"), k).alias("string")).agg(F.sum("n").alias("n"))))
     levels.reverse()
     # all_n, q: symbols and distinct symbols seen after the string's context; escaped: cost of the last symbol given that this context is left.
     total = levels[0].agg(F.sum("n").alias("all_n"), F.count_if(F.col("n") > 0).alias("q"))
     low = levels[0].join(F.broadcast(total)).withColumn("escaped", -F.log10(F.greatest(F.lit(1.0), F.lit(float(SYMBOLS)) - F.col("q"))))
     for k in range(1, order + 1):
         below = low.select(F.col("string").alias("short"), F.col("n").alias("low_n"), F.col("all_n").alias("low_all"), F.col("q").alias("low_q"), F.col("escaped").alias("low_escaped"))
-        if k <= 2:
-            below = below.hint("broadcast") if k == 1 else below
+        if k == 1:
+            below = F.broadcast(below)  # SYMBOLS rows at most
         both = levels[k].withColumn("short", _shorter(F.col("string"), k)).join(below, "short")
         over = "(partition by shiftright(string, %d))" % BITS
         both = both.selectExpr("string", "n", "low_n", "low_all", "low_q", "low_escaped", f"sum(n) over {over} as all_n", f"count_if(n > 0) over {over} as q", f"sum(if(n > 0, low_n, 0)) over {over} as known")
@@ -129,6 +129,7 @@ def costs(counts: DataFrame, order: int) -> DataFrame:
             .otherwise(F.log10(rest_q / (2.0 * rest_n)) + F.col("low_escaped"))
         )
         low = both.select("string", "n", "all_n", "q", escaped.alias("escaped"))
+        low = low if k == order else written(low)
     cost = F.when(F.col("all_n") == 0, F.col("escaped")).when(F.col("n") > 0, F.log10((2 * F.col("n") - 1) / (2.0 * F.col("all_n")))).otherwise(F.log10(F.col("q") / (2.0 * F.col("all_n"))) + F.col("escaped"))
     return low.select("string", cost.alias("cost"))
 
@@ -153,13 +154,14 @@ def scored(docs: DataFrame, training: Column, order: int = ORDER, block_bytes: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     blocks, n = blocks_of(docs, block_bytes)
     asked = written(_counted(blocks.repartition(n, "doc_id").select("block", "training", "text"), order))
-    cost = costs(asked.where(F.col("kind") == STRING).groupBy(F.col("key").alias("string")).agg(F.sum("n").alias("n")), order)
-    words = written(asked.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"))
+    counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    cost = costs(counts.where(F.col("kind") == STRING).select(F.col("key").alias("string"), "n"), order)
+    words = counts.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
     ends = docs.where("training").count()
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = int(totals[0]) + ends, totals[1] + (ends > 0)
     least, end_cost = float(np.log10(1 / (tokens + distinct + 1))), float(np.log10((ends + 1) / (tokens + distinct + 1)))
-    values = cost.select(F.lit(STRING).alias("kind"), F.col("string").alias("key"), F.col("cost").alias("value")).union(words.select(F.lit(WORD), "key", F.log10(F.col("n") + 1.0)))
+    values = written(cost.select(F.lit(STRING).alias("kind"), F.col("string").alias("key"), F.col("cost").alias("value")).union(words.select(F.lit(WORD), "key", F.log10(F.col("n") + 1.0))))
     answers = asked.select("block", "kind", "key").join(values, ["kind", "key"])
 
     def add_up(key, own, found):

@@ -1,8 +1,9 @@
 """Byte-level BPE by recursive DuckDB queries in each partition.
 
-A partition's distinct words become rows (word, place, token), one a byte. A
-recursive query joins neighbouring tokens with the merge table and contracts
-each word's leftmost pair of least rank, until no word has such a pair left.
+A partition's distinct words become lists of tokens, one a byte. A recursive
+query unnests them to rows (word, place, token, following token), joins these
+with the merge table and contracts each word's leftmost pair of least rank,
+until no word has such a pair left.
 Ordered aggregation gives a word's ids, and its bytes again from the ids.
 Documents are then put together from their words.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import texts_of
 
-LONG_WORD = 400
+LONG_WORD = 1000
 #: Text taken at a time, and words that are remembered; both bound a task's memory.
 BATCH_CHARS, REMEMBERED = 8_000_000, 600_000
 #: Words in one recursive query.
@@ -36,22 +37,23 @@ QUERY_WORDS = 20_000
 WHITE = "\t-\r \x85\xa0  -     　"
 
 ENCODE = """
-WITH RECURSIVE t(w, p, tok, done) AS (
-  SELECT w, p, tok, false FROM start_rows
+WITH RECURSIVE t(w, toks, done) AS (
+  SELECT w, toks, false FROM start_words
   UNION ALL
-  SELECT w, p, CASE WHEN score = least THEN CAST(score // 1048576 AS INTEGER) ELSE tok END, least IS NULL
-  FROM (
-    SELECT *, lag(score) OVER (PARTITION BY w ORDER BY p) AS before
-    FROM (
-      SELECT *, min(score) OVER (PARTITION BY w) AS least
-      FROM (
-        SELECT x.w, x.p, x.tok, CAST(m.made AS BIGINT) * 1048576 + x.p AS score
-        FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY p) AS following FROM t WHERE NOT done) x
-        LEFT JOIN merges m ON m.first = x.tok AND m.second = x.following)))
-  WHERE least IS NULL OR before IS NULL OR before <> least
-)
-SELECT w, list(tok ORDER BY p) AS ids, unhex(string_agg(hex(bytes), '' ORDER BY p)) AS decoded
-FROM t JOIN vocabulary ON id = tok WHERE done GROUP BY w
+  SELECT t.w,
+    CASE WHEN b.least IS NULL THEN t.toks ELSE t.toks[1:(b.least & 1048575) - 1] || [CAST(b.least >> 20 AS INTEGER)] || t.toks[(b.least & 1048575) + 2:] END,
+    b.least IS NULL
+  FROM t LEFT JOIN (
+    SELECT x.w, min((CAST(m.made AS BIGINT) << 20) | x.p) AS least
+    FROM (SELECT w, unnest(range(1, len(toks))) AS p, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS following FROM t WHERE NOT done) x
+    JOIN merges m ON m.first = x.tok AND m.second = x.following
+    GROUP BY x.w) b ON b.w = t.w
+  WHERE NOT t.done
+), final AS (SELECT w, toks FROM t WHERE done),
+texts AS (
+  SELECT w, unhex(string_agg(hex(bytes), '' ORDER BY p)) AS decoded
+  FROM (SELECT w, unnest(toks) AS id, unnest(range(1, len(toks) + 1)) AS p FROM final) JOIN vocabulary USING (id) GROUP BY w)
+SELECT w, toks AS ids, decoded FROM final JOIN texts USING (w)
 """
 
 
@@ -90,8 +92,9 @@ class Encoder:
         for at in range(0, len(rows), QUERY_WORDS):
             part = rows[at : at + QUERY_WORDS]
             sizes = np.array([len(w) for w in part])
-            places = np.arange(sizes.sum()) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-            start_rows = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "p": places.astype(np.int32), "tok": self.of_byte[np.frombuffer(b"".join(part), np.uint8)]})  # noqa: F841  read by the query
+            ends = np.cumsum(np.r_[0, sizes]).astype(np.int32)
+            toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.of_byte[np.frombuffer(b"".join(part), np.uint8)]))
+            start_words = pa.table({"w": pa.array(np.arange(len(part), dtype=np.int32)), "toks": toks})  # noqa: F841  read by the query
             found = self.db.sql(ENCODE).to_arrow_table()
             ids = found.column("ids").combine_chunks()
             flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()

@@ -17,6 +17,7 @@ has BITMAP bits whatever the benchmark's size, and only saves work.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,59 +39,74 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal s sec min
 _MARKS = "\"'`.,;:!?()[]{}<>«»“”‘’„…*_~|/\\#&%$€£+=-–—"
 _NUMBER = re.compile(r"[$€£+\-]?\d[\d.,:/%\-]*\Z")
 _NUMBER_UNIT = re.compile(r"([$€£+\-]?\d[\d.,]*)([^\W\d_]+)\Z")
-_ENDS = re.compile(r"[.!?…:]['\")\]»”]*\Z")
+_ENDS, _CLOSERS = frozenset(".!?…:"), "'\")]»”"
 
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _TYPE = mixed(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-class Words:
-    """What each word stands for, remembered for up to 300,000 of them: template and value numbers, type, and whether it ends a sentence or looks like a name."""
+ENDS, CAPITAL, EMPTY = 8, 16, 32
 
-    def __init__(self):
-        self.clear()
 
-    def clear(self):
-        self.at: dict[str, int] = {}
-        self.rows: list[tuple[int, int, int, bool, bool, bool]] = []
-        self.arrays = None
+class Words(dict):
+    """What each word stands for: its number here leads to a template, a value and flags (type, sentence end, capital, marks only). Up to REMEMBERED words are kept."""
+
+    REMEMBERED = 600_000
+
+    def __init__(self):
+        super().__init__()
+        self.templates: list[int] = []
+        self.values: list[int] = []
+        self.flags: list[int] = []
+        self.arrays = tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.uint8))
 
-    def _row(self, word: str) -> tuple[int, int, int, bool, bool, bool]:
+    def __missing__(self, word: str) -> int:
         core = word.strip(_MARKS)
-        ends = bool(_ENDS.search(word))
+        flags = ENDS if word.rstrip(_CLOSERS)[-1:] in _ENDS else 0
         if not core:
-            return 0, 0, PLAIN, False, ends, True
-        low = core.lower()
-        value = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
-        if _NUMBER.match(core) or _NUMBER_UNIT.match(core):
-            return int(_TYPE[NUMBER]), value, NUMBER, False, ends, False
-        if low in UNITS:
-            return int(_TYPE[UNIT]), value, UNIT, False, ends, False
-        return value, value, PLAIN, core[0].isupper() and core[1:].islower(), ends, False
+            template = value = 0
+            flags |= EMPTY
+        else:
+            low = core.lower()
+            template = value = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
+            if core[0].isdigit() and (_NUMBER.match(core) or _NUMBER_UNIT.match(core)):
+                template, flags = int(_TYPE[NUMBER]), flags | NUMBER
+            elif low in UNITS:
+                template, flags = int(_TYPE[UNIT]), flags | UNIT
+            elif core[0].isupper() and core[1:].islower():
+                flags |= CAPITAL
+        n = self[word] = len(self.flags)
+        self.templates.append(template)
+        self.values.append(value)
+        self.flags.append(flags)
+        return n
 
     def of(self, each: list[list[str]]):
-        """Templates, values, types and texts (their numbers) of the words of several texts that have more than marks."""
-        words = [w for ws in each for w in ws]
-        sizes = np.array([len(ws) for ws in each], np.int64)
-        if len(self.at) > 300_000:
+        """Of several texts' words that have more than marks: templates; all values, and where each word's is; types; and texts' numbers."""
+        if len(self) > self.REMEMBERED:
             self.clear()
-        at, rows = self.at, self.rows
-        for w in set(words) - at.keys():
-            at[w] = len(rows)
-            rows.append(self._row(w))
-        if self.arrays is None or len(self.arrays[0]) != len(rows):
-            known = 0 if self.arrays is None else len(self.arrays[0])
-            cols = list(zip(*rows[known:], strict=True))
-            new = [np.array(c, t) for c, t in zip(cols, (np.uint64, np.uint64, np.int8, bool, bool, bool), strict=True)]
-            self.arrays = new if known == 0 else [np.concatenate(p) for p in zip(self.arrays, new, strict=True)]
-        if not words:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.int64)
-        template, value, kind, cap, ends, empty = (a[np.fromiter(map(at.__getitem__, words), np.int64, len(words))] for a in self.arrays)
-        owner = np.repeat(np.arange(len(each)), sizes)
-        begins = np.r_[True, ends[:-1] | (owner[1:] != owner[:-1])]
-        name = cap & ~begins
-        keep = ~empty
-        return np.where(name, _TYPE[NAME], template)[keep], value[keep], np.where(name, NAME, kind)[keep], owner[keep]
+            self.__init__()
+        sizes = np.array([len(ws) for ws in each], np.int64)
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(each)), np.int32, int(sizes.sum()))
+        known = len(self.arrays[2])
+        if known < len(self.flags):
+            new = (np.array(x[known:], a.dtype) for x, a in zip((self.templates, self.values, self.flags), self.arrays, strict=True))
+            self.arrays = tuple(np.concatenate(p) for p in zip(self.arrays, new, strict=True))
+        templates, values, flags = self.arrays
+        flags = flags[at]
+        owner = np.repeat(np.arange(len(each), dtype=np.int32), sizes)
+        begins = np.ones(len(at), bool)
+        begins[1:] = (flags[:-1] & ENDS > 0) | (owner[1:] != owner[:-1])
+        name = (flags & CAPITAL > 0) & ~begins
+        kind = flags & 3
+        kind[name] = NAME
+        template = templates[at]
+        template[name] = _TYPE[NAME]
+        empty = flags & EMPTY > 0
+        if empty.any():
+            keep = ~empty
+            return template[keep], values, at[keep], kind[keep], owner[keep]
+        return template, values, at, kind, owner
 
 
 def _pattern(values: np.ndarray) -> bytes:
@@ -109,9 +125,9 @@ def _runs(rows: DataFrame, key: str, sizes: list[int] | None, bitmap: np.ndarray
         def run(batch):
             out = {k: [] for k in (key, "n", "size", "window", "place", "pattern", "slots")}
             ids, all_texts = batch.column(key).to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(ids), 200):
-                template, value, kind, owner = words.of([(t or "").split() for t in all_texts[at : at + 200]])
-                counts = np.bincount(owner, minlength=len(ids[at : at + 200]))
+            for at in range(0, len(ids), 1000):
+                template, values, word, kind, owner = words.of([(t or "").split() for t in all_texts[at : at + 1000]])
+                counts = np.bincount(owner, minlength=len(ids[at : at + 1000]))
                 first = np.cumsum(counts) - counts
                 slots_in = np.cumsum(np.r_[0, kind != PLAIN])
                 for size in sizes or sorted(set(np.minimum(counts, WINDOW).tolist())):
@@ -125,7 +141,7 @@ def _runs(rows: DataFrame, key: str, sizes: list[int] | None, bitmap: np.ndarray
                         bit = found % np.uint64(BITMAP)
                         ok &= (shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
                     for k in np.flatnonzero(ok).tolist():
-                        mine, doc = value[k : k + size][kind[k : k + size] != PLAIN], int(owner[k])
+                        mine, doc = values[word[k : k + size]][kind[k : k + size] != PLAIN], int(owner[k])
                         for name, v in ((key, ids[at + doc]), ("n", int(counts[doc])), ("size", size), ("window", int(found[k : k + 1].view(np.int64)[0])), ("place", k - int(first[doc])), ("pattern", _pattern(mine)), ("slots", mine.view(np.int64).tolist())):
                             out[name].append(v)
             kinds = {key: pa.int64(), "n": pa.int32(), "size": pa.int32(), "window": pa.int64(), "place": pa.int32(), "pattern": pa.binary(), "slots": pa.list_(pa.int64())}

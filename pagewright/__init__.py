@@ -1 +1,11 @@
-"""Document-text analytics on Spark DataFrames."""
+"""Document-text analytics on Spark DataFrames.
+
+The package is pickled by value, so that executors need no copy of it on their
+import path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -47,8 +47,11 @@ FORM = r"निवेदन|Application|फारम|Form|दरखास्त|
 DOCUMENT_CLASSES = ("legal_act", "legal_circular", "financial_statement", "audit_report", "book", "newspaper", "form", "general")
 
 
-def document_scores(text: Column, pages: Column = F.lit(0), columns: Column = F.lit(False), family: Column = F.lit("unknown")) -> dict[str, Column]:
+def document_scores(text: Column, pages: Column | None = None, columns: Column | None = None, family: Column | None = None) -> dict[str, Column]:
     """Points of each class: key words, length, columns and the dominant font's family."""
+    pages = F.lit(0) if pages is None else pages
+    columns = F.lit(False) if columns is None else columns
+    family = F.lit("unknown") if family is None else family
     has = lambda p: text.rlike(f"(?i){p}")
     n = lambda p: F.regexp_count(text, F.lit(f"(?i){p}"))
     points = lambda cond, k: F.when(cond, k).otherwise(0)
@@ -102,8 +105,9 @@ def list_marker(c: Column) -> Column:
     return stripped(F.when(plain != "", plain).otherwise(F.regexp_extract(c, f"(?U){NESTED_START}", 0)))
 
 
-def element_class(text: Column, size: Column, body_size: Column, bold: Column, before: Column = F.lit(None).cast("string")) -> Column:
+def element_class(text: Column, size: Column, body_size: Column, bold: Column, before: Column | None = None) -> Column:
     """A page element's class by size, beginning and what stands before it (figure or table)."""
+    before = F.lit(None).cast("string") if before is None else before
     t = stripped(text)
     ratio = F.when((size > 0) & (body_size > 0), size / body_size)
     short_bold = ratio.isNotNull() & bold & (F.length(t) < 100) & looks_like_heading(t)
@@ -152,8 +156,9 @@ def ocr_eligible(kind: Column, contains_text: Column, contains_image: Column) ->
     return ~never & contains_image & ~contains_text
 
 
-def route(kind: Column, *, contains_text: Column, contains_image: Column, contains_table: Column, encoding: Column, mixed: Column, has_legacy: Column, has_unicode: Column, legacy_font: Column, force_ocr: Column = F.lit(False)) -> Column:
+def route(kind: Column, *, contains_text: Column, contains_image: Column, contains_table: Column, encoding: Column, mixed: Column, has_legacy: Column, has_unicode: Column, legacy_font: Column, force_ocr: Column | None = None) -> Column:
     """How a block is read; the first rule that fits decides."""
+    force_ocr = F.lit(False) if force_ocr is None else force_ocr
     unicode_font = has_unicode | encoding.isin("unicode", "mixed")
     ink = ocr_eligible(kind, contains_text, contains_image)
     return (
@@ -185,8 +190,10 @@ def is_footnote(text: Column, size: Column, y0: Column, page_h: Column) -> Colum
     return (size > 0) & (size < 9) & (t.rlike(r"(?U)\A[\d*†‡¹²³⁴⁵⁶⁷⁸⁹⁰]+[.)]\s") | (t.rlike(r"(?U)\A\d+\s") & (y0 > page_h * 0.8)))
 
 
-def zone_probabilities(text: Column, rel_y: Column, size: Column = F.lit(0.0), body_size: Column = F.lit(10.0)) -> Column:
+def zone_probabilities(text: Column, rel_y: Column, size: Column | None = None, body_size: Column | None = None) -> Column:
     """struct of probabilities that an element is header, footer, body, page number or footnote, summing to 1."""
+    size = F.lit(0.0) if size is None else size
+    body_size = F.lit(10.0) if body_size is None else body_size
     t = stripped(text)
     has, n = t != "", F.length(t)
     top, bottom, low = rel_y < 0.08, rel_y > 0.92, (rel_y > 0.80) & (rel_y <= 0.92)

@@ -103,7 +103,7 @@ def word_likelihood(c: Column) -> Column:
 def grammar_repaired(c: Column, rounds: int = 5) -> Column:
     """Five rewrites, repeated: signs at a word's start, repeated signs, halants behind signs, several halants, halants at a word's end."""
     for _ in range(rounds):
-        c = F.regexp_replace(c, f"\\A[{MATRA}{HALANT}]", "")
+        c = F.regexp_replace(c, rf"(?U)\A[{SPACE}]?[{MATRA}{HALANT}]", "")
         c = F.regexp_replace(c, rf"(?U)[{SPACE}][{MATRA}{HALANT}]", " ")
         c = F.regexp_replace(c, f"([{MATRA}])\\1+", "$1")
         c = F.regexp_replace(c, f"([{MATRA}]){HALANT}", "$1")

@@ -63,7 +63,8 @@ def mixed_numbers(c: Column, most: int = 3) -> Column:
     return _issues("warning", "number", F.slice(_all(c, MIXED_DIGITS, 0), 1, most))
 
 
-def all_issues(c: Column, domain: Column = F.lit("general")) -> Column:
+def all_issues(c: Column, domain: Column | None = None) -> Column:
+    domain = F.lit("general") if domain is None else domain
     c = F.coalesce(c, F.lit(""))
     none = F.filter(mixed_numbers(c), lambda x: F.lit(False))
     legal = F.when(domain.isin("legal", "government"), missing_sections(c)).otherwise(none)

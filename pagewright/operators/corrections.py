@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def store(events: DataFrame) -> DataFrame:
     """original, font, domain, corrected, n, confidence, last_seen: one row a key, with the first correction and the most confidence.
 
-    events: (event_id, at, original, corrected, font, domain, confidence).
+    events: (event_id, seen_at, original, corrected, font, domain, confidence).
     """
-    return events.groupBy("original", "font", "domain").agg(F.min_by("corrected", "event_id").alias("corrected"), F.count("*").alias("n"), F.max("confidence").alias("confidence"), F.max("at").alias("last_seen"))
+    return events.groupBy("original", "font", "domain").agg(F.min_by("corrected", "event_id").alias("corrected"), F.count("*").alias("n"), F.max("confidence").alias("confidence"), F.max("seen_at").alias("last_seen"))
 
 
 def merged(old: DataFrame, events: DataFrame) -> DataFrame:
@@ -22,15 +22,15 @@ def merged(old: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def confusions(events: DataFrame) -> DataFrame:
-    """wrong, right, n: characters exchanged in corrections of equal length."""
-    pairs = F.arrays_zip(F.split("original", "").alias("wrong"), F.split("corrected", "").alias("right"))
-    each = events.where(F.length("original") == F.length("corrected")).select(F.explode(pairs).alias("p")).select("p.wrong", "p.right")
-    return each.where("wrong <> right").groupBy("wrong", "right").agg(F.count("*").alias("n"))
+    """wrong, meant, n: characters exchanged in corrections of equal length."""
+    pairs = F.arrays_zip(F.split("original", "").alias("wrong"), F.split("corrected", "").alias("meant"))
+    each = events.where(F.length("original") == F.length("corrected")).select(F.explode(pairs).alias("p")).select("p.wrong", "p.meant")
+    return each.where("wrong <> meant").groupBy("wrong", "meant").agg(F.count("*").alias("n"))
 
 
 def common_confusions(events: DataFrame, top: int = 20) -> DataFrame:
     """The top confusions; the report has that many rows."""
-    return confusions(events).orderBy(F.desc("n"), "wrong", "right").limit(top)
+    return confusions(events).orderBy(F.desc("n"), "wrong", "meant").limit(top)
 
 
 def domain_words(events: DataFrame) -> DataFrame:

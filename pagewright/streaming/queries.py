@@ -27,7 +27,7 @@ def session_counts(events: DataFrame, at: str = "ts", gap: str = "30 minutes", l
 
 def correction_counts(events: DataFrame) -> DataFrame:
     """The store of corrections as a stream in update mode."""
-    return events.groupBy("original", "font", "domain").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"), F.max("at").alias("last_seen"))
+    return events.groupBy("original", "font", "domain").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"), F.max("seen_at").alias("last_seen"))
 
 
 def admitted(requests: DataFrame, most: int = 20, window_us: int = 60_000_000) -> DataFrame:

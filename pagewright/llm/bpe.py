@@ -34,7 +34,7 @@ BATCH_CHARS, REMEMBERED = 8_000_000, 600_000
 QUERY_WORDS = 20_000
 
 # The characters that \s stands for in the tokenizers' patterns.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 ENCODE = """
 WITH RECURSIVE t(w, toks, done) AS (

@@ -18,10 +18,10 @@ DEVANAGARI_DIGIT = "०-९"
 CONSONANT = "क-ह"
 MATRA = "ा-ौ"
 HALANT = "्"
-PRIVATE = "-"
+PRIVATE = "\ue000-\uf8ff"
 SPACE = r"\s\x1c-\x1f"
 # Replacement characters and boxes that stand for lost glyphs, and the private use area.
-CORRUPTION = "�￾￿□■▫▪◻◼☐☑☒▯▢◻◼⬜⬛" + PRIVATE
+CORRUPTION = "\ufffd\ufffe\uffff\u25a1\u25a0\u25ab\u25aa\u25fb\u25fc\u2610\u2611\u2612\u25af\u25a2\u25fb\u25fc\u2b1c\u2b1b" + PRIVATE
 
 
 def n_of(c: Column, characters: str) -> Column:
@@ -88,7 +88,7 @@ def tidy(c: Column) -> Column:
 
 def ocr_lines(c: Column) -> Column:
     """Zero-width characters out and each line's spaces to one; tabs part columns and stay."""
-    c = unix_lines(F.regexp_replace(c, "[​‌‍﻿]", ""))
+    c = unix_lines(F.regexp_replace(c, "[\u200b\u200c\u200d\ufeff]", ""))
     squeezed = lambda x: stripped(F.regexp_replace(x, rf"(?U)[{SPACE}&&[^\n]]+", " "))
     line = lambda x: F.array_join(F.transform(F.split(x, "\t"), squeezed), "\t")
     return stripped(F.array_join(F.transform(F.split(c, "\n"), line), "\n"))

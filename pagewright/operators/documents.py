@@ -52,7 +52,7 @@ def validation_report(pages: DataFrame, expected: DataFrame) -> DataFrame:
     quality = 100 - F.least(F.lit(30), 2 * F.col("private")) - F.when(F.col("has_legacy") & (F.col("chars") > 0) & (F.col("deva") / F.col("chars") < 0.2), 20).otherwise(0)
     checks = {
         "page_count": F.col("n_pages") >= F.col("expected_pages"),
-        "empty_pages": F.size("empty_pages") == 0,
+        "no_empty_pages": F.size("empty_pages") == 0,
         "encoding_quality": quality >= 60,
         "table_quality": F.col("empty_tables") == 0,
         "text_density": F.when((F.col("expected_pages") > 0) & (F.col("chars") > 0), F.col("chars") / F.col("expected_pages") >= 50),

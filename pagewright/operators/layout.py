@@ -70,7 +70,7 @@ def projection(elements: DataFrame, width: float, bins: int = 200) -> DataFrame:
 def gaps(profile: DataFrame, bins: int = 200, least: int = 3) -> DataFrame:
     """doc_id, page, start, stop: runs of at least that many empty bins."""
     pages = profile.select("doc_id", "page").distinct()
-    all_bins = pages.select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"))
+    all_bins = pages.select("doc_id", "page", F.explode(F.expr(f"sequence(0L, {bins - 1}L)")).alias("bin"))
     empty = all_bins.join(profile.where("density >= 0.1"), ["doc_id", "page", "bin"], "left_anti")
     island = empty.withColumn("i", F.col("bin") - F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("bin")))
     return island.groupBy("doc_id", "page", "i").agg(F.min("bin").alias("start"), (F.max("bin") + 1).alias("stop")).where(F.col("stop") - F.col("start") >= least).select("doc_id", "page", "start", "stop")

@@ -236,9 +236,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f'WITH {PAGES_SQL} SELECT doc_id, page, CAST(extraction AS DOUBLE) AS extraction, CAST(layout AS DOUBLE) AS layout, CAST(table_score AS DOUBLE) AS "table", CAST(encoding AS DOUBLE) AS encoding FROM sc')
+@query(f'WITH {PAGES_SQL} SELECT doc_id, page, CAST(extraction AS DOUBLE) AS extraction, CAST(layout AS DOUBLE) AS layout, CAST(table_score AS DOUBLE) AS table_score, CAST(encoding AS DOUBLE) AS encoding FROM sc')
 def q44_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.page_scores(pages(spark, sf_dir)).select("doc_id", "page", "extraction", "layout", "table", "encoding")
+    return documents.page_scores(pages(spark, sf_dir)).select("doc_id", "page", "extraction", "layout", F.col("table").alias("table_score"), "encoding")
 
 
 @query(f"""WITH {PAGES_SQL}, o AS (SELECT doc_id, page, CAST(round(100 * (0.35 * extraction + 0.25 * layout + 0.25 * encoding + 0.15 * table_score)) AS BIGINT) AS c FROM sc)
@@ -256,7 +256,7 @@ def q46_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = p.join(documents.page_scores(p).select("doc_id", "page", "overall"), ["doc_id", "page"])
     expected = p.groupBy("doc_id").agg(F.count("*").alias("expected_pages"))
     report = documents.validation_report(scored, expected)
-    return report.select("doc_id", "page_count", (F.size("empty_pages") == 0).alias("empty_pages_ok"), "quality", "table_quality", "text_density")
+    return report.select("doc_id", "page_count", F.col("no_empty_pages").alias("empty_pages_ok"), "quality", "table_quality", "text_density")
 
 
 CANDIDATES_SQL = f"""WITH cd AS (SELECT doc_id, 1 AS page, 'raw' AS source, 0 AS place, text, CAST(doc_id % 101 AS DOUBLE) AS score FROM documents
@@ -288,12 +288,12 @@ def q49_repair_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT source, doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents)
-SELECT source AS doc_id, CAST(sum(length(t) + length(repeat('═', 60)) * 2 + length('  PAGE ' || k || ' / ' || n) + 6) - 3 AS BIGINT) AS about_chars, max(n) AS n_pages FROM g GROUP BY source""")
+SELECT source AS doc_id, length(regexp_replace(regexp_replace(string_agg(repeat('═', 60) || chr(10) || '  PAGE ' || k || ' / ' || n || chr(10) || repeat('═', 60) || chr(10) || chr(10) || t || chr(10), chr(10) ORDER BY k), '^\\s+|\\s+$', '', 'g'), chr(10) || '{4,}', chr(10) || chr(10) || chr(10), 'g')) + 1 AS n_chars, max(n) AS n_pages FROM g GROUP BY source""")
 def q51_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as text files with a banner for each page: how long they are."""
     p = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), "text", F.lit(90.0).alias("confidence"))
     files = documents.joined_pages(p)
-    return files.select("doc_id", F.length(documents.formatted_text(F.col("text"), F.col("n_pages"))).cast("long").alias("about_chars"), "n_pages")
+    return files.select("doc_id", F.length(documents.formatted_text(F.col("text"), F.col("n_pages"))).cast("long").alias("n_chars"), "n_pages")
 
 
 @query("""WITH RECURSIVE rq AS (SELECT user_id AS client, event_id AS request_id, epoch_us(ts) AS seen, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),

@@ -264,19 +264,20 @@ def q18_grammar_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", dv.n_grammar_errors(w).alias("errors"), dv.n_uncommon_conjuncts(w).alias("uncommon"), dv.word_likelihood(w).cast("int").alias("likelihood"), "n")
 
 
+LOST = "\ue000-\uf8ff□"
 CORRUPTED = f"{S1}, c AS (SELECT id, replace(replace(s, 'म', chr(57344)), 'भ', chr(9633)) AS s FROM s1)"
 
 
-@query(f"{CORRUPTED} SELECT id, {sql.n_of('s', '' + '□')} AS lost, {sql.n_of('s', '□')} * 20 >= greatest(length(s), 20) AS saturated FROM c")
+@query(f"{CORRUPTED} SELECT id, {sql.n_of('s', LOST)} AS lost, {sql.n_of('s', LOST)} * 20 >= greatest(length(s), 20) AS saturated FROM c")
 def q21_corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = s1(spark, sf_dir).select("id", F.replace(F.replace("s", F.lit("म"), F.lit("")), F.lit("भ"), F.lit("□")).alias("s"))
+    rows = s1(spark, sf_dir).select("id", F.replace(F.replace("s", F.lit("म"), F.lit("\ue000")), F.lit("भ"), F.lit("□")).alias("s"))
     return rows.select("id", text.n_of(F.col("s"), text.CORRUPTION).cast("long").alias("lost"), (text.corruption_score(F.col("s")) >= 1.0).alias("saturated"))
 
 
 @query()
 def q22_corruption_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with lost glyphs, by the vocabulary; all other words stay. Edit distances of Devanagari can't be had from the oracle."""
-    rows = s1(spark, sf_dir).select("id", F.replace("s", F.lit("म"), F.lit("")).alias("text"))
+    rows = s1(spark, sf_dir).select("id", F.replace("s", F.lit("म"), F.lit("\ue000")).alias("text"))
     return repaired_corruption(rows, vocabulary.vocabulary(spark), ["id"])
 
 

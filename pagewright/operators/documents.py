@@ -104,22 +104,30 @@ def joined_pages(pages: DataFrame, separator: str = "\n\n--- Page Break ---\n\n"
 def split_pages(c: Column) -> Column:
     """The pages of a text between either kind of page mark, trimmed."""
     c = F.regexp_replace(c, r"(?i)\n*─{30,}\n\s*Page\s+\d+\s*\n─{30,}\n*", "\n\n--- Page Break ---\n\n")
-    return F.transform(F.split(c, r"(?i)\n*\s*---\s*Page Break\s*---\s*\n*"), stripped)
+    return F.transform(F.split(c, r"(?i)\s*---\s*Page Break\s*---\s*"), stripped)
 
 
-def formatted_text(c: Column, pages: Column, separators: bool = True, running: bool = True) -> Column:
-    """A text file's content: a banner before each page, or blank lines between them; without header and footer lines if asked."""
-    parts = split_pages(F.coalesce(c, F.lit("")))
+def text_files(docs: DataFrame, separators: bool = True, running: bool = True) -> DataFrame:
+    """doc_id, content of docs (doc_id, text, n_pages): a text file with a banner before each page, or blank lines between pages; without header and footer lines if asked."""
     bar = "═" * 60
-    total = F.when(pages > F.size(parts), pages).otherwise(F.size(parts))
-    label = lambda i: F.concat(F.lit(f"{bar}\n  PAGE "), (i + 1).cast("string"), F.lit(" / "), total.cast("string"), F.lit(f"\n{bar}\n"))
-    banners = F.array_join(F.transform(parts, lambda p, i: F.concat(label(i), F.lit("\n"), p, F.lit("\n"))), "\n")
-    text = F.when(F.size(parts) > 1, banners).otherwise(F.get(parts, 0)) if separators else F.array_join(parts, "\n\n")
-    text = F.concat(stripped(text), F.lit("\n"))
-    if not running:
-        text = F.regexp_replace(text, r"\[(?:HEADER|FOOTER)\][^\n]*\n?", "")
-    text = F.concat(stripped(F.regexp_replace(text, "\n{4,}", "\n\n\n")), F.lit("\n"))
-    return F.when(is_blank(c), "[No text could be extracted from this document.]\n").otherwise(text)
+    label = lambda i: F.concat(F.lit(f"{bar}\n  PAGE "), (i + 1).cast("string"), F.lit(" / "), F.col("_total").cast("string"), F.lit(f"\n{bar}\n"))
+    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), "n_pages").withColumn("_parts", split_pages(F.col("_text")))
+    out = out.withColumn("_total", F.greatest(F.coalesce("n_pages", F.lit(0)), F.size("_parts")))
+    banners = F.array_join(F.transform("_parts", lambda p, i: F.concat(label(i), F.lit("\n"), p, F.lit("\n"))), "\n")
+    joined = F.when(F.size("_parts") > 1, banners).otherwise(F.get("_parts", 0)) if separators else F.array_join("_parts", "\n\n")
+    content = joined if running else F.regexp_replace(joined, r"\[(?:HEADER|FOOTER)\][^\n]*\n?", "")
+    out = out.withColumn("_content", F.regexp_replace(content, "\n{4,}", "\n\n\n"))
+    nothing = "[No text could be extracted from this document.]\n"
+    return out.select("doc_id", F.when(is_blank(F.col("_text")), nothing).otherwise(F.concat(stripped(F.col("_content")), F.lit("\n"))).alias("content"))
+
+
+def quality_report(batches: DataFrame) -> DataFrame:
+    """doc_id, report: a line for each batch of pages, in order."""
+    pages = F.concat(((F.col("batch") - 1) * 50 + 1).cast("string"), F.lit("-"), ((F.col("batch") - 1) * 50 + F.col("n_pages")).cast("string"))
+    line = F.format_string("Batch %d (pages %s): direct_unicode=%d, direct_legacy=%d, no_text=%d, chars=%d", "batch", pages, "direct_unicode", "direct_legacy", "no_text", "total_chars")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("batch", line.alias("line")))), lambda x: x["line"])
+    rule = "─" * 60
+    return batches.groupBy("doc_id").agg(F.concat(F.lit(f"{rule}\nEXTRACTION QUALITY REPORT\n{rule}\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("report"))
 
 
 def serialized(elements: DataFrame) -> DataFrame:

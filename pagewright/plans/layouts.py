@@ -293,7 +293,7 @@ def q51_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as text files with a banner for each page: how long they are."""
     p = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), "text", F.lit(90.0).alias("confidence"))
     files = documents.joined_pages(p)
-    return files.select("doc_id", F.length(documents.formatted_text(F.col("text"), F.col("n_pages"))).cast("long").alias("n_chars"), "n_pages")
+    return documents.text_files(files).join(files.select("doc_id", "n_pages"), "doc_id").select("doc_id", F.length("content").cast("long").alias("n_chars"), "n_pages")
 
 
 @query("""WITH RECURSIVE rq AS (SELECT user_id AS client, event_id AS request_id, epoch_us(ts) AS seen, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),

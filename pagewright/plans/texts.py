@@ -210,9 +210,9 @@ def q11_font_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT doc_id, font, sum(length(raw)) AS n, min(id) AS first, string_agg(raw, '' ORDER BY id) FILTER (b < 200) AS sample FROM w GROUP BY ALL),
 i AS (SELECT *, {_ID['entry']} AS e, {_guess_sql('sample')} AS gs FROM g),
 t AS (SELECT doc_id, font, n, first, CASE WHEN e.f = 'unknown' THEN gs.f ELSE e.f END AS family, CASE WHEN e.f = 'unknown' AND gs.f <> 'unicode' THEN 'preeti' ELSE e.c END AS map FROM i),
-f AS (SELECT doc_id, family, sum(n) AS n, count(*) AS k, max(n) AS lead, arg_min(map, -n) FILTER (map IS NOT NULL) AS map FROM t GROUP BY ALL),
+f AS (SELECT doc_id, family, sum(n) AS n, count(*) AS k, min(row(-n, first)) AS lead, arg_min(map, -n) FILTER (map IS NOT NULL) AS map FROM t GROUP BY ALL),
 d AS (SELECT doc_id, sum(k) AS k, list(family) AS fs FROM f GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lead DESC) AS o FROM f)
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lead) AS o FROM f)
 SELECT d.doc_id, CAST(d.k AS BIGINT) AS n_fonts, r.family AS dominant_family, len(list_filter(fs, lambda x: x <> 'unknown')) > 1 AS is_mixed,
   CASE WHEN len(list_filter(fs, lambda x: x <> 'unknown')) = 0 THEN 'unknown' WHEN len(list_filter(fs, lambda x: x NOT IN ('unknown', 'unicode'))) = 0 THEN 'unicode_passthrough'
    WHEN len(list_filter(fs, lambda x: x NOT IN ('unknown', 'unicode'))) = 1 AND NOT list_contains(fs, 'unicode') THEN 'legacy_convert' ELSE 'mixed' END AS strategy

@@ -45,7 +45,7 @@ def decode_docx(content: bytes) -> Iterator[str]:
 def decode_html(content: bytes) -> Iterator[str]:
     text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", content.decode("utf-8", "replace"))
     text = re.sub(r"(?i)<(?:/?(?:p|div|li|tr|h[1-6])|br)\b[^>]*>", "\n", text)
-    yield re.sub(r"[ \t]+", " ", html.unescape(re.sub(r"<[^>]*>", "", text))).strip()
+    yield re.sub(r"[ \t]*\n[ \t]*", "\n", re.sub(r"[ \t]+", " ", html.unescape(re.sub(r"<[^>]*>", "", text)))).strip()
 
 
 def decode_text(content: bytes) -> Iterator[str]:

@@ -75,6 +75,7 @@ def judged(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -> Dat
         possible = asked.where(F.get(bits, _block(blocks)).bitwiseAND(_mask(F.col("entry"))) == _mask(F.col("entry")))
     else:
         possible = asked.withColumn("block", _block(blocks)).join(bloom, "block").where(F.col("bits").bitwiseAND(_mask(F.col("entry"))) == _mask(F.col("entry")))
-    hits = possible.join(rules, (possible["entry"] == rules["entry"]) & (possible["of_host"] == rules["rule_host"])).select("_row", rules["entry"].alias("rule"), "ruled", F.struct(F.length(rules["entry"]), F.length("rule_host")).alias("rank"))
+    named = rules.select(F.col("entry").alias("rule"), F.col("rule_host").alias("of_rule"), "ruled")
+    hits = possible.join(named, (F.col("entry") == F.col("rule")) & (F.col("of_host") == F.col("of_rule"))).select("_row", "rule", "ruled", F.struct(F.length("rule"), F.length("of_rule")).alias("rank"))
     best = hits.groupBy("_row").agg(F.max_by(F.struct("rule", "ruled"), "rank").alias("best"))
     return found.join(best, "_row", "left").select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.ruled", F.lit(otherwise)).alias("verdict"))

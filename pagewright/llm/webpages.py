@@ -97,23 +97,24 @@ def _optional(tokens: list[str]) -> list[str]:
     return [t if t.endswith(")?") else f"( {t} )?" for t in tokens]
 
 
+def _repeated(tokens: list[str], other: list[str]) -> list[str]:
+    """tokens with each group that repeats in other, and stands alone here, as the repeated one."""
+    for r in dict.fromkeys(t for t in other if t.endswith(")+") and t not in tokens):
+        body, out, i = r[2:-3], [], 0
+        while i < len(tokens):
+            size = next((m for m in range(1, min(GROUP, len(tokens) - i) + 1) if " ".join(tokens[i : i + m]) == body), 0)
+            out.append(r if size else tokens[i])
+            i += size or 1
+        tokens = out
+    return tokens
+
+
 def aligned(a: list[str], b: list[str]) -> list[str]:
-    """A wrapper that covers both."""
-    if a == b:
-        return a
+    """A wrapper that covers both: what repeats in one does so in both, what doesn't meet is optional."""
+    a, b = _repeated(a, b), _repeated(b, a)
     out: list[str] = []
     for op, i, j, k, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += a[i:j]
-            continue
-        left, right = a[i:j], b[k:n]
-        for one, many in ((left, right), (right, left)):
-            if len(many) == 1 and many[0].endswith(")+") and one and many[0][2:-3] == " ".join(one):
-                left, right = many, []
-                out += many
-                break
-        else:
-            out += _optional(left) + _optional(right)
+        out += a[i:j] if op == "equal" else _optional(a[i:j]) + _optional(b[k:n])
     return out
 
 

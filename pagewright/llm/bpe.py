@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -29,9 +30,9 @@ from .common import texts_of
 
 LONG_WORD = 1000
 #: Text taken at a time, and words that are remembered; both bound a task's memory.
-BATCH_CHARS, REMEMBERED = 8_000_000, 600_000
+BATCH_CHARS, REMEMBERED = 6_000_000, 800_000
 #: Words in one recursive query.
-QUERY_WORDS = 20_000
+QUERY_WORDS = 50_000
 
 # The characters that \s stands for in the tokenizers' patterns.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -78,28 +79,28 @@ class Encoder:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
-    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes, bytes]]:
-        """(word, ids as little-endian unsigned 32-bit integers, bytes decoded from them) for each of the distinct words."""
-        rows = []
-        for w in words:
-            if w in self.ranks:
-                yield w, self.ranks[w].to_bytes(4, "little"), w
+    def encode(self, words: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
+        """For each of the distinct words its place in the list, its ids as little-endian unsigned 32-bit integers, and the bytes decoded from them."""
+        rest, ranks = [], self.ranks
+        for i, w in enumerate(words):
+            r = ranks.get(w)
+            if r is not None:
+                yield i, r.to_bytes(4, "little"), w
             elif len(w) > LONG_WORD:
                 ids = self.by_heap(w)
-                yield w, np.array(ids, "<u4").tobytes(), b"".join(map(self.tokens.__getitem__, ids))
+                yield i, np.array(ids, "<u4").tobytes(), b"".join(map(self.tokens.__getitem__, ids))
             else:
-                rows.append(w)
-        for at in range(0, len(rows), QUERY_WORDS):
-            part = rows[at : at + QUERY_WORDS]
-            sizes = np.array([len(w) for w in part])
-            ends = np.cumsum(np.r_[0, sizes]).astype(np.int32)
+                rest.append(i)
+        for at in range(0, len(rest), QUERY_WORDS):
+            places = rest[at : at + QUERY_WORDS]
+            part = [words[i] for i in places]
+            ends = np.cumsum([0, *map(len, part)]).astype(np.int32)
             toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.of_byte[np.frombuffer(b"".join(part), np.uint8)]))
-            start_words = pa.table({"w": pa.array(np.arange(len(part), dtype=np.int32)), "toks": toks})  # noqa: F841  read by the query
+            start_words = pa.table({"w": pa.array(places, pa.int32()), "toks": toks})  # noqa: F841  read by the query
             found = self.db.sql(ENCODE).to_arrow_table()
             ids = found.column("ids").combine_chunks()
-            flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            for w, a, b, decoded in zip(found.column("w").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), found.column("decoded").to_pylist(), strict=True):
-                yield part[w], flat[a:b].tobytes(), decoded
+            flat, ends = ids.values.to_numpy().astype("<u4").tobytes(), (4 * ids.offsets.to_numpy()).tolist()
+            yield from zip(found.column("w").to_pylist(), map(flat.__getitem__, map(slice, ends[:-1], ends[1:])), found.column("decoded").to_pylist(), strict=True)
 
     def by_heap(self, word: bytes) -> list[int]:
         """The same contractions for one long word: a heap of (rank, place), and links between neighbours."""
@@ -127,32 +128,29 @@ class TextCoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.encoder, self.pattern = Encoder(ranks), regex.compile(pattern)
-        # The patterns never take a space that a word follows together with what is before it.
-        self.pieces = re.compile(f"(?= [^{WHITE}])")
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        # The patterns never take a space that a word follows together with what is before it, nor a lone line end or tab with the word behind it.
+        self.pieces = re.compile(f"(?= [^{WHITE}])|(?<=[^{WHITE}][\\n\\r\\t])(?=[^{WHITE}])")
         self.known_ids: dict[str, bytes] = {}
         self.known_text: dict[str, bytes] = {}
 
     def code(self, batch: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """The ids' bytes and the decoded bytes of each text."""
         if len(self.known_ids) > REMEMBERED:
-            self.words, self.known_ids, self.known_text = {}, {}, {}
-        new: set[str] = set()
-        for text in batch:
-            new.update(self.pieces.split(text))
-        new -= self.known_ids.keys()
-        split = {piece: self.pattern.findall(piece) for piece in new}
-        unknown = {w for ws in split.values() for w in ws} - self.words.keys()
-        raw = {w.encode(): w for w in unknown}
-        for word, ids, decoded in self.encoder.encode(list(raw)):
-            self.words[raw[word]] = (ids, decoded)
+            self.known_ids, self.known_text = {}, {}
+        ids, text = self.known_ids, self.known_text
+        cut = [self.pieces.split(t) for t in batch]
+        new = set(chain.from_iterable(cut)) - ids.keys()
+        # A space and letters, or letters alone, are one word in any of the patterns; so is each word by itself.
+        single = {p for p in new if p.isalpha() or p[1:].isalpha() and p[0] == " "}
+        split = {p: self.pattern.findall(p) for p in new - single}
+        words = list((single | set(chain.from_iterable(split.values()))) - ids.keys())
+        for i, coded, decoded in self.encoder.encode([w.encode() for w in words]):
+            ids[words[i]], text[words[i]] = coded, decoded
         for piece, ws in split.items():
-            coded = [self.words[w] for w in ws]
-            self.known_ids[piece] = b"".join([c[0] for c in coded])
-            self.known_text[piece] = b"".join([c[1] for c in coded])
-        for text in batch:
-            parts = self.pieces.split(text)
-            yield b"".join(map(self.known_ids.__getitem__, parts)), b"".join(map(self.known_text.__getitem__, parts))
+            if len(ws) != 1:
+                ids[piece], text[piece] = b"".join(map(ids.__getitem__, ws)), b"".join(map(text.__getitem__, ws))
+        for parts in cut:
+            yield b"".join(map(ids.__getitem__, parts)), b"".join(map(text.__getitem__, parts))
 
 
 def batches(texts: list[str]) -> Iterator[list[str]]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordNumbers, map_arrow, texts, written
+from .common import WordNumbers, texts, written
 
 ORDER = 5
 #: Bytes of text in a block, and of those handled at a time.
@@ -72,33 +72,41 @@ def pieces_of(all_texts: list[bytes]):
 STRING, WORD = 0, 1
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several parts, and the sums of their counts."""
+    codes, distinct = pd.factorize(np.concatenate([p[0] for p in parts]))
+    return distinct, np.bincount(codes, np.concatenate([p[1] for p in parts]), len(distinct)).astype(np.int64)
+
+
 def _counted(blocks: DataFrame, order: int) -> DataFrame:
-    """block, kind, key, n: each block's distinct strings and words, with the number of their places in training texts."""
+    """block, kind, key, n: each block's distinct strings and words, with the number of their places in training texts.
 
-    def start():
-        numbers = WordNumbers()
+    A task holds the distinct keys of the few blocks that come to it.
+    """
 
-        def run(batch):
+    def each(batches):
+        numbers, found = WordNumbers(), {}
+        for batch in batches:
             block, train, all_texts = batch.column("block").to_numpy(), np.array(batch.column("training").to_pylist(), bool), texts(batch)
-            out = []
-            for b in np.unique(block):
+            for b in np.unique(block).tolist():
                 mine = np.flatnonzero(block == b)
-                own, parts = [all_texts[i] for i in mine], {STRING: [], WORD: []}
+                own = [all_texts[i] for i in mine]
                 for s in pieces_of(own):
-                    found, starts = strings(own[s], order)
+                    places, starts = strings(own[s], order)
                     words = [numbers.of(t.lower().split()) for t in own[s]]
-                    for kind, keys, sizes in ((STRING, found, np.diff(np.r_[starts, len(found)])), (WORD, np.concatenate(words).view(np.int64), list(map(len, words)))):
-                        codes, distinct = pd.factorize(keys)
-                        parts[kind].append((distinct, np.bincount(codes, np.repeat(train[mine[s]], sizes), len(distinct))))
-                for kind, part in parts.items():
-                    codes, distinct = pd.factorize(np.concatenate([p[0] for p in part]))
-                    out.append((b, kind, distinct, np.bincount(codes, np.concatenate([p[1] for p in part]), len(distinct)).astype(np.int64)))
-            sizes = [len(o[2]) for o in out]
-            return {"block": pa.array(np.repeat([o[0] for o in out], sizes).astype(np.int32)), "kind": pa.array(np.repeat([o[1] for o in out], sizes).astype(np.int32)), "key": pa.array(np.concatenate([o[2] for o in out])), "n": pa.array(np.concatenate([o[3] for o in out]))}
+                    for kind, keys, sizes in ((STRING, places, np.diff(np.r_[starts, len(places)])), (WORD, np.concatenate(words).view(np.int64), list(map(len, words)))):
+                        part = _merged([(keys, np.repeat(train[mine[s]], sizes))])
+                        parts = found.setdefault((b, kind), [])
+                        parts.append(part)
+                        if len(parts) == 8:
+                            found[b, kind] = [_merged(parts)]
+        for (b, kind), parts in found.items():
+            keys, n = _merged(parts)
+            for at in range(0, len(keys), 500_000):
+                size = len(keys[at : at + 500_000])
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(size, b, np.int32)), "kind": pa.array(np.full(size, kind, np.int32)), "key": pa.array(keys[at : at + size]), "n": pa.array(n[at : at + size])})
 
-        return run
-
-    return map_arrow(blocks, start, "block int, kind int, key long, n long")
+    return blocks.mapInArrow(each, "block int, kind int, key long, n long")
 
 
 def _shorter(string: Column, order: int) -> Column:
@@ -161,8 +169,9 @@ def scored(docs: DataFrame, training: Column, order: int = ORDER, block_bytes: i
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = int(totals[0]) + ends, totals[1] + (ends > 0)
     least, end_cost = float(np.log10(1 / (tokens + distinct + 1))), float(np.log10((ends + 1) / (tokens + distinct + 1)))
-    values = written(cost.select(F.lit(STRING).alias("kind"), F.col("string").alias("key"), F.col("cost").alias("value")).union(words.select(F.lit(WORD), "key", F.log10(F.col("n") + 1.0))))
-    answers = asked.select("block", "kind", "key").join(values, ["kind", "key"])
+    values = written(cost.select(F.lit(STRING).alias("kind"), F.col("string").alias("key"), F.col("cost").alias("value")).union(words.select(F.lit(WORD), "key", F.col("n").cast("double"))))
+    # A word that no other block has is counted right by its own block and needs no answer.
+    answers = asked.join(values, ["kind", "key"]).where((F.col("kind") == STRING) | (F.col("n") != F.col("value"))).select("block", "kind", "key", "value")
 
     def add_up(key, own, found):
         raw = [t.encode() if t else b"" for t in own.text]
@@ -172,24 +181,25 @@ def scored(docs: DataFrame, training: Column, order: int = ORDER, block_bytes: i
             keys, value = found.key.to_numpy()[mine], found.value.to_numpy()[mine]
             by = np.argsort(keys)
             table[kind] = np.r_[keys[by], np.iinfo(np.int64).max], np.r_[value[by], 0.0]
-        numbers = WordNumbers()
-        out = {k: [] for k in ("score", "n_symbols", "n_tokens", "n_known", "base_score")}
+        numbers, train = WordNumbers(), own.training.to_numpy(bool)
+        rows = [numbers.of(t.lower().split()).view(np.int64) for t in raw]
+        sizes = np.array(list(map(len, rows)), np.int64)
+        codes, distinct = pd.factorize(np.concatenate(rows) if rows else np.empty(0, np.int64))
+        count = np.bincount(codes, np.repeat(train, sizes), len(distinct))
+        keys, value = table[WORD]
+        at = np.searchsorted(keys[:-1], distinct)
+        count = np.where((keys[at] == distinct) & (at < len(keys) - 1), value[at], count)
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        known = np.bincount(owner, (count > 0)[codes], len(rows)).astype(np.int64) + (ends > 0)
+        base = np.bincount(owner, np.log10(count + 1)[codes], len(rows)) + sizes * least + end_cost
+        del rows, codes, owner
+        out = {"score": [], "n_symbols": []}
         for s in pieces_of(raw):
             places, starts = strings(raw[s], order)
             codes, distinct = pd.factorize(places)
             keys, value = table[STRING]
             out["score"].append(np.add.reduceat(value[np.searchsorted(keys, distinct)][codes], starts))
             out["n_symbols"].append(np.diff(np.r_[starts, len(places)]))
-            rows = [numbers.of(t.lower().split()).view(np.int64) for t in raw[s]]
-            sizes = np.array(list(map(len, rows)))
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            codes, distinct = pd.factorize(np.concatenate(rows))
-            keys, value = table[WORD]
-            at = np.searchsorted(keys[:-1], distinct)
-            hit = (keys[at] == distinct) & (at < len(keys) - 1)
-            out["n_tokens"].append(sizes + 1)
-            out["n_known"].append(np.bincount(owner, hit[codes], len(rows)).astype(np.int64) + (ends > 0))
-            out["base_score"].append(np.bincount(owner, np.where(hit, value[at], 0.0)[codes], len(rows)) + sizes * least + end_cost)
-        return pd.DataFrame({"doc_id": own.doc_id, "train_tokens": tokens} | {k: np.concatenate(v) if v else [] for k, v in out.items()})
-
-    return blocks.select("block", "doc_id", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_symbols long")
+        return pd.DataFrame({"doc_id": own.doc_id, "n_tokens": sizes + 1, "n_known": known, "train_tokens": tokens, "base_score": base} | {k: np.concatenate(v) if v else [] for k, v in out.items()})
+
+    return blocks.select("block", "doc_id", "training", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_symbols long")

@@ -61,13 +61,15 @@ def judged(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -> Dat
     rules = listed.select(F.concat("host", "path").alias("entry"), F.col("host").alias("rule_host"), "verdict").groupBy("entry", "rule_host").agg(F.max("verdict").alias("ruled"))
     n = rules.count()
     found = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    found = found.withColumn("_row", F.monotonically_increasing_id())
+    # Each host and path is looked up once, however many pages have it.
+    places = found.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     steps = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))
     folders = F.when(F.size(steps) > 1, folders).otherwise(F.array().cast("array<string>"))
-    asked = found.select("_row", F.explode(suffixes).alias("of_host"), folders.alias("folders")).select("_row", "of_host", F.explode("folders").alias("folder")).select("_row", "of_host", F.concat("of_host", "folder").alias("entry"))
+    asked = places.select("host", "path", F.explode(suffixes).alias("of_host"), folders.alias("folders")).select("host", "path", "of_host", F.explode("folders").alias("folder"))
+    asked = asked.select("host", "path", "of_host", F.concat("of_host", "folder").alias("entry"))
     bloom, blocks = bloom_filter(rules, n)
     if blocks <= LITERAL_BLOCKS:
         words = dict(bloom.collect())  # at most LITERAL_BLOCKS rows, whatever is listed
@@ -76,6 +78,6 @@ def judged(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -> Dat
     else:
         possible = asked.withColumn("block", _block(blocks)).join(bloom, "block").where(F.col("bits").bitwiseAND(_mask(F.col("entry"))) == _mask(F.col("entry")))
     named = rules.select(F.col("entry").alias("rule"), F.col("rule_host").alias("of_rule"), "ruled")
-    hits = possible.join(named, (F.col("entry") == F.col("rule")) & (F.col("of_host") == F.col("of_rule"))).select("_row", "rule", "ruled", F.struct(F.length("rule"), F.length("of_rule")).alias("rank"))
-    best = hits.groupBy("_row").agg(F.max_by(F.struct("rule", "ruled"), "rank").alias("best"))
-    return found.join(best, "_row", "left").select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.ruled", F.lit(otherwise)).alias("verdict"))
+    hits = possible.join(named, (F.col("entry") == F.col("rule")) & (F.col("of_host") == F.col("of_rule"))).select("host", "path", "rule", "ruled", F.struct(F.length("rule"), F.length("of_rule")).alias("rank"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "ruled"), "rank").alias("best"))
+    return found.join(best, ["host", "path"], "left").select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.ruled", F.lit(otherwise)).alias("verdict"))

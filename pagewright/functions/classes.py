@@ -152,7 +152,7 @@ def block_confidence(kind: Column, n_chars: Column) -> Column:
 
 def ocr_eligible(kind: Column, contains_text: Column, contains_image: Column) -> Column:
     """Whether a block is ink that only recognition can read."""
-    never = kind.isin("signature", "qr_code", "barcode", "figure", "chart", "formula", "stamp", "table")
+    never = kind.isin("signature", "qr_code", "barcode", "figure", "chart", "formula", "stamp")
     return ~never & contains_image & ~contains_text
 
 

@@ -58,7 +58,7 @@ def accepted_conversion(original: Column, converted: Column) -> Column:
 
 def ocr_score(text: Column, mean_confidence: Column, words: Column) -> Column:
     """Confidence by how many words there are, up to 80, and up to a fifth more for Devanagari; -1 for blank text."""
-    deva = share(n_of(text, DEVANAGARI), n_visible(text))
+    deva = share(F.length(F.regexp_replace(text, rf"[^\p{{L}}]|[^{DEVANAGARI}]", "")), n_of(text, r"\p{L}"))
     base = mean_confidence * F.least(words, F.lit(80)) / 80.0
     return F.when(is_blank(text), -1.0).when(deva >= 0.25, base * (1 + 0.25 * F.least(deva, F.lit(0.8)))).otherwise(base)
 
@@ -78,3 +78,34 @@ def repair_score(confidence: Column, quality: Column, words: Column, deva: Colum
 
 def dpi_for_pages(pages: Column) -> Column:
     return F.when(pages > 200, 350).when(pages > 100, 380).otherwise(400)
+
+
+def image_quality(skew: Column, noise: Column, bleed: Column, shadows: Column, adequate: Column) -> Column:
+    """100 less what tilt, noise, bleed-through, shadows and low resolution cost, each up to a bound."""
+    cost = lambda x, k, most: F.least(F.lit(most), x * k)
+    return F.greatest(F.lit(0.0), 100.0 - cost(F.abs(skew), 3.0, 25.0) - cost(noise, 0.35, 30.0) - cost(bleed, 0.2, 20.0) - cost(shadows, 0.2, 20.0) - F.when(adequate, 0.0).otherwise(15.0))
+
+
+def image_tier(score: Column) -> Column:
+    return F.when(score >= 80, "clean").when(score >= 60, "moderate").when(score >= 40, "noisy").otherwise("poor")
+
+
+def denoise_level(noise: Column, bleed: Column) -> Column:
+    both = noise + bleed * 0.5
+    return F.when(both > 60, "strong").when(both > 30, "medium").otherwise("light")
+
+
+def good_enough(text: Column, mean_confidence: Column, words: Column) -> Column:
+    return (mean_confidence >= 85) & (words >= 2) & ~is_blank(text)
+
+
+def ocr_language(lang: Column, has_nep: bool = True, has_eng: bool = True) -> Column:
+    """The language a recogniser is asked for; auto and nep take English along where it is installed."""
+    auto = "nep+eng" if has_nep and has_eng else "nep" if has_nep else "eng"
+    return F.when(lang == "auto", auto).when((lang == "nep") & F.lit(has_nep and has_eng), "nep+eng").otherwise(lang)
+
+
+def page_confidence(text: Column, conversion: Column) -> Column:
+    """A page's confidence: its score from 50 up, else 70 for a good conversion, else at least 30; 0 without text."""
+    s = score(text)
+    return F.when(is_blank(text), 0.0).when(s >= 75, F.least(F.lit(100.0), s)).when(s >= 50, s).when(conversion == "good", 70.0).otherwise(F.greatest(F.lit(30.0), s))

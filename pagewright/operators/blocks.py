@@ -74,10 +74,11 @@ def heading_sizes(elements: DataFrame, step: float = 1.5) -> DataFrame:
 
 
 def column_count(blocks: DataFrame, width: float) -> DataFrame:
-    """doc_id, page, columns: 1, 2 or 3 by wide gaps between the blocks' centres."""
-    c = (F.col("x0") + F.col("x1")) / 2
-    gap = c - F.lag(c).over(Window.partitionBy("doc_id", "page").orderBy(c))
-    return blocks.withColumn("gap", gap).groupBy("doc_id", "page").agg(F.count_if(F.col("gap") > width * 0.18).alias("n")).select("doc_id", "page", F.least(F.col("n") + 1, F.lit(3)).alias("columns"))
+    """doc_id, page, columns: 1, 2 or 3 by wide gaps between the centres of blocks that aren't narrow; 1 with fewer than three of them."""
+    c, wide = (F.col("x0") + F.col("x1")) / 2, F.col("x1") - F.col("x0") > width * 0.05
+    gap = c - F.lag(c).over(Window.partitionBy("doc_id", "page", wide).orderBy(c))
+    counted = blocks.withColumn("gap", F.when(wide, gap)).groupBy("doc_id", "page").agg(F.count_if(F.col("gap") > width * 0.18).alias("n"), F.count_if(wide).alias("k"))
+    return counted.select("doc_id", "page", F.when(F.col("k") < 3, 1).otherwise(F.least(F.col("n") + 1, F.lit(3))).alias("columns"))
 
 
 def margins(blocks: DataFrame) -> DataFrame:
@@ -85,13 +86,53 @@ def margins(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id", "page").agg(F.min("x0").alias("left"), F.min("y0").alias("top"), F.max("x1").alias("right"), F.max("y1").alias("bottom"))
 
 
-def page_class(coverage: Column, has_unicode: Column, has_legacy: Column, n_scanned: Column, n_tables: Column, n_images: Column) -> Column:
-    """blank, scanned, mixed, table_heavy or digital, by what a page shows."""
+def page_class(coverage: Column, ink: Column, skew: Column, has_unicode: Column, has_legacy: Column, n_scanned: Column, n_tables: Column) -> Column:
+    """struct(kind, confidence) of a page by per cent of text and ink, skew, fonts, scanned regions and tables."""
+    said = lambda kind, sure: F.struct(F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"))
+    scanned = (coverage < 3) & (ink > 3)
     return (
-        F.when((coverage < 0.01) & (n_images == 0) & (n_scanned == 0), "blank")
-        .when((n_scanned > 0) & (coverage < 0.05), "scanned")
-        .when(n_scanned > 0, "mixed")
-        .when(n_tables >= 2, "table_heavy")
-        .when(has_legacy & ~has_unicode, "digital_legacy")
-        .otherwise("digital_unicode")
+        F.when((coverage < 1) & (ink < 1), said("blank", 90.0))
+        .when(scanned & (F.abs(skew) > 2), said("scanned_rotated", 80.0))
+        .when(scanned & (ink > 15), said("scanned_noisy", 75.0))
+        .when(scanned, said("scanned", 85.0))
+        .when(has_legacy & (coverage >= 3), said("digital_legacy", 88.0))
+        .when(has_unicode & (coverage >= 5), said("digital_unicode", 92.0))
+        .when((coverage >= 3) & (n_scanned > 0), said("mixed", 70.0))
+        .when((n_tables >= 2) & (coverage < 20), said("table_heavy", 78.0))
+        .when(coverage >= 3, said("digital", 75.0))
+        .otherwise(said("mixed", 55.0))
     )
+
+
+def document_class(pages: DataFrame) -> DataFrame:
+    """doc_id, n_pages, pages of each sort, whether digital, scanned or mixed, languages by size, mean confidence. pages: (doc_id, page, coverage, n_scanned, kind, confidence, has_legacy, n_tables, n_images, nep, eng, numeric)."""
+    digital, scan = F.col("coverage") >= 5, (F.col("coverage") < 5) & ((F.col("n_scanned") > 0) | F.col("kind").isin("scanned", "scanned_noisy", "image_only"))
+    d = pages.groupBy("doc_id").agg(
+        F.count("*").alias("n_pages"), F.count_if(digital).alias("digital_pages"), F.count_if(scan).alias("scanned_pages"), F.count_if("has_legacy").alias("legacy_font_pages"), F.count_if(F.col("n_tables") > 0).alias("pages_with_tables"),
+        F.count_if(F.col("n_images") > 0).alias("pages_with_images"), F.avg("confidence").alias("confidence"), *(F.sum(k).alias(k) for k in ("nep", "eng", "numeric")),
+    )
+    is_digital = F.col("digital_pages") / F.col("n_pages") >= 0.8
+    is_scanned = (F.col("scanned_pages") / F.col("n_pages") >= 0.8) & (F.col("digital_pages") / F.col("n_pages") < 0.2)
+    ranked = F.array_sort(F.filter(F.array(*(F.struct((-F.col(k)).alias("less"), F.lit(i).alias("i"), F.lit(k).alias("name")) for i, k in enumerate(("nep", "eng", "numeric")))), lambda x: x["less"] < 0))
+    names = F.transform(ranked, lambda x: x["name"])
+    return d.select("doc_id", "n_pages", "digital_pages", "scanned_pages", (F.col("n_pages") - F.col("digital_pages") - F.col("scanned_pages")).alias("mixed_pages"), "legacy_font_pages", "pages_with_tables", "pages_with_images", is_digital.alias("is_digital"), is_scanned.alias("is_scanned"), (~is_digital & ~is_scanned).alias("is_mixed"), names.alias("languages"), F.get(names, 0).alias("dominant_language"), "confidence")
+
+
+def signatures(images: DataFrame, width: float, height: float) -> DataFrame:
+    """Images in the lower 35 % of a page that are wider than high and of a signature's size."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return images.where((F.col("y0") >= height * 0.65) & (w > h) & w.between(width * 0.08, width * 0.5) & (h <= height * 0.12))
+
+
+def stamps(images: DataFrame, width: float, height: float) -> DataFrame:
+    """Nearly square images of a stamp's size in a page's corners."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    corner = ((cx < width * 0.35) | (cx > width * 0.65)) & ((cy < height * 0.35) | (cy > height * 0.65))
+    return images.where(corner & (w / h).between(0.7, 1.4) & w.between(width * 0.06, width * 0.3))
+
+
+def handwriting(vectors: DataFrame, texts: DataFrame, left: float, right: float) -> DataFrame:
+    """Vector drawings of four strokes or more in the side margins that no text covers by a fifth."""
+    drawn = vectors.where((F.col("strokes") >= 4) & ((F.col("x1") <= left) | (F.col("x0") >= right)))
+    return overlapping(drawn, texts, 0.2, "left_anti")

@@ -337,7 +337,7 @@ def q59_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
   regexp_matches(lower(([{", ".join(sql.q(f) for f in FONTS)}])[element_id % {len(FONTS)} + 1]), {sql.q('|'.join(legacy.LEGACY_FONTS))}) AS lf FROM e)
 SELECT CASE WHEN kind = 'signature' THEN 'placeholder_signature' WHEN kind = 'qr_code' THEN 'qr_decode' WHEN kind = 'figure' THEN 'placeholder_figure' WHEN kind = 'chart' THEN 'placeholder_chart' WHEN kind = 'formula' THEN 'skipped'
   WHEN enc = 'mixed' THEN 'pdf_extraction' WHEN ct AND NOT ci AND (enc = 'unicode' OR (NOT lf AND NOT hl)) THEN 'pdf_extraction' WHEN hl OR lf THEN 'legacy_conversion'
-  WHEN ci AND NOT ct AND kind NOT IN ('stamp', 'table') THEN 'ocr' WHEN kind = 'table' THEN 'table_extraction' WHEN kind = 'stamp' THEN 'placeholder_stamp' WHEN kind = 'image' THEN 'placeholder_image' WHEN ct THEN 'pdf_extraction' ELSE 'skipped' END AS route, count(*) AS n FROM r GROUP BY ALL""")
+  WHEN ci AND NOT ct AND kind <> 'stamp' THEN 'ocr' WHEN kind = 'table' THEN 'table_extraction' WHEN kind = 'stamp' THEN 'placeholder_stamp' WHEN kind = 'image' THEN 'placeholder_image' WHEN ct THEN 'pdf_extraction' ELSE 'skipped' END AS route, count(*) AS n FROM r GROUP BY ALL""")
 def q60_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("element_id")
     font = F.get(F.array(*(F.lit(f) for f in FONTS)), (k % len(FONTS)).cast("int"))
@@ -361,7 +361,7 @@ def q62_engine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ELEMENTS}, c AS (SELECT doc_id, page, (x0 + x1) / 2 - lag((x0 + x1) / 2) OVER (PARTITION BY doc_id, page ORDER BY (x0 + x1) / 2) AS gap, x0, x1, y0, y1 FROM e)
-SELECT doc_id, page, CAST(least(3, count(*) FILTER (gap > 108) + 1) AS INTEGER) AS columns_, min(x0) AS left_, max(x1) AS right_, min(y0) AS top_, max(y1) AS bottom_ FROM c GROUP BY ALL""")
+SELECT doc_id, page, CAST(CASE WHEN count(*) < 3 THEN 1 ELSE least(3, count(*) FILTER (gap > 108) + 1) END AS INTEGER) AS columns_, min(x0) AS left_, max(x1) AS right_, min(y0) AS top_, max(y1) AS bottom_ FROM c GROUP BY ALL""")
 def q63_columns_and_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = elements(spark, sf_dir)
     both = blocks.column_count(e, WIDTH).join(blocks.margins(e), ["doc_id", "page"])

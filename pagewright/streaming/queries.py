@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def new_files(spark: SparkSession, folder: str, pattern: str = "*", at_a_time: int = 50) -> DataFrame:
     """path, modificationTime, length, content of files as they come, at_a_time for each batch."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", at_a_time).load(folder)
+    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", at_a_time).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
 
 
 def windowed_counts(events: DataFrame, at: str = "ts", window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:

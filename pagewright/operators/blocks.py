@@ -68,7 +68,7 @@ def body_size(elements: DataFrame, weighted: bool = True) -> DataFrame:
 
 def heading_sizes(elements: DataFrame, step: float = 1.5) -> DataFrame:
     """doc_id, body_size, sizes: distinct sizes over the body's by more than step, largest first; their first, middle and last stand for levels 1 to 3."""
-    counts = elements.where("size > 0").groupBy("doc_id", F.bround("size", 1).alias("s")).agg(F.count("*").alias("n"))
+    counts = elements.where("size > 0").groupBy("doc_id", (F.bround(F.col("size") * 2) / 2).alias("s")).agg(F.count("*").alias("n"))
     body = counts.groupBy("doc_id").agg(F.max_by("s", F.struct("n", (-F.col("s")).alias("less"))).alias("body_size"), F.collect_set("s").alias("all"))
     return body.select("doc_id", "body_size", F.sort_array(F.filter("all", lambda s: s > F.col("body_size") + step), asc=False).alias("sizes"))
 

@@ -57,7 +57,7 @@ def strings(pieces: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def pieces_of(all_texts: list[bytes]):
+def pieces_of(all_texts: list):
     """Runs of consecutive texts of about PIECE_BYTES, as slices."""
     at, size = 0, 0
     for i, t in enumerate(all_texts):
@@ -171,35 +171,47 @@ def scored(docs: DataFrame, training: Column, order: int = ORDER, block_bytes: i
     least, end_cost = float(np.log10(1 / (tokens + distinct + 1))), float(np.log10((ends + 1) / (tokens + distinct + 1)))
     values = written(cost.select(F.lit(STRING).alias("kind"), F.col("string").alias("key"), F.col("cost").alias("value")).union(words.select(F.lit(WORD), "key", F.col("n").cast("double"))))
     # A word that no other block has is counted right by its own block and needs no answer.
-    answers = asked.join(values, ["kind", "key"]).where((F.col("kind") == STRING) | (F.col("n") != F.col("value"))).select("block", "kind", "key", "value")
+    answers = asked.join(values, ["kind", "key"]).where((F.col("kind") == STRING) | (F.col("n") != F.col("value"))).select("block", "kind", "key", F.col("value").cast("float").alias("value"))
 
     def add_up(key, own, found):
-        raw = [t.encode() if t else b"" for t in own.text]
         table = {}
         for kind in (STRING, WORD):
             mine = found.kind.to_numpy() == kind
             keys, value = found.key.to_numpy()[mine], found.value.to_numpy()[mine]
             by = np.argsort(keys)
-            table[kind] = np.r_[keys[by], np.iinfo(np.int64).max], np.r_[value[by], 0.0]
-        numbers, train = WordNumbers(), own.training.to_numpy(bool)
-        rows = [numbers.of(t.lower().split()).view(np.int64) for t in raw]
-        sizes = np.array(list(map(len, rows)), np.int64)
-        codes, distinct = pd.factorize(np.concatenate(rows) if rows else np.empty(0, np.int64))
-        count = np.bincount(codes, np.repeat(train, sizes), len(distinct))
+            table[kind] = np.r_[keys[by], np.iinfo(np.int64).max], np.r_[value[by], np.float32(0)].astype(np.float64)
+        del found, keys, value, mine, by
+        all_texts, train, numbers = own.text.to_numpy(), own.training.to_numpy(bool), WordNumbers()
+        slices = list(pieces_of([t or "" for t in all_texts]))
+
+        def words_in(s):
+            rows = [numbers.of((t or "").encode().lower().split()).view(np.int64) for t in all_texts[s]]
+            return np.concatenate(rows), np.array(list(map(len, rows)), np.int64)
+
+        parts = []
+        for s in slices:
+            words, sizes = words_in(s)
+            parts.append(_merged([(words, np.repeat(train[s], sizes))]))
+        local, count = _merged(parts) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
         keys, value = table[WORD]
-        at = np.searchsorted(keys[:-1], distinct)
-        count = np.where((keys[at] == distinct) & (at < len(keys) - 1), value[at], count)
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        known = np.bincount(owner, (count > 0)[codes], len(rows)).astype(np.int64) + (ends > 0)
-        base = np.bincount(owner, np.log10(count + 1)[codes], len(rows)) + sizes * least + end_cost
-        del rows, codes, owner
-        out = {"score": [], "n_symbols": []}
-        for s in pieces_of(raw):
-            places, starts = strings(raw[s], order)
+        at = np.searchsorted(keys[:-1], local)
+        count = np.where((keys[at] == local) & (at < len(keys) - 1), value[at], count)
+        by = np.argsort(local)
+        local, count = local[by], count[by]
+        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "n_symbols")}
+        keys, value = table[STRING]
+        for s in slices:
+            words, sizes = words_in(s)
+            codes, distinct = pd.factorize(words)
+            c = count[np.searchsorted(local, distinct)]
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            out["n_tokens"].append(sizes + 1)
+            out["n_known"].append(np.bincount(owner, (c > 0)[codes], len(sizes)).astype(np.int64) + (ends > 0))
+            out["base_score"].append(np.bincount(owner, np.log10(c + 1)[codes], len(sizes)) + sizes * least + end_cost)
+            places, starts = strings([(t or "").encode() for t in all_texts[s]], order)
             codes, distinct = pd.factorize(places)
-            keys, value = table[STRING]
             out["score"].append(np.add.reduceat(value[np.searchsorted(keys, distinct)][codes], starts))
             out["n_symbols"].append(np.diff(np.r_[starts, len(places)]))
-        return pd.DataFrame({"doc_id": own.doc_id, "n_tokens": sizes + 1, "n_known": known, "train_tokens": tokens, "base_score": base} | {k: np.concatenate(v) if v else [] for k, v in out.items()})
+        return pd.DataFrame({"doc_id": own.doc_id, "train_tokens": tokens} | {k: np.concatenate(v) if v else [] for k, v in out.items()})
 
     return blocks.select("block", "doc_id", "training", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_symbols long")

@@ -81,26 +81,35 @@ def _first_look(docs: DataFrame, window: int, short: int) -> DataFrame:
 
 
 def _edges(docs: DataFrame, window: int, short: int) -> DataFrame:
-    """doc_id, text, places, edges: the windows whose minimiser is one of the document's hits."""
+    """doc_id, text, edges, places, more: the distinct windows whose minimiser is one of the document's hits, where each starts first, and where else (null for nowhere)."""
 
     def start():
         numbers = WordNumbers()
 
         def run(batch):
-            places, edges = [], []
+            edges, places, more, counts = [], [], [], []
             hits = batch.column("hits")
             ends, flat = hits.offsets.to_numpy(), hits.values.to_numpy().view(np.uint64)
             for i, text in enumerate(texts(batch)):
                 n = numbers.of(text.split())
                 runs, at = _minimisers(n, window, short)
-                p = np.flatnonzero(np.isin(runs[at], flat[ends[i] : ends[i + 1]]))
-                places.append(p.astype(np.int32))
-                edges.append(windows(n, window)[p].view(np.int64))
-            return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "places": _lists(places, pa.int32()), "edges": _lists(edges, pa.int64())}
+                p = np.flatnonzero(np.isin(runs[at], flat[ends[i] : ends[i + 1]])).astype(np.int32)
+                e = windows(n, window)[p].view(np.int64)
+                order = np.argsort(e, kind="stable")
+                e, p = e[order], p[order]
+                first = np.r_[True, e[1:] != e[:-1]] if len(e) else np.empty(0, bool)
+                edges.append(e[first])
+                places.append(p[first])
+                more.append(p[~first])
+                counts.append(np.diff(np.r_[np.flatnonzero(first), len(e)]) - 1)
+            counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
+            others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(np.concatenate(more) if more else [], pa.int32()), mask=pa.array(counts == 0))
+            listed = _lists(edges, pa.int64())
+            return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "edges": listed, "places": _lists(places, pa.int32()), "more": pa.ListArray.from_arrays(listed.offsets, others)}
 
         return run
 
-    return map_arrow(docs.select("doc_id", "text", "hits"), start, "doc_id long, text string, places array<int>, edges array<long>")
+    return map_arrow(docs.select("doc_id", "text", "hits"), start, "doc_id long, text string, edges array<long>, places array<int>, more array<array<int>>")
 
 
 def _digests(asked: DataFrame, window: int) -> DataFrame:
@@ -152,10 +161,14 @@ def _wanted(rows: DataFrame) -> DataFrame:
 
 
 def repeated_spans(read: DataFrame) -> DataFrame:
-    """doc_id, at, n, source_id, source_at: compacted paths, not yet verified. read has a row (doc_id, places, edges) for each document."""
-    each = read.select("doc_id", F.arrays_zip("places", "edges").alias("z")).select("doc_id", F.inline("z")).withColumnsRenamed({"places": "place", "edges": "edge"})
-    first = each.groupBy("edge").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "place")).alias("source")).where("c > 1").select("edge", F.col("source.doc_id").alias("source_id"), F.col("source.place").alias("source_place"))
-    again = each.join(first, "edge").where("doc_id <> source_id or place <> source_place").select("doc_id", "place", "source_id", (F.col("place") - F.col("source_place")).alias("shift"))
+    """doc_id, at, n, source_id, source_at: compacted paths, not yet verified. read has a row (doc_id, edges, places, more) for each document."""
+    each = read.select("doc_id", F.arrays_zip("edges", "places", "more").alias("z")).select("doc_id", F.inline("z")).withColumnsRenamed({"edges": "edge", "places": "place"})
+    times = 1 + F.when(F.col("more").isNull(), 0).otherwise(F.size("more"))
+    first = each.groupBy("edge").agg(F.sum(times).alias("c"), F.min(F.struct("doc_id", "place")).alias("source")).where("c > 1")
+    # Written, so that the join has a shuffle of its own on both sides and a very common edge can be split.
+    first = written(first.select("edge", F.col("source.doc_id").alias("source_id"), F.col("source.place").alias("source_place")))
+    again = each.join(first, "edge").select("doc_id", "source_id", "source_place", F.explode(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>")))).alias("place"))
+    again = again.where("doc_id <> source_id or place <> source_place").select("doc_id", "place", "source_id", (F.col("place") - F.col("source_place")).alias("shift"))
     # With the same shift, places that are consecutive less their rank are equal: a path without branches.
     path = again.selectExpr("*", "place - row_number() over (partition by doc_id, source_id, shift order by place) as path")
     return path.groupBy("doc_id", "source_id", "shift", "path").agg(F.min("place").alias("at"), F.count("*").cast("int").alias("n")).select("doc_id", "at", "n", "source_id", (F.col("at") - F.col("shift")).alias("source_at"))
@@ -180,7 +193,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -
     twice = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     hits = written(anchors.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("hits")))
     read = written(_edges(docs.join(hits, "doc_id"), window, short))
-    spans = written(repeated_spans(read.select("doc_id", "places", "edges")))
+    spans = written(repeated_spans(read.select("doc_id", "edges", "places", "more")))
 
     here = spans.select("doc_id", "at", "n")
     there = spans.select(F.col("source_id").alias("doc_id"), F.col("source_at").alias("at"), "n")

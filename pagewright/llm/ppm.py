@@ -32,7 +32,7 @@ from .common import WordNumbers, texts, written
 
 ORDER = 5
 #: Bytes of text in a block, and of those handled at a time.
-BLOCK_BYTES, PIECE_BYTES = 40_000_000, 3_000_000
+BLOCK_BYTES, PIECE_BYTES = 40_000_000, 1_000_000
 END, BEFORE, BITS = 256, 257, 9
 #: Symbols that may follow a context.
 SYMBOLS = 257
@@ -87,10 +87,10 @@ def _counted(blocks: DataFrame, order: int) -> DataFrame:
     def each(batches):
         numbers, found = WordNumbers(), {}
         for batch in batches:
-            block, train, all_texts = batch.column("block").to_numpy(), np.array(batch.column("training").to_pylist(), bool), texts(batch)
+            block, train = batch.column("block").to_numpy(), np.array(batch.column("training").to_pylist(), bool)
             for b in np.unique(block).tolist():
                 mine = np.flatnonzero(block == b)
-                own = [all_texts[i] for i in mine]
+                own = texts(batch.take(pa.array(mine)))
                 for s in pieces_of(own):
                     places, starts = strings(own[s], order)
                     words = [numbers.of(t.lower().split()) for t in own[s]]

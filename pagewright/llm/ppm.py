@@ -49,11 +49,14 @@ def strings(pieces: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64)
     raw[starts + sizes - 1] = END
     out = raw.copy()
-    within = np.arange(len(raw)) - np.repeat(starts, sizes) if order else None
     for k in range(1, order + 1):
         out[k:] |= raw[:-k] << (BITS * k)
-        early = within < k
-        out[early] = (out[early] & ((1 << (BITS * k)) - 1)) | (BEFORE << (BITS * k))
+    for place in range(order):
+        # The symbols up to place of each text have fewer symbols before them.
+        at = (starts + place)[sizes > place]
+        keep = BITS * (place + 1)
+        fill = sum(BEFORE << (BITS * k) for k in range(place + 1, order + 1))
+        out[at] = (out[at] & ((1 << keep) - 1)) | fill
     return out, starts
 
 
@@ -90,12 +93,19 @@ def _counted(blocks: DataFrame, order: int) -> DataFrame:
             block, train = batch.column("block").to_numpy(), np.array(batch.column("training").to_pylist(), bool)
             for b in np.unique(block).tolist():
                 mine = np.flatnonzero(block == b)
+                # Texts to learn from come first, so that most pieces count for all of their places or none.
+                mine = mine[np.argsort(~train[mine], kind="stable")]
                 own = texts(batch.take(pa.array(mine)))
                 for s in pieces_of(own):
                     places, starts = strings(own[s], order)
                     words = [numbers.of(t.lower().split()) for t in own[s]]
                     for kind, keys, sizes in ((STRING, places, np.diff(np.r_[starts, len(places)])), (WORD, np.concatenate(words).view(np.int64), list(map(len, words)))):
-                        part = _merged([(keys, np.repeat(train[mine[s]], sizes))])
+                        learns = train[mine[s]]
+                        codes, distinct = pd.factorize(keys)
+                        if learns.all() or not learns.any():
+                            part = distinct, np.bincount(codes, minlength=len(distinct)) * bool(learns.any())
+                        else:
+                            part = distinct, np.bincount(codes, np.repeat(learns, sizes), len(distinct))
                         parts = found.setdefault((b, kind), [])
                         parts.append(part)
                         if len(parts) == 8:
@@ -161,7 +171,8 @@ def scored(docs: DataFrame, training: Column, order: int = ORDER, block_bytes: i
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     blocks, n = blocks_of(docs, block_bytes)
-    asked = written(_counted(blocks.repartition(n, "doc_id").select("block", "training", "text"), order))
+    # Four partitions for each block, so that few tasks get more than one block.
+    asked = written(_counted(blocks.select("block", "training", "text").repartition(4 * n, "block"), order))
     counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     cost = costs(counts.where(F.col("kind") == STRING).select(F.col("key").alias("string"), "n"), order)
     words = counts.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
@@ -191,7 +202,8 @@ def scored(docs: DataFrame, training: Column, order: int = ORDER, block_bytes: i
         parts = []
         for s in slices:
             words, sizes = words_in(s)
-            parts.append(_merged([(words, np.repeat(train[s], sizes))]))
+            codes, distinct = pd.factorize(words)
+            parts.append((distinct, np.bincount(codes, np.repeat(train[s], sizes), len(distinct)), codes.astype(np.int32), sizes))
         local, count = _merged(parts) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
         keys, value = table[WORD]
         at = np.searchsorted(keys[:-1], local)
@@ -200,9 +212,7 @@ def scored(docs: DataFrame, training: Column, order: int = ORDER, block_bytes: i
         local, count = local[by], count[by]
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "n_symbols")}
         keys, value = table[STRING]
-        for s in slices:
-            words, sizes = words_in(s)
-            codes, distinct = pd.factorize(words)
+        for s, (distinct, _, codes, sizes) in zip(slices, parts, strict=True):
             c = count[np.searchsorted(local, distinct)]
             owner = np.repeat(np.arange(len(sizes)), sizes)
             out["n_tokens"].append(sizes + 1)

@@ -189,9 +189,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -
     classes = look.groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_words").alias("n")).where(F.col("n") >= window)
     classes = written(classes)
     reps = look.join(classes, "words_key").where("doc_id = rep").select("doc_id", "anchors").dropDuplicates(["doc_id"])
-    anchors = reps.select("doc_id", F.explode("anchors").alias("anchor"))
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    hits = written(anchors.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("hits")))
+    twice = written(reps.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
+    # A document asks for each of its anchors once, however often it has them.
+    anchors = reps.select("doc_id", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    hits = written(anchors.join(twice, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("hits")))
     read = written(_edges(docs.join(hits, "doc_id"), window, short))
     spans = written(repeated_spans(read.select("doc_id", "edges", "places", "more")))
 

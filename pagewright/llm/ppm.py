@@ -20,6 +20,7 @@ what is gathered grows with the corpus.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
 import numpy as np
@@ -75,6 +76,14 @@ def pieces_of(all_texts: list):
 STRING, WORD = 0, 1
 
 
+def _given_back() -> None:
+    """Freed memory goes back to the system, as a task's Python process lives on beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of several parts, and the sums of their counts."""
     codes, distinct = pd.factorize(np.concatenate([p[0] for p in parts]))
@@ -110,11 +119,14 @@ def _counted(blocks: DataFrame, order: int) -> DataFrame:
                         parts.append(part)
                         if len(parts) == 8:
                             found[b, kind] = [_merged(parts)]
-        for (b, kind), parts in found.items():
-            keys, n = _merged(parts)
+                del own, places, words, keys, codes
+            _given_back()
+        for b, kind in list(found):
+            keys, n = _merged(found.pop((b, kind)))
             for at in range(0, len(keys), 500_000):
                 size = len(keys[at : at + 500_000])
                 yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(size, b, np.int32)), "kind": pa.array(np.full(size, kind, np.int32)), "key": pa.array(keys[at : at + size]), "n": pa.array(n[at : at + size])})
+        _given_back()
 
     return blocks.mapInArrow(each, "block int, kind int, key long, n long")
 
@@ -192,6 +204,7 @@ def scored(docs: DataFrame, training: Column, order: int = ORDER, block_bytes: i
             by = np.argsort(keys)
             table[kind] = np.r_[keys[by], np.iinfo(np.int64).max], np.r_[value[by], np.float32(0)].astype(np.float64)
         del found, keys, value, mine, by
+        _given_back()
         all_texts, train, numbers = own.text.to_numpy(), own.training.to_numpy(bool), WordNumbers()
         slices = list(pieces_of([t or "" for t in all_texts]))
 
@@ -222,6 +235,8 @@ def scored(docs: DataFrame, training: Column, order: int = ORDER, block_bytes: i
             codes, distinct = pd.factorize(places)
             out["score"].append(np.add.reduceat(value[np.searchsorted(keys, distinct)][codes], starts))
             out["n_symbols"].append(np.diff(np.r_[starts, len(places)]))
+        del parts, table, keys, value, all_texts, numbers
+        _given_back()
         return pd.DataFrame({"doc_id": own.doc_id, "train_tokens": tokens} | {k: np.concatenate(v) if v else [] for k, v in out.items()})
 
     return blocks.select("block", "doc_id", "training", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_symbols long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordNumbers, texts, written
+from .common import WordNumbers, small_batches, texts, written
 
 ORDER = 5
 #: Bytes of text in a block, and of those handled at a time.
@@ -120,7 +120,6 @@ def _counted(blocks: DataFrame, order: int) -> DataFrame:
                         if len(parts) == 8:
                             found[b, kind] = [_merged(parts)]
                 del own, places, words, keys, codes
-            _given_back()
         for b, kind in list(found):
             keys, n = _merged(found.pop((b, kind)))
             for at in range(0, len(keys), 500_000):
@@ -184,7 +183,8 @@ def scored(docs: DataFrame, training: Column, order: int = ORDER, block_bytes: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     blocks, n = blocks_of(docs, block_bytes)
     # Four partitions for each block, so that few tasks get more than one block.
-    asked = written(_counted(blocks.select("block", "training", "text").repartition(4 * n, "block"), order))
+    with small_batches(docs.sparkSession):
+        asked = written(_counted(blocks.select("block", "training", "text").repartition(4 * n, "block"), order))
     counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     cost = costs(counts.where(F.col("kind") == STRING).select(F.col("key").alias("string"), "n"), order)
     words = counts.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")

@@ -155,8 +155,10 @@ def _runs(rows: DataFrame, key: str, sizes: list[int] | None, bitmap: np.ndarray
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_slots, reparameterised for each document and benchmark item that match.
 
-    n_windows counts the matching runs at the best offset, n_slots the distinct
-    values there; reparameterised says that some value differs. Items of fewer
+    A match covers COVER words of the item or all of them: the union of the
+    runs that match at one offset, adjacent or not. n_windows counts the
+    matching runs at the best offset, n_slots the distinct values there;
+    reparameterised says that some value differs. Items of fewer
     than SHORTEST words match nothing, neither do null and empty texts. Rows
     that repeat an id count once for each pair. Other columns are ignored.
     """
@@ -174,10 +176,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = met.dropDuplicates(["doc_id", "item_id", "offset", "item_place"])
     group = ["doc_id", "item_id", "offset"]
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots"))))
-    each = met.groupBy(*group).agg(F.count("*").alias("n_windows"), F.first("item_n").alias("item_n"), F.first("size").alias("size"), pairs.alias("pairs"))
+    each = met.groupBy(*group).agg(F.count("*").alias("n_windows"), F.first("item_n").alias("item_n"), F.first("size").alias("size"), F.sort_array(F.collect_set("item_place")).alias("places"), pairs.alias("pairs"))
+    covered = F.expr("size + aggregate(zip_with(slice(places, 2, size(places)), slice(places, 1, size(places) - 1), (b, a) -> least(size, b - a)), 0, (n, x) -> n + x)")
     distinct = lambda name: F.size(F.array_distinct(F.col(f"pairs.{name}")))
     consistent = (distinct("item_slots") == F.size("pairs")) & (distinct("slots") == F.size("pairs"))
-    enough = F.col("n_windows") + F.col("size") - 1 >= F.least(F.lit(COVER), F.col("item_n"))
+    enough = covered >= F.least(F.lit(COVER), F.col("item_n"))
     good = each.where(consistent & enough).withColumn("differ", F.exists("pairs", lambda p: p["item_slots"] != p["slots"]))
     best = F.max(F.struct("n_windows", F.size("pairs").cast("long").alias("n_slots"), (~F.col("differ")).alias("same")))
     return good.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_windows", "b.n_slots", (~F.col("b.same")).alias("reparameterised"))

@@ -71,6 +71,15 @@ def test_slots_must_agree(spark):
     assert [x.doc_id for x in decontamination.contaminated(docs, bench).collect()] == [0]
 
 
+def test_words_under_separate_runs_are_counted(spark):
+    """One changed word splits an item of 20 words into runs of 9 and 10 words that cover 19 words together."""
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = [" ".join(["other" if i == k else w for i, w in enumerate(words)]) for k in range(20)] + [" ".join(words[:12]), " ".join(words[:13])]
+    got = {x.doc_id: x.n_windows for x in decontamination.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got[9] == 5 and set(got) == {0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 13, 14, 15, 16, 17, 18, 19, 21}
+
+
 def quality_rows(n=400):
     r = random.Random(9)
     rows = []

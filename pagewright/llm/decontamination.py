@@ -29,7 +29,7 @@ from .common import map_arrow, mixed, windows, written
 
 #: Templates in a run, fewest templates of an item that can match, and templates that a match must cover (or the whole item).
 WINDOW, SHORTEST, COVER = 8, 5, 13
-#: Words in a run, in eighths, that mustn't be placeholders.
+#: Words in a run, in eighths, that mustn't be placeholders; a run with fewer is dense and matches by its values or beside another run.
 PLAIN_EIGHTHS = 4
 BITMAP = 1 << 24
 
@@ -116,14 +116,14 @@ def _pattern(values: np.ndarray) -> bytes:
 
 
 def _runs(rows: DataFrame, key: str, sizes: list[int] | None, bitmap: np.ndarray | None) -> DataFrame:
-    """key, n, size, window, place, pattern, slots for the runs of each text; sizes None: of the size that the text itself asks for."""
+    """key, n, size, window, place, pattern, slots, dense for the runs of each text; sizes None: of the size that the text itself asks for."""
     shared = None if bitmap is None else rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def start():
         words = Words()
 
         def run(batch):
-            out = {k: [] for k in (key, "n", "size", "window", "place", "pattern", "slots")}
+            out = {k: [] for k in (key, "n", "size", "window", "place", "pattern", "slots", "dense")}
             ids, all_texts = batch.column(key).to_pylist(), batch.column("text").to_pylist()
             for at in range(0, len(ids), 1000):
                 template, values, word, kind, owner = words.of([(t or "").split() for t in all_texts[at : at + 1000]])
@@ -134,7 +134,8 @@ def _runs(rows: DataFrame, key: str, sizes: list[int] | None, bitmap: np.ndarray
                     if size < SHORTEST or len(template) < size:
                         continue
                     found = windows(template, size)
-                    ok = (owner[size - 1 :] == owner[: len(found)]) & ((slots_in[size:] - slots_in[:-size]) * 8 <= size * (8 - PLAIN_EIGHTHS))
+                    ok = owner[size - 1 :] == owner[: len(found)]
+                    dense = (slots_in[size:] - slots_in[:-size]) * 8 > size * (8 - PLAIN_EIGHTHS)
                     if sizes is None:
                         ok &= np.minimum(counts, WINDOW)[owner[: len(found)]] == size
                     if shared is not None:
@@ -142,21 +143,23 @@ def _runs(rows: DataFrame, key: str, sizes: list[int] | None, bitmap: np.ndarray
                         ok &= (shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
                     for k in np.flatnonzero(ok).tolist():
                         mine, doc = values[word[k : k + size]][kind[k : k + size] != PLAIN], int(owner[k])
-                        for name, v in ((key, ids[at + doc]), ("n", int(counts[doc])), ("size", size), ("window", int(found[k : k + 1].view(np.int64)[0])), ("place", k - int(first[doc])), ("pattern", _pattern(mine)), ("slots", mine.view(np.int64).tolist())):
+                        for name, v in ((key, ids[at + doc]), ("n", int(counts[doc])), ("size", size), ("window", int(found[k : k + 1].view(np.int64)[0])), ("place", k - int(first[doc])), ("pattern", _pattern(mine)), ("slots", mine.view(np.int64).tolist()), ("dense", bool(dense[k]))):
                             out[name].append(v)
-            kinds = {key: pa.int64(), "n": pa.int32(), "size": pa.int32(), "window": pa.int64(), "place": pa.int32(), "pattern": pa.binary(), "slots": pa.list_(pa.int64())}
+            kinds = {key: pa.int64(), "n": pa.int32(), "size": pa.int32(), "window": pa.int64(), "place": pa.int32(), "pattern": pa.binary(), "slots": pa.list_(pa.int64()), "dense": pa.bool_()}
             return {k: pa.array(v, kinds[k]) for k, v in out.items()}
 
         return run
 
-    return map_arrow(rows.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")), start, f"{key} long, n int, size int, window long, place int, pattern binary, slots array<long>")
+    return map_arrow(rows.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")), start, f"{key} long, n int, size int, window long, place int, pattern binary, slots array<long>, dense boolean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_slots, reparameterised for each document and benchmark item that match.
 
     A match covers COVER words of the item or all of them: the union of the
-    runs that match at one offset, adjacent or not. n_windows counts the
+    runs that match at one offset, adjacent or not. Runs that are mostly
+    placeholders match with equal values; with others they count only where a
+    run that isn't matches at the same offset. n_windows counts the
     matching runs at the best offset, n_slots the distinct values there;
     reparameterised says that some value differs. Items of fewer
     than SHORTEST words match nothing, neither do null and empty texts. Rows
@@ -170,11 +173,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW values
     if not sizes:
         return items.selectExpr("item_id as doc_id", "item_id", "cast(0 as long) as n_windows", "cast(0 as long) as n_slots", "false as reparameterised").where("false")
-    runs = _runs(docs, "doc_id", sizes, bitmap.view(np.uint64))
-    wanted = items.select("item_id", F.col("n").alias("item_n"), "size", "window", F.col("place").alias("item_place"), F.col("pattern").alias("item_pattern"), F.col("slots").alias("item_slots"))
-    met = runs.join(wanted, ["window", "size"]).where("pattern = item_pattern").withColumn("offset", F.col("place") - F.col("item_place"))
-    met = met.dropDuplicates(["doc_id", "item_id", "offset", "item_place"])
+    by_values = F.when(F.col("dense"), F.xxhash64("slots")).otherwise(F.lit(0)).alias("by_values")
+    runs = written(_runs(docs, "doc_id", sizes, bitmap.view(np.uint64)).select("*", by_values))
+    wanted = items.select("item_id", F.col("n").alias("item_n"), "size", "window", F.col("place").alias("item_place"), F.col("pattern").alias("item_pattern"), F.col("slots").alias("item_slots"), F.col("dense").alias("item_dense"), by_values)
     group = ["doc_id", "item_id", "offset"]
+    found = [*group, "item_n", "size", "item_place", "item_slots", "slots", "dense"]
+    met = runs.join(wanted, ["window", "size", "by_values"]).where("pattern = item_pattern and (not dense or slots = item_slots)").withColumn("offset", F.col("place") - F.col("item_place")).select(found)
+    # Dense runs with other values count where a run that isn't dense matches at the same offset; they are looked up by their places.
+    beside = met.where("not dense").select(group).distinct().join(wanted.where("item_dense").drop("by_values"), "item_id").withColumn("place", F.col("offset") + F.col("item_place"))
+    beside = beside.join(runs.where("dense").drop("n", "by_values"), ["doc_id", "place", "size", "window"]).where("pattern = item_pattern").select(found)
+    met = met.union(beside).dropDuplicates(["doc_id", "item_id", "offset", "item_place"])
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots"))))
     each = met.groupBy(*group).agg(F.count("*").alias("n_windows"), F.first("item_n").alias("item_n"), F.first("size").alias("size"), F.sort_array(F.collect_set("item_place")).alias("places"), pairs.alias("pairs"))
     covered = F.expr("size + aggregate(zip_with(slice(places, 2, size(places)), slice(places, 1, size(places) - 1), (b, a) -> least(size, b - a)), 0, (n, x) -> n + x)")

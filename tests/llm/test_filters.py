@@ -80,6 +80,15 @@ def test_words_under_separate_runs_are_counted(spark):
     assert got[9] == 5 and set(got) == {0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 13, 14, 15, 16, 17, 18, 19, 21}
 
 
+def test_items_dense_in_numbers(spark):
+    """Runs that are mostly placeholders match verbatim, or beside a run that isn't; other numbers alone are no match."""
+    apples, solve, numbers = "If Tom has 3 apples, Ann has 5, Bob has 7, how many?", "Solve 3 x 4, 5 x 6, 7 x 8, 9 x 10, 11 x 12 now.", "1 2 3 4 5 6 7 8 9 10 11 12 13 14"
+    bench = spark.createDataFrame([(1, apples), (2, solve), (3, numbers)], "item_id long, text string")
+    texts = ["It says. " + apples + " Right.", "It says. " + solve, apples.replace("3", "4").replace("Ann", "Eve").replace("7", "9"), "x " + numbers + " y", "21 22 23 24 25 26 27 28 29 30 31 32 33 34", solve.replace("x", "+"), apples.replace("5", "3")]
+    got = {(x.doc_id, x.item_id, x.n_windows, x.reparameterised) for x in decontamination.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 1, 6, False), (1, 2, 10, False), (2, 1, 6, True), (3, 3, 7, False)}
+
+
 def quality_rows(n=400):
     r = random.Random(9)
     rows = []

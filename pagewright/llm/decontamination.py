@@ -2,6 +2,7 @@
 
 Words become templates: numbers, names and units are replaced by placeholders
 of their type, and other words are lower-cased without the marks around them.
+Runs with names are also read with the names as plain words.
 Every run of WINDOW templates of a benchmark item is a key; a document's runs
 meet them in a hash join. A run must also agree in its slots: the places that
 hold equal values in the item hold equal values in the document, so that a
@@ -82,7 +83,7 @@ class Words(dict):
         return n
 
     def of(self, each: list[list[str]]):
-        """Of several texts' words that have more than marks: templates; all values, and where each word's is; types; and texts' numbers."""
+        """Of several texts' words that have more than marks: templates; templates with names as plain words; all values, and where each word's is; types; plain words with a capital; and texts' numbers."""
         if len(self) > self.REMEMBERED:
             self.clear()
             self.__init__()
@@ -100,13 +101,15 @@ class Words(dict):
         name = (flags & CAPITAL > 0) & ~begins
         kind = flags & 3
         kind[name] = NAME
-        template = templates[at]
+        folded = templates[at]
+        template = folded.copy() if name.any() else folded
         template[name] = _TYPE[NAME]
+        capital = (flags & CAPITAL > 0) & begins
         empty = flags & EMPTY > 0
         if empty.any():
             keep = ~empty
-            return template[keep], values, at[keep], kind[keep], owner[keep]
-        return template, values, at, kind, owner
+            return template[keep], folded[keep], values, at[keep], kind[keep], capital[keep], owner[keep]
+        return template, folded, values, at, kind, capital, owner
 
 
 def _pattern(values: np.ndarray) -> bytes:
@@ -116,41 +119,68 @@ def _pattern(values: np.ndarray) -> bytes:
 
 
 def _runs(rows: DataFrame, key: str, sizes: list[int] | None, bitmap: np.ndarray | None) -> DataFrame:
-    """key, n, size, window, place, pattern, slots, dense for the runs of each text; sizes None: of the size that the text itself asks for."""
+    """key, n, size, window, place, pattern, slots, dense, fixed, same_first for the runs of each text; sizes None: of the size that the text itself asks for.
+
+    Runs with names are read twice, with placeholders for them and as plain
+    words (fixed has these names), so that letter case and where a sentence
+    starts can't hide a copy. With sizes None a plain first word with a capital
+    is also read as a name: as it may be anything but a name, it must be the
+    same in the document (same_first), unless it is a name further on.
+    """
     shared = None if bitmap is None else rows.sparkSession.sparkContext.broadcast(bitmap)
+    kinds = {key: pa.int64(), "n": pa.int32(), "size": pa.int32(), "window": pa.int64(), "place": pa.int32(), "pattern": pa.binary(), "slots": pa.list_(pa.int64()), "dense": pa.bool_(), "fixed": pa.list_(pa.int64()), "same_first": pa.bool_()}
 
     def start():
         words = Words()
 
         def run(batch):
-            out = {k: [] for k in (key, "n", "size", "window", "place", "pattern", "slots", "dense")}
+            out = {k: [] for k in kinds}
             ids, all_texts = batch.column(key).to_pylist(), batch.column("text").to_pylist()
             for at in range(0, len(ids), 1000):
-                template, values, word, kind, owner = words.of([(t or "").split() for t in all_texts[at : at + 1000]])
+                template, folded, values, word, kind, capital, owner = words.of([(t or "").split() for t in all_texts[at : at + 1000]])
                 counts = np.bincount(owner, minlength=len(ids[at : at + 1000]))
                 first = np.cumsum(counts) - counts
-                slots_in = np.cumsum(np.r_[0, kind != PLAIN])
+                names = kind == NAME
+                names_in = np.cumsum(np.r_[0, names])
+                readings = [(template, kind, False, None)]
+                if names_in[-1]:
+                    readings.append((folded, np.where(names, PLAIN, kind), True, None))
+                starts = first[counts > 0]
+                starts = starts[capital[starts]] if sizes is None else starts[:0]
+                if len(starts):
+                    as_name, name_kind = template.copy(), kind.copy()
+                    as_name[starts], name_kind[starts] = _TYPE[NAME], NAME
+                    readings.append((as_name, name_kind, False, starts))
                 for size in sizes or sorted(set(np.minimum(counts, WINDOW).tolist())):
                     if size < SHORTEST or len(template) < size:
                         continue
-                    found = windows(template, size)
-                    ok = owner[size - 1 :] == owner[: len(found)]
-                    dense = (slots_in[size:] - slots_in[:-size]) * 8 > size * (8 - PLAIN_EIGHTHS)
-                    if sizes is None:
-                        ok &= np.minimum(counts, WINDOW)[owner[: len(found)]] == size
-                    if shared is not None:
-                        bit = found % np.uint64(BITMAP)
-                        ok &= (shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-                    for k in np.flatnonzero(ok).tolist():
-                        mine, doc = values[word[k : k + size]][kind[k : k + size] != PLAIN], int(owner[k])
-                        for name, v in ((key, ids[at + doc]), ("n", int(counts[doc])), ("size", size), ("window", int(found[k : k + 1].view(np.int64)[0])), ("place", k - int(first[doc])), ("pattern", _pattern(mine)), ("slots", mine.view(np.int64).tolist()), ("dense", bool(dense[k]))):
-                            out[name].append(v)
-            kinds = {key: pa.int64(), "n": pa.int32(), "size": pa.int32(), "window": pa.int64(), "place": pa.int32(), "pattern": pa.binary(), "slots": pa.list_(pa.int64()), "dense": pa.bool_()}
+                    for read, types, as_words, only in readings:
+                        found = windows(read, size)
+                        ok = owner[size - 1 :] == owner[: len(found)]
+                        if sizes is None:
+                            ok &= np.minimum(counts, WINDOW)[owner[: len(found)]] == size
+                        if as_words:
+                            ok &= names_in[size:] > names_in[:-size]
+                        if only is not None:
+                            ok &= np.isin(np.arange(len(found)), only)
+                        if shared is not None:
+                            bit = found % np.uint64(BITMAP)
+                            ok &= (shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+                        for k in np.flatnonzero(ok).tolist():
+                            here, doc = values[word[k : k + size]], int(owner[k])
+                            slot = types[k : k + size] != PLAIN
+                            mine = here[slot]
+                            dense = int(slot.sum()) * 8 > size * (8 - PLAIN_EIGHTHS)
+                            fixed = here[names[k : k + size]] if as_words else here[:0]
+                            all_mine = slice(k, k + int(counts[doc]))
+                            same_first = only is not None and not bool((names[all_mine] & (values[word[all_mine]] == here[0])).any())
+                            for name, v in ((key, ids[at + doc]), ("n", int(counts[doc])), ("size", size), ("window", int(found[k : k + 1].view(np.int64)[0])), ("place", k - int(first[doc])), ("pattern", _pattern(mine)), ("slots", mine.view(np.int64).tolist()), ("dense", dense), ("fixed", fixed.view(np.int64).tolist()), ("same_first", same_first)):
+                                out[name].append(v)
             return {k: pa.array(v, kinds[k]) for k, v in out.items()}
 
         return run
 
-    return map_arrow(rows.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")), start, f"{key} long, n int, size int, window long, place int, pattern binary, slots array<long>, dense boolean")
+    return map_arrow(rows.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")), start, f"{key} long, n int, size int, window long, place int, pattern binary, slots array<long>, dense boolean, fixed array<long>, same_first boolean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -159,7 +189,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A match covers COVER words of the item or all of them: the union of the
     runs that match at one offset, adjacent or not. Runs that are mostly
     placeholders match with equal values; with others they count only where a
-    run that isn't matches at the same offset. n_windows counts the
+    run that isn't matches at the same offset. Names also match as plain words
+    in any letter case. n_windows counts the
     matching runs at the best offset, n_slots the distinct values there;
     reparameterised says that some value differs. Items of fewer
     than SHORTEST words match nothing, neither do null and empty texts. Rows
@@ -174,17 +205,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not sizes:
         return items.selectExpr("item_id as doc_id", "item_id", "cast(0 as long) as n_windows", "cast(0 as long) as n_slots", "false as reparameterised").where("false")
     by_values = F.when(F.col("dense"), F.xxhash64("slots")).otherwise(F.lit(0)).alias("by_values")
-    runs = written(_runs(docs, "doc_id", sizes, bitmap.view(np.uint64)).select("*", by_values))
-    wanted = items.select("item_id", F.col("n").alias("item_n"), "size", "window", F.col("place").alias("item_place"), F.col("pattern").alias("item_pattern"), F.col("slots").alias("item_slots"), F.col("dense").alias("item_dense"), by_values)
+    runs = written(_runs(docs, "doc_id", sizes, bitmap.view(np.uint64)).drop("fixed", "same_first").select("*", by_values))
+    wanted = items.select("item_id", F.col("n").alias("item_n"), "size", "window", F.col("place").alias("item_place"), F.col("pattern").alias("item_pattern"), F.col("slots").alias("item_slots"), F.col("dense").alias("item_dense"), "fixed", "same_first", by_values)
     group = ["doc_id", "item_id", "offset"]
-    found = [*group, "item_n", "size", "item_place", "item_slots", "slots", "dense"]
-    met = runs.join(wanted, ["window", "size", "by_values"]).where("pattern = item_pattern and (not dense or slots = item_slots)").withColumn("offset", F.col("place") - F.col("item_place")).select(found)
+    found = [*group, "item_n", "size", "item_place", "item_slots", "slots", "dense", "fixed"]
+    fits = "pattern = item_pattern and (not same_first or slots[0] = item_slots[0])"
+    met = runs.join(wanted, ["window", "size", "by_values"]).where(f"{fits} and (not dense or slots = item_slots)").withColumn("offset", F.col("place") - F.col("item_place")).select(found)
     # Dense runs with other values count where a run that isn't dense matches at the same offset; they are looked up by their places.
     beside = met.where("not dense").select(group).distinct().join(wanted.where("item_dense").drop("by_values"), "item_id").withColumn("place", F.col("offset") + F.col("item_place"))
-    beside = beside.join(runs.where("dense").drop("n", "by_values"), ["doc_id", "place", "size", "window"]).where("pattern = item_pattern").select(found)
-    met = met.union(beside).dropDuplicates(["doc_id", "item_id", "offset", "item_place"])
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots"))))
-    each = met.groupBy(*group).agg(F.count("*").alias("n_windows"), F.first("item_n").alias("item_n"), F.first("size").alias("size"), F.sort_array(F.collect_set("item_place")).alias("places"), pairs.alias("pairs"))
+    beside = beside.join(runs.where("dense").drop("n", "by_values"), ["doc_id", "place", "size", "window"]).where(fits).select(found)
+    met = met.union(beside).distinct()
+    pairs = F.array_distinct(F.flatten(F.collect_list(F.concat(F.arrays_zip("item_slots", "slots"), F.transform("fixed", lambda v: F.struct(v.alias("item_slots"), v.alias("slots")))))))
+    each = met.groupBy(*group).agg(F.first("item_n").alias("item_n"), F.first("size").alias("size"), F.sort_array(F.collect_set("item_place")).alias("places"), pairs.alias("pairs")).withColumn("n_windows", F.size("places").cast("long"))
     covered = F.expr("size + aggregate(zip_with(slice(places, 2, size(places)), slice(places, 1, size(places) - 1), (b, a) -> least(size, b - a)), 0, (n, x) -> n + x)")
     distinct = lambda name: F.size(F.array_distinct(F.col(f"pairs.{name}")))
     consistent = (distinct("item_slots") == F.size("pairs")) & (distinct("slots") == F.size("pairs"))

@@ -89,6 +89,15 @@ def test_items_dense_in_numbers(spark):
     assert got == {(0, 1, 6, False), (1, 2, 10, False), (2, 1, 6, True), (3, 3, 7, False)}
 
 
+def test_short_items_whatever_is_before_them(spark):
+    """Where a sentence starts, and letter case, hide no copy; another word in the place of an item's first one is no name."""
+    planet, trip, seven = "What is the largest planet in our solar system by mass?", "Alice drove from Paris to Rome", "Where was old Henry born?"
+    bench = spark.createDataFrame([(1, planet), (2, trip), (3, seven)], "item_id long, text string")
+    texts = ["Question one. " + planet, "Question one " + planet, "1) " + planet, "a title\n" + planet, planet.lower(), planet.upper(), planet.title(), "so " + trip, trip.lower() + " again", "THE " + trip.upper(), "then Alice drove from Turin to Rome", "and " + seven.lower(), "so " + seven, "we saw That is the largest planet in our solar system by mass", "then Berta drove from Paris to Rome"]
+    got = {(x.doc_id, x.item_id): x.reparameterised for x in decontamination.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {**{(i, 1): False for i in range(7)}, (7, 2): False, (8, 2): False, (9, 2): False, (10, 2): True, (11, 3): False, (12, 3): False}
+
+
 def quality_rows(n=400):
     r = random.Random(9)
     rows = []

@@ -18,6 +18,7 @@ from __future__ import annotations
 import difflib
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -37,6 +38,19 @@ RAW = ("script", "style", "template", "noscript", "textarea", "iframe", "svg", "
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form button select option label dialog menu head object audio video canvas".split())
+# Elements whose start tag ends open ones that have no end tag, and what that doesn't reach beyond.
+TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
+CELLS = frozenset("table caption td th".split())
+HEAD = frozenset("meta link base title style script noscript template".split())
+_ROWS, _CELL = frozenset(("thead", "tbody", "tfoot")), frozenset(("td", "th"))
+IMPLIED = {
+    "li": [(frozenset(("li",)), frozenset("ul ol menu table td th".split()))],
+    **dict.fromkeys(("dt", "dd"), [(frozenset(("dt", "dd")), frozenset("dl table td th".split()))]),
+    **dict.fromkeys(("td", "th"), [(_CELL, frozenset(("tr", "table")))]),
+    "tr": [(frozenset(("tr",)), frozenset(("table",)))],
+    **dict.fromkeys(_ROWS, [(_ROWS, frozenset(("table",)))]),
+    "option": [(frozenset(("option",)), frozenset(("select",)))],
+}
 # Words of a class, id or role that tell what isn't main text.
 SIDE = frozenset("ad ads adv advert adverts advertisement advertising banner promo promoted sponsor sponsored menu nav navbar navigation breadcrumb breadcrumbs footer masthead sidebar notice notices alert cookie cookies consent popup modal overlay comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe signup pagination pager toolbar complementary contentinfo search".split())
 MAIN_WORDS = frozenset("content article post entry main story body-text maincontent main-content article-body post-content entry-content".split())
@@ -141,12 +155,51 @@ def main_text(page: str, element: str) -> str:
     return "\n".join(blocks)
 
 
+def _closed_by(stack: list[str], count: Counter, names: frozenset[str], bounds: frozenset[str]) -> None:
+    """Ends the innermost open element of these names, and all in it, unless one of bounds is met first."""
+    if not any(count[n] for n in names):
+        return
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k] in names:
+            count.subtract(stack[k:])
+            del stack[k:]
+            return
+        if stack[k] in bounds:
+            return
+
+
+def _walk(page: str):
+    """text, name, words (None for an end tag), level for the page's texts and tags: level counts the elements that stay open before a start tag and after an end tag, end tags that may be left out included."""
+    stack: list[str] = []
+    count: Counter = Counter()
+    for m in _TOKEN.finditer(page):
+        if m["text"]:
+            yield m["text"], "", None, len(stack)
+        elif m["name"]:
+            name = m["name"].lower()
+            if m["close"]:
+                _closed_by(stack, count, frozenset((name,)), CELLS - {name} if name in BLOCKS and name not in TABLE else frozenset(("table",)) - {name} if name in TABLE else BLOCKS)
+                yield "", name, None, len(stack)
+                continue
+            if stack and stack[-1] == "head" and name not in HEAD:
+                _closed_by(stack, count, frozenset(("head",)), frozenset())
+            if name in BLOCKS:
+                _closed_by(stack, count, frozenset("p"), CELLS)
+            for names, bounds in IMPLIED.get(name, ()):
+                _closed_by(stack, count, names, bounds)
+            level = len(stack)
+            if name not in VOID and not m["rest"].endswith("/"):
+                stack.append(name)
+                count[name] += 1
+            yield "", name, _telling(m["rest"]), level
+
+
 def _read(page: str, element: str) -> tuple[list[str], bool]:
     name_wanted, *words_wanted = element.split(".")
     blocks: list[str] = []
     now: list[str] = []
-    depth, found = 0, not element
-    side, side_depth = "", 0
+    found = not element
+    main = side = None  # the levels of the open main element and side part
 
     def close_block():
         if now:
@@ -155,37 +208,29 @@ def _read(page: str, element: str) -> tuple[list[str], bool]:
                 blocks.append(text)
             now.clear()
 
-    for m in _TOKEN.finditer(page):
-        text, name = m["text"], m["name"]
+    for text, name, words, level in _walk(page):
+        if side is not None and level <= side:
+            side = None
+        if main is not None and level <= main:
+            close_block()
+            main = None
+        if side is not None:
+            continue
         if text:
-            if not side and (depth or not element):
+            if main is not None or not element:
                 now.append(text)
             continue
-        if not name:
-            continue
-        name = name.lower()
-        if side:
-            if name == side and not m["rest"].endswith("/"):
-                side_depth += -1 if m["close"] else 1
-                if side_depth == 0:
-                    side = ""
-            continue
-        words = _telling(m["rest"])
         if name in BLOCKS:
             close_block()
         elif name == "br":
             now.append(" ")
-        if element and name == name_wanted:
-            if m["close"]:
-                depth = max(0, depth - 1)
-            elif depth or sorted(words) == words_wanted or not words_wanted:
-                if not depth and _is_side(name, words, False):
-                    side, side_depth = name, 1
-                    continue
-                depth, found = depth + 1, True
-                continue
-        if not m["close"] and name not in VOID and _is_side(name, words, bool(depth)) and name not in ("html", "body"):
-            side, side_depth = name, 1
+        if words is None or name in VOID:
+            continue
+        wanted = main is None and bool(element) and name == name_wanted and (sorted(words) == words_wanted or not words_wanted)
+        if name not in ("html", "body") and _is_side(name, words, main is not None):
+            side = level
+        elif wanted:
+            main, found = level, True
     close_block()
     return blocks, found
 

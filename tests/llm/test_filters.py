@@ -174,6 +174,15 @@ def test_html(spark):
     assert webpages.extracted(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "inside, want",
+    [('<p class="ad">Buy<p>one</p><p>two</p>', "one\ntwo"), ('<ul><li class="share">s<li>one<li>two</ul><p>three', "one\ntwo\nthree"), ('<dl><dt class="ad">a<dd>b<dt>c</dl>d', "b\nc\nd"), ('<table><tr class="ad"><td>a<td>b<tr><td class="ad">c<td>d</table>e', "d\ne"), ('<section>x<div class="ad">Buy<p>more</section><p>one', "x\none"), ('<div class="ad">a<div>b</div>c</div>d', "d"), ('<p class="ad"><b>Buy<p>one</p>', "one"), ('<div class="ad">a</p>b</b>c</div>d', "d")],
+)
+def test_side_parts_end_without_end_tags(inside, want):
+    assert webpages.main_text(f"<html><head><meta charset=x><body><article>{inside}</article><p>after", "article") == want
+    assert webpages.main_text(f"<html><head><meta charset=x><body><div>{inside}</div><p>after", "") == want + "\nafter"
+
+
 def test_wrappers_are_union_free():
     a = webpages.folded(webpages.stream("<div><p>x</p><p>y</p><p>z</p></div>"))
     b = webpages.folded(webpages.stream("<div><h1>t</h1><p>x</p></div>"))

@@ -67,10 +67,13 @@ def _telling(rest: str) -> list[str]:
     return [w.lower() for m in _TELLING.finditer(rest) for w in (m[1] or m[2] or m[3] or "").split()] if rest else []
 
 
-def _is_side(name: str, words: list[str], in_main: bool) -> bool:
+def _is_side(name: str, words: list[str], in_main: bool, whole: bool = False) -> bool:
+    """Whether an element is dropped; whole: by whole words only. A word with a part that tells the main text, as in content-with-sidebar, counts as a whole only."""
     if name in DROPPED or name == "header" and not in_main:
         return True
-    return any(w in SIDE or any(p in SIDE for p in re.split(r"[-_]", w)) and w not in MAIN_WORDS for w in words)
+    if whole:
+        return any(w in SIDE for w in words)
+    return any(w in SIDE or w not in MAIN_WORDS and not SIDE.isdisjoint(parts) and MAIN_WORDS.isdisjoint(parts) for w in words for parts in [re.split(r"[-_]", w)])
 
 
 def stream(page: str) -> list[str]:
@@ -141,7 +144,7 @@ def main_element(wrapper: list[str]) -> str:
                 return wanted
     for t in tags:
         name, *words = t[1:-1].split(".")
-        if name in ("div", "section", "td") and any(w in MAIN_WORDS for w in words) and not _is_side(name, words, False):
+        if name in ("div", "section", "td") and any(w in MAIN_WORDS for w in words) and not _is_side(name, words, False, True):
             return t[1:-1]
     return ""
 
@@ -194,8 +197,27 @@ def _walk(page: str):
             yield "", name, _telling(m["rest"]), level
 
 
+def _around(tokens: list, wanted) -> set[int]:
+    """Where in tokens the wanted elements that are in no other one start, and those that hold the first of them; others, such as lists of related articles, may be side parts."""
+    path: list[int] = []
+    found: set[int] = set()
+    inside: set[int] = set()
+    for k, (text, name, words, level) in enumerate(tokens):
+        del path[level:]
+        if words is not None and name not in VOID:
+            path.append(k)
+            if wanted(name, words) and not _is_side(name, words, False, True) and inside.isdisjoint(path):
+                found.update(path if not inside else path[-1:])
+                inside.add(k)
+    return found
+
+
 def _read(page: str, element: str) -> tuple[list[str], bool]:
     name_wanted, *words_wanted = element.split(".")
+    wanted = lambda name, words: name == name_wanted and (not words_wanted or sorted(words) == words_wanted)
+    main_like = lambda name, words: name in ("article", "main") or not MAIN_WORDS.isdisjoint(words)
+    tokens = list(_walk(page))
+    around = _around(tokens, wanted if element else main_like)
     blocks: list[str] = []
     now: list[str] = []
     found = not element
@@ -208,7 +230,7 @@ def _read(page: str, element: str) -> tuple[list[str], bool]:
                 blocks.append(text)
             now.clear()
 
-    for text, name, words, level in _walk(page):
+    for k, (text, name, words, level) in enumerate(tokens):
         if side is not None and level <= side:
             side = None
         if main is not None and level <= main:
@@ -226,10 +248,9 @@ def _read(page: str, element: str) -> tuple[list[str], bool]:
             now.append(" ")
         if words is None or name in VOID:
             continue
-        wanted = main is None and bool(element) and name == name_wanted and (sorted(words) == words_wanted or not words_wanted)
-        if name not in ("html", "body") and _is_side(name, words, main is not None):
+        if name not in ("html", "body") and _is_side(name, words, main is not None, k in around):
             side = level
-        elif wanted:
+        elif main is None and element and wanted(name, words):
             main, found = level, True
     close_block()
     return blocks, found

@@ -183,6 +183,15 @@ def test_side_parts_end_without_end_tags(inside, want):
     assert webpages.main_text(f"<html><head><meta charset=x><body><div>{inside}</div><p>after", "") == want + "\nafter"
 
 
+@pytest.mark.parametrize("article", ['<article class="post category-notice">', '<article class="has-sidebar related_posts_off">', "<article>"])
+def test_parts_of_words_hide_no_main_element(article):
+    page = f'<body class="x"><div class="page-with-sidebar"><div class="content-with-sidebar">{article}<h1>t</h1><p>one</p><div class="share-buttons">s</div><div class="post-content-with-ads"><p>two</p></div></article></div><div class="site-sidebar">b</div></div></body>'
+    assert webpages.main_text(page, "article") == webpages.main_text(page, "") == "t\none\ntwo"
+    assert webpages.main_text(f'<div class="sidebar">{article}no</article></div><p>yes</p>', "article") == "yes"
+    assert webpages.main_text(f'{article}yes<div class="comments-list"><article>no</article></div></article><div class="related-posts"><article>no</article></div>', "article") == "yes"
+    assert webpages.main_element(["<div.content.with-sidebar>"]) == "div.content.with-sidebar" and webpages.main_element(["<div.content.sidebar>"]) == ""
+
+
 def test_wrappers_are_union_free():
     a = webpages.folded(webpages.stream("<div><p>x</p><p>y</p><p>z</p></div>"))
     b = webpages.folded(webpages.stream("<div><h1>t</h1><p>x</p></div>"))

@@ -221,7 +221,12 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """docs without the documents that aren't their component's least doc_id; the same columns.
 
-    Of rows that repeat a doc_id, one stays.
+    Of rows that repeat a doc_id, the one with the least hash of its text stays,
+    then the one whose other columns come first as JSON. Rows without a doc_id
+    all stay.
     """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    key = F.struct(F.xxhash64("text"), F.to_json(F.struct(*others)) if others else F.lit(""))
+    least = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("of_id")).agg(F.min_by(F.struct(*docs.columns), key).alias("row")).select("row.*")
+    return least.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagewright.llm import decontamination, fingerprints, licenses, quality, queries, urls, webpages
+from pagewright.llm import decontamination, fingerprints, licenses, neardup, quality, queries, urls, webpages
 
 
 def docs_of(spark, texts):
@@ -229,6 +229,13 @@ def test_fingerprints(spark):
     assert alone.near_next == 1.0 and fingerprints.compared(docs_of(spark, ["x"]).where("false")).count() == 0
 
 
+def test_near_dedup_settles_null_and_repeated_ids(spark):
+    rows = [(None, "no id", "a"), (None, "no id", "b"), (1, "one text", "z"), (1, "another text", "y"), (1, "one text", "x"), (2, "alone", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(map(tuple, neardup.without_near_copies(d).collect()), key=str) for d in (docs, docs.orderBy(F.desc("source")), docs.repartition(5, "source"))]
+    assert got[0] == got[1] == got[2] and [r for r in got[0] if r[0] is None] == rows[:2] and [r[0] for r in got[0] if r[0]] == [1, 2] and (1, "one text", "z") not in got[0]
+
+
 def test_pipeline(spark, tmp_path):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))

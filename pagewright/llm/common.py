@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -24,14 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of each table that written() made and that is still referred to.
+_FOLDERS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that is unset, as in tests, the session gets a folder under its
-    own warehouse directory.
+    Where that is unset, a session on one machine, as in tests, gets a folder
+    under its own warehouse directory; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/pagewright/{uuid.uuid4().hex}"
@@ -43,7 +51,18 @@ def written(df: DataFrame) -> DataFrame:
     folder = shared_folder(spark)
     df.write.parquet(folder)
     released(spark)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    _FOLDERS[out] = folder
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned and that nothing reads any more."""
+    for t in tables:
+        spark, folder = t.sparkSession, _FOLDERS.pop(t, None)
+        if folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

@@ -1,17 +1,19 @@
 """MinHash near-duplicates by a multi-index Hamming join of b-bit signatures.
 
-Each text's set of word shingles gets a signature of SLOTS 16-bit minima. Two
+Each text's set of word shingles gets a signature of SLOTS 32-bit minima. Two
 sets of similarity s agree in a slot with probability s, so that sets of
 similarity 0.75 or more differ in over 31 of 48 slots less than once in 10^8
 pairs. The join finds *all* pairs that differ in at most DISTANCE slots: the
 signature is cut into CHUNKS chunks; by the pigeonhole principle such a pair
 has a chunk with at most DISTANCE // CHUNKS differing slots, so every chunk is
-indexed once for each choice of slots that may differ. Links are confirmed on
-the full sets.
-
-Texts with equal sets form a class first, and only its least doc_id goes on.
-Buckets of the index aren't expanded into pairs: a first round compares each
-member with the bucket's least member; a second one compares, in blocks of
+indexed once for each choice of slots that may differ. A key stands for 64
+bits of the signature, so that sets without a common shingle don't meet in
+any number of documents. Links are confirmed on the full sets.
+
+Texts with equal sets form a class, and only classes go on. Buckets of the
+index aren't expanded into pairs. A first round compares each member with the
+bucket's hub, the member that meets most others in all its buckets: of copies
+of a text that is mostly the text. A second round compares, in blocks of
 bounded size, only members that the first round left in different components.
 No pair within the distance is left out.
 """
@@ -26,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_1, WordNumbers, map_arrow, mixed, signed, texts, texts_of, windows, written
+from .common import MIX_1, WordNumbers, dropped, map_arrow, mixed, signed, texts, texts_of, windows, written
 from .components import components
 
 SHINGLE, SLOTS, CHUNKS, DISTANCE = 5, 48, 16, 31
-#: Rows that one task of a comparison holds of either side.
-LEFT, RIGHT = 512, 1024
+#: Shingles that one task of a comparison holds of either side, 8 bytes each; a text with more is alone there.
+LEFT, RIGHT = 1_000_000, 500_000
 
 
 def shingles(numbers: WordNumbers, text: bytes, size: int) -> np.ndarray:
@@ -47,82 +49,91 @@ def _seeds(slots: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
-    """One row of 16-bit minima for each set that isn't empty."""
+    """One row of 32-bit minima for each set that isn't empty."""
     full = [s for s in sets if len(s)]
     if not full:
-        return np.empty((0, slots), np.uint16)
+        return np.empty((0, slots), np.uint32)
     flat = np.concatenate(full)
     starts = np.cumsum([0, *(len(s) for s in full[:-1])])
-    out = np.empty((len(full), slots), np.uint16)
+    out = np.empty((len(full), slots), np.uint32)
     for i, seed in enumerate(_seeds(slots)):
-        out[:, i] = (mixed(np.minimum.reduceat((flat ^ seed) * (seed | np.uint64(1)), starts)) & np.uint64(0xFFFF)).astype(np.uint16)
+        out[:, i] = mixed(np.minimum.reduceat((flat ^ seed) * (seed | np.uint64(1)), starts)) >> np.uint64(32)
     return out
 
 
+def _key(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def signed_sets(docs: DataFrame, size: int = SHINGLE, slots: int = SLOTS) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets, null for empty ones), signature."""
+    """doc_id, text_hash, n_shingles, set_key (equal for equal sets, null for empty ones), signature."""
 
     def start():
         numbers = WordNumbers()
 
         def run(batch):
-            out = {"doc_id": [], "n_shingles": [], "set_key": [], "signature": []}
-            ids, all_texts = batch.column("doc_id").to_pylist(), texts(batch)
-            for at in range(0, len(ids), 1000):
+            out = {"n_shingles": [], "set_key": [], "signature": []}
+            all_texts = texts(batch)
+            for at in range(0, len(all_texts), 1000):
                 sets = [shingles(numbers, t, size) for t in all_texts[at : at + 1000]]
                 rows = iter(signatures(sets, slots))
-                out["doc_id"] += ids[at : at + 1000]
                 out["n_shingles"] += map(len, sets)
-                out["set_key"] += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                out["set_key"] += [_key(s) if len(s) else None for s in sets]
                 out["signature"] += [next(rows).tobytes() if len(s) else None for s in sets]
-            return {"doc_id": pa.array(out["doc_id"], pa.int64()), "n_shingles": pa.array(out["n_shingles"], pa.int64()), "set_key": pa.array(out["set_key"], pa.binary()), "signature": pa.array(out["signature"], pa.binary())}
+            kinds = {"n_shingles": pa.int64(), "set_key": pa.binary(), "signature": pa.binary()}
+            return {c: batch.column(c) for c in ("doc_id", "text_hash")} | {c: pa.array(v, kinds[c]) for c, v in out.items()}
 
         return run
 
-    return map_arrow(texts_of(docs), start, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return map_arrow(_with_hash(docs), start, "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary")
+
+
+def _with_hash(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_hash, which tells rows with the same doc_id, or without one, apart."""
+    return texts_of(docs).withColumn("text_hash", F.xxhash64("text"))
 
 
 def index_keys(signed_rows: DataFrame, slots: int, chunks: int, distance: int) -> DataFrame:
-    """key, doc_id: a row for each chunk and each choice of distance // chunks slots of it that may differ."""
+    """key, cls: a row for each chunk and each choice of distance // chunks slots of it that may differ."""
     width, errors = slots // chunks, distance // chunks
-    if slots % chunks or width - errors < 1 or width - errors > 2:
-        raise ValueError("chunks must have equal widths and keep one or two slots when the allowed errors are left out")
+    if slots % chunks or width - errors < 1:
+        raise ValueError("chunks must have equal widths and keep a slot when the allowed errors are left out")
     kept = [(c * width + np.array(k)) for c in range(chunks) for k in combinations(range(width), width - errors)]
+    seeds = mixed(np.arange(1, len(kept) + 1, dtype=np.uint64) * MIX_1)
 
     def start():
         def run(batch):
-            rows = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, slots).astype(np.uint64)
+            rows = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, slots).astype(np.uint64)
             keys = np.empty((len(rows), len(kept)), np.uint64)
             for i, k in enumerate(kept):
-                keys[:, i] = np.uint64(i << 32)
+                keys[:, i] = seeds[i]
                 for x in k:
-                    keys[:, i] = (keys[:, i] & ~np.uint64(0xFFFFFFFF)) | ((keys[:, i] & np.uint64(0xFFFF)) << np.uint64(16)) | rows[:, x]
-            ids = batch.column("doc_id").to_numpy()
-            return {"key": signed(keys.ravel()), "doc_id": pa.array(np.repeat(ids, len(kept)))}
+                    keys[:, i] = mixed(keys[:, i] * MIX_1 + rows[:, x])
+            return {"key": signed(keys.ravel()), "cls": pa.array(np.repeat(batch.column("cls").to_numpy(), len(kept)))}
 
         return run
 
-    return map_arrow(signed_rows.select("doc_id", "signature"), start, "key long, doc_id long")
+    return map_arrow(signed_rows.select("cls", "signature"), start, "key long, cls long")
 
 
-def _near(pairs: DataFrame, signed_rows: DataFrame, distance: int) -> DataFrame:
+def _near(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
     """The pairs (a, b) whose signatures differ in at most distance slots."""
 
     def start():
         def run(batch):
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
             ok = pa.array((x != y).sum(1) <= distance)
             return {c: batch.column(c).filter(ok) for c in ("a", "b")}
 
         return run
 
-    sides = signed_rows.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"))
+    sides = classes.select(F.col("cls").alias("a"), F.col("signature").alias("sa"))
     both = pairs.join(sides, "a").join(sides.withColumnsRenamed({"a": "b", "sa": "sb"}), "b")
     return map_arrow(both.select("a", "b", "sa", "sb"), start, "a long, b long")
 
 
 def _compared(sides: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between the left and right rows (block, part, doc_id, is_left) of the same block and part."""
+    """Links (a, b) between the left and right rows (block, part, cls, is_left) of the same block and part."""
     num, den = share
 
     def compare(key, frame):
@@ -137,7 +148,7 @@ def _compared(sides: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
         flat, owner = flat[order], owner[order]
         sizes = np.array([len(s) for s in ls])
         found = ([], [])
-        lid, rid = left.doc_id.to_numpy(), right.doc_id.to_numpy()
+        lid, rid = left.cls.to_numpy(), right.cls.to_numpy()
         for j, s in enumerate(rs):
             lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
             n = hi - lo
@@ -149,73 +160,118 @@ def _compared(sides: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
                     found[1].append(rid[j])
         return pd.DataFrame({"a": found[0], "b": found[1]}, dtype="int64")
 
-    return sides.join(sets, "doc_id").groupBy("block", "part").applyInPandas(compare, "a long, b long")
+    return sides.join(sets, "cls").groupBy("block", "part").applyInPandas(compare, "a long, b long")
+
+
+def _parts(side: DataFrame, most: int, n_shingles: DataFrame) -> DataFrame:
+    """side (block, cls) with a column part that deals each block's rows into parts of about most shingles."""
+    side = side.join(n_shingles, "cls")
+    sized = written(side.groupBy("block").agg(F.ceil(F.sum("n_shingles") / most).alias("n_parts")))
+    return side.join(sized, "block").select("block", "cls", F.pmod(F.xxhash64("cls"), F.col("n_parts")).alias("part"))
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """cls, set_key, n_shingles, signature, least (doc_id), source (a row with that set): a row for each set that rows have."""
+    source = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("source")
+    each = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), source, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    return written(each.withColumn("cls", F.monotonically_increasing_id()))
 
 
-def _parts(side: DataFrame, by: list[str], most: int, name: str) -> DataFrame:
-    """side with a column that deals each group's rows into parts of about most rows."""
-    sized = side.groupBy(*by).agg(F.ceil(F.count("*") / most).alias("n_parts"))
-    return side.join(sized, by).withColumn(name, F.pmod(F.xxhash64("doc_id"), F.col("n_parts")))
+def _of_repeated_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of rows with the same doc_id: they are one document."""
+    ids = written(rows.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).where("doc_id is not null and one <> other").select("doc_id", "one"))
+    ends = rows.join(ids, "doc_id").where("set_key <> one").select("one", F.col("set_key").alias("other")).distinct()
+    named = classes.select(F.col("set_key"), "cls")
+    for c, name in (("one", "a"), ("other", "b")):
+        ends = ends.join(named.withColumnsRenamed({"set_key": c, "cls": name}), c)
+    return ends.select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = (75, 100), slots: int = SLOTS, chunks: int = CHUNKS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
+    """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Documents are linked if share[1] * |A ∩ B| >= share[0] * |A ∪ B| for their
     shingle sets. Null and empty texts have no set and link with nothing; a
     text with fewer words than size is one shingle. Rows that repeat a doc_id
-    are one text each and get the same component. Other columns are ignored.
+    are one document: what links with one of its texts links with it, and all
+    its rows that have a set get the same component. Rows without a doc_id link
+    by their texts; component_id and kept are null where no linked row has
+    one. Other columns are ignored.
     """
     rows = written(signed_sets(docs, size, slots))
-    classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = written(rows.join(classes, "set_key").where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "signature"))
-    keys = index_keys(reps, slots, chunks, distance)
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = written(keys.join(hubs, "key"))
-
-    first = _near(members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), reps, distance)
-    first = written(first)
-    wide = members.where("n > 2 and doc_id <> hub").select("doc_id").distinct()
-    ids = first.select(F.col("a").alias("doc_id")).union(first.select(F.col("b"))).union(wide).distinct()
-    sets = written(_sets(texts_of(docs).join(ids, "doc_id", "left_semi"), size))
-
-    right = _parts(first.select(F.col("a").alias("block"), F.col("b").alias("doc_id")), ["block"], RIGHT, "part").withColumn("is_left", F.lit(False))
-    left = right.select("block", "part").distinct().select("block", "part", F.col("block").alias("doc_id"), F.lit(True).alias("is_left"))
-    links = written(_compared(right.select("block", "part", "doc_id", "is_left").union(left.select("block", "part", "doc_id", "is_left")), sets, share))
+    classes = classes_of(rows)
+    keys = index_keys(classes, slots, chunks, distance)
+    # Written, so that the joins have shuffles of their own on both sides and a very common key can be split.
+    sized = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = written(keys.join(sized, "key"))
+    dropped(sized)
+    weights = members.groupBy("cls").agg(F.sum("n").alias("weight"))
+    hubs = written(members.join(weights, "cls").groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("hub")))
+
+    first = members.join(hubs, "key").where("cls <> hub.cls").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    first = written(_near(first, classes, distance))
+    wide = members.where("n > 2").join(hubs, "key").where("cls <> hub.cls").select("cls").distinct()
+    wanted = first.select(F.col("a").alias("cls")).union(first.select("b")).union(wide).distinct()
+    sets = written(_sets(docs, classes.join(wanted, "cls", "left_semi"), size))
+
+    n_shingles = classes.select("cls", "n_shingles")
+    right = written(_parts(first.select(F.col("a").alias("block"), F.col("b").alias("cls")), RIGHT, n_shingles))
+    left = right.select("block", "part").distinct().select("block", F.col("block").alias("cls"), "part")
+    sides = right.withColumn("is_left", F.lit(False)).union(left.withColumn("is_left", F.lit(True)))
+    links = written(_compared(sides, sets, share).union(_of_repeated_ids(rows, classes)))
     groups = written(components(links))
+    dropped(first, right, links)
 
     # Second round: where a bucket's members besides its hub are still in different components.
-    known = members.where("n > 2 and doc_id <> hub").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    known = members.where("n > 2").join(hubs, "key").where("cls <> hub.cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "hub", F.coalesce("component", "cls").alias("component"))
+    known = written(known)
+    dropped(members, hubs)
     each = known.groupBy("key", "component").agg(F.count("*").alias("m"))
-    split = each.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("m", "component")).alias("most")).where("k > 1")
-    known = written(known.join(split, "key").select("key", "doc_id", "component", "hub", "most"))
-    owned = known.where("component <> most").select("key", "doc_id", F.expr("min(hub) over (partition by doc_id)").alias("first_hub"))
-    sized = owned.groupBy("first_hub").agg(F.ceil(F.countDistinct("doc_id") / LEFT).alias("n_parts"))
-    owned = written(owned.join(sized, "first_hub").select("key", "doc_id", F.struct("first_hub", F.pmod(F.xxhash64("doc_id"), F.col("n_parts")).alias("row")).alias("block")))
-    lefts = owned.select("doc_id", "block").distinct()
-    asked = owned.select("block", "key").distinct()
-    rights = asked.join(known.select("key", "doc_id"), "key").select("block", "doc_id").distinct()
-    rights = written(_parts(rights, ["block"], RIGHT, "part").select("block", "part", "doc_id", F.lit(False).alias("is_left")))
-    lefts = rights.select("block", "part").distinct().join(lefts, "block").select("block", "part", "doc_id", F.lit(True).alias("is_left"))
-    more = written(_compared(rights.union(lefts), sets, share))
-    groups = components(links.union(more))
-
-    by_class = classes.join(groups, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("found"))
-    return rows.join(by_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"), (F.coalesce("found", "doc_id") == F.col("doc_id")).alias("kept"))
-
-
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, shingles: each set's sorted numbers, 8 bytes each."""
+    split = written(each.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("m", "component")).alias("most")).where("k > 1").select("key", "most"))
+    split = written(known.join(split, "key").select("key", "cls", "hub", (F.col("component") != F.col("most")).alias("asks"))) if not split.isEmpty() else None
+    if split is not None:
+        # Members go by their weightiest hub, so that a group of copies is in few blocks.
+        lefts = split.where("asks").groupBy("cls").agg(F.max("hub")["cls"].alias("block"))
+        lefts = written(_parts(lefts, LEFT, n_shingles).select("cls", F.struct("block", "part").alias("block")))
+        asked = split.where("asks").join(lefts, "cls").select("block", "key").distinct()
+        rights = asked.join(split.select("key", "cls"), "key").select("block", "cls").distinct()
+        rights = written(_parts(rights, RIGHT, n_shingles).withColumn("is_left", F.lit(False)))
+        others = rights.select("block", "part").distinct().join(lefts, "block").select("block", "cls", "part", F.lit(True).alias("is_left"))
+        more = _compared(rights.union(others), sets, share)
+        # The links' ends are components by now.
+        for c in "ab":
+            more = more.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+        merged = written(components(more.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+        dropped(lefts, rights, split)
+        grown = classes.select(F.col("cls").alias("node")).join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        groups = grown.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    dropped(sets, known)
+
+    by_class = classes.select("set_key", "least", F.col("cls").alias("node")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    by_class = written(by_class)
+    least = by_class.groupBy("component").agg(F.min("least").alias("found"))
+    found = by_class.join(least, "component").select("set_key", "found")
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("found"))
+    return rows.join(found, "set_key", "left").select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """cls, shingles for the wanted classes: each set's sorted numbers, 8 bytes each."""
 
     def start():
         numbers = WordNumbers()
 
         def run(batch):
-            return {"doc_id": batch.column("doc_id"), "shingles": pa.array([shingles(numbers, t, size).tobytes() for t in texts(batch)], pa.binary())}
+            found = [shingles(numbers, t, size) for t in texts(batch)]
+            return {"set_key": pa.array([_key(s) if len(s) else None for s in found], pa.binary()), "wanted_key": batch.column("wanted_key"), "cls": batch.column("cls"), "shingles": pa.array([s.tobytes() for s in found], pa.binary())}
 
         return run
 
-    return map_arrow(docs, start, "doc_id long, shingles binary")
+    sources = wanted.select("cls", F.col("set_key").alias("wanted_key"), F.col("source.doc_id").alias("of_id"), F.col("source.text_hash").alias("of_hash"))
+    rows = _with_hash(docs).join(sources, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
+    # Rows with the same id and text give the same set.
+    read = map_arrow(rows.select("text", "wanted_key", "cls"), start, "set_key binary, wanted_key binary, cls long, shingles binary").where("set_key = wanted_key")
+    return read.groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ The trie never leaves the cluster. Texts are dealt to blocks of bounded size.
 A block gives the distinct strings of ORDER + 1 symbols in its texts, with
 counts; the strings' sums over all blocks are the trie, and its levels are
 joined from the shortest context upwards to the logarithm that each string's
-last symbol costs. A block gets back only its own strings' costs and adds them
-up for its texts. So what a task holds depends on a block's size alone, and
-what is gathered grows with the corpus.
+last symbol costs. A block gets back only its own strings' costs, holds them as
+two sorted arrays, and adds them up for its texts as these stream by. So what a
+task holds depends on a block's size alone, and what is gathered grows with the
+corpus.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordNumbers, small_batches, texts, written
+from .common import WordNumbers, dropped, small_batches, texts, written
 
 ORDER = 5
 #: Bytes of text in a block, and of those handled at a time.
@@ -73,7 +74,12 @@ def pieces_of(all_texts: list):
         yield slice(at, len(all_texts))
 
 
-STRING, WORD = 0, 1
+#: Set in keys of words, which makes them negative; strings have at most 54 bits.
+WORD = np.uint64(1 << 63)
+
+
+def word_keys(numbers: WordNumbers, text: bytes) -> np.ndarray:
+    return (numbers.of(text.lower().split()) | WORD).view(np.int64)
 
 
 def _given_back() -> None:
@@ -85,13 +91,16 @@ def _given_back() -> None:
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of several parts, and the sums of their counts."""
-    codes, distinct = pd.factorize(np.concatenate([p[0] for p in parts]))
-    return distinct, np.bincount(codes, np.concatenate([p[1] for p in parts]), len(distinct)).astype(np.int64)
+    """Distinct keys of several sorted parts in order, and the sums of their counts."""
+    keys = np.concatenate([p[0] for p in parts])
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else by
+    return keys[first], np.add.reduceat(np.concatenate([p[1] for p in parts])[by], first, dtype=np.int64) if len(keys) else by
 
 
 def _counted(blocks: DataFrame, order: int) -> DataFrame:
-    """block, kind, key, n: each block's distinct strings and words, with the number of their places in training texts.
+    """block, key, n: each block's distinct strings and words, with the number of their places in training texts.
 
     A task holds the distinct keys of the few blocks that come to it.
     """
@@ -107,27 +116,28 @@ def _counted(blocks: DataFrame, order: int) -> DataFrame:
                 own = texts(batch.take(pa.array(mine)))
                 for s in pieces_of(own):
                     places, starts = strings(own[s], order)
-                    words = [numbers.of(t.lower().split()) for t in own[s]]
-                    for kind, keys, sizes in ((STRING, places, np.diff(np.r_[starts, len(places)])), (WORD, np.concatenate(words).view(np.int64), list(map(len, words)))):
+                    words = [word_keys(numbers, t) for t in own[s]]
+                    for keys, sizes in ((places, np.diff(np.r_[starts, len(places)])), (np.concatenate(words), list(map(len, words)))):
                         learns = train[mine[s]]
                         codes, distinct = pd.factorize(keys)
                         if learns.all() or not learns.any():
-                            part = distinct, np.bincount(codes, minlength=len(distinct)) * bool(learns.any())
+                            n = np.bincount(codes, minlength=len(distinct)) * bool(learns.any())
                         else:
-                            part = distinct, np.bincount(codes, np.repeat(learns, sizes), len(distinct))
-                        parts = found.setdefault((b, kind), [])
-                        parts.append(part)
-                        if len(parts) == 8:
-                            found[b, kind] = [_merged(parts)]
+                            n = np.bincount(codes, np.repeat(learns, sizes), len(distinct)).astype(np.int64)
+                        by = np.argsort(distinct)
+                        parts = found.setdefault(b, [])
+                        parts.append((distinct[by], n[by].astype(np.int32)))
+                        if len(parts) == 16:
+                            found[b] = [_merged(parts)]
                 del own, places, words, keys, codes
-        for b, kind in list(found):
-            keys, n = _merged(found.pop((b, kind)))
+        for b in list(found):
+            keys, n = _merged(found.pop(b))
             for at in range(0, len(keys), 500_000):
                 size = len(keys[at : at + 500_000])
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(size, b, np.int32)), "kind": pa.array(np.full(size, kind, np.int32)), "key": pa.array(keys[at : at + size]), "n": pa.array(n[at : at + size])})
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(size, b, np.int32)), "key": pa.array(keys[at : at + size]), "n": pa.array(n[at : at + size].astype(np.int64))})
         _given_back()
 
-    return blocks.mapInArrow(each, "block int, kind int, key long, n long")
+    return blocks.mapInArrow(each, "block int, key long, n long")
 
 
 def _shorter(string: Column, order: int) -> Column:
@@ -135,8 +145,8 @@ def _shorter(string: Column, order: int) -> Column:
     return string.bitwiseAND(F.lit((1 << (BITS * order)) - 1))
 
 
-def costs(counts: DataFrame, order: int) -> DataFrame:
-    """string, cost: log10 of what the model gives each string's last symbol after the others. counts: (string, n), n may be 0."""
+def costs(counts: DataFrame, order: int) -> tuple[DataFrame, list[DataFrame]]:
+    """string, cost: log10 of what the model gives each string's last symbol after the others; and the tables that it reads. counts: (string, n), n may be 0."""
     levels = [counts]
     for k in range(order, 0, -1):
         levels.append(written(levels[-1].groupBy(_shorter(F.col("string"), k).alias("string")).agg(F.sum("n").alias("n"))))
@@ -157,17 +167,19 @@ def costs(counts: DataFrame, order: int) -> DataFrame:
             .when(F.col("low_n") > 0, F.log10((2 * F.col("low_n") - 1) / (2.0 * rest_n)))
             .otherwise(F.log10(rest_q / (2.0 * rest_n)) + F.col("low_escaped"))
         )
-        low = both.select("string", "n", "all_n", "q", escaped.alias("escaped"))
-        low = low if k == order else written(low)
+        before, low = low, both.select("string", "n", "all_n", "q", escaped.alias("escaped"))
+        if k < order:
+            low = written(low)
+            dropped(before, levels[k])
     cost = F.when(F.col("all_n") == 0, F.col("escaped")).when(F.col("n") > 0, F.log10((2 * F.col("n") - 1) / (2.0 * F.col("all_n")))).otherwise(F.log10(F.col("q") / (2.0 * F.col("all_n"))) + F.col("escaped"))
-    return low.select("string", cost.alias("cost"))
+    return low.select("string", cost.alias("cost")), [before, levels[0]]
 
 
 def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """docs with a block number, so that a block has about block_bytes of text; and the number of blocks."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
     n = max(1, -(-size // block_bytes))
-    return docs.withColumn("block", F.pmod(F.hash("doc_id"), F.lit(n)).cast("int")), n
+    return docs.withColumn("block", F.pmod(F.hash("doc_id", "text"), F.lit(n)).cast("int")), n
 
 
 def scored(docs: DataFrame, training: Column, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -178,65 +190,74 @@ def scored(docs: DataFrame, training: Column, order: int = ORDER, block_bytes: i
     space, A-Z in lower case, and one end token closes a text. training says
     of each row whether both learn from it (null: not); they may learn from no
     row. Null texts are empty, and an empty text costs its end. Rows that
-    repeat count and score each. Other columns are ignored.
+    repeat count and score each, in one block if both id and text are equal.
+    Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     blocks, n = blocks_of(docs, block_bytes)
     # Four partitions for each block, so that few tasks get more than one block.
     with small_batches(docs.sparkSession):
         asked = written(_counted(blocks.select("block", "training", "text").repartition(4 * n, "block"), order))
-    counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    cost = costs(counts.where(F.col("kind") == STRING).select(F.col("key").alias("string"), "n"), order)
-    words = counts.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
+    counts = written(asked.groupBy("key").agg(F.sum("n").alias("n")))
+    cost, read = costs(counts.where("key >= 0").select(F.col("key").alias("string"), "n"), order)
+    words = counts.where("key < 0 and n > 0")
     ends = docs.where("training").count()
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = int(totals[0]) + ends, totals[1] + (ends > 0)
+    values = written(cost.select(F.col("string").alias("key"), F.col("cost").alias("value")).union(words.select("key", F.col("n").cast("double"))))
+    dropped(counts, *read)
+    answers = asked.select("block", "key").join(values, "key").select("block", F.lit(False).alias("is_text"), "key", "value", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    own = blocks.select("block", F.lit(True).alias("is_text"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "doc_id", "text")
+    # As many partitions as in counting: a task's work doesn't grow with the corpus.
+    rows = answers.union(own).repartition(4 * n, "block").sortWithinPartitions("block", "is_text", "key")
+    with small_batches(docs.sparkSession):
+        return written(_added_up(rows, order, tokens, distinct, ends))
+
+
+def _added_up(rows: DataFrame, order: int, tokens: int, distinct: int, ends: int) -> DataFrame:
+    """The texts' scores, of rows (block, is_text, key, value, doc_id, text) that have each block's answers by key and then its texts together."""
     least, end_cost = float(np.log10(1 / (tokens + distinct + 1))), float(np.log10((ends + 1) / (tokens + distinct + 1)))
-    values = written(cost.select(F.lit(STRING).alias("kind"), F.col("string").alias("key"), F.col("cost").alias("value")).union(words.select(F.lit(WORD), "key", F.col("n").cast("double"))))
-    # A word that no other block has is counted right by its own block and needs no answer.
-    answers = asked.join(values, ["kind", "key"]).where((F.col("kind") == STRING) | (F.col("n") != F.col("value"))).select("block", "kind", "key", F.col("value").cast("float").alias("value"))
-
-    def add_up(key, own, found):
-        table = {}
-        for kind in (STRING, WORD):
-            mine = found.kind.to_numpy() == kind
-            keys, value = found.key.to_numpy()[mine], found.value.to_numpy()[mine]
-            by = np.argsort(keys)
-            table[kind] = np.r_[keys[by], np.iinfo(np.int64).max], np.r_[value[by], np.float32(0)].astype(np.float64)
-        del found, keys, value, mine, by
-        _given_back()
-        all_texts, train, numbers = own.text.to_numpy(), own.training.to_numpy(bool), WordNumbers()
-        slices = list(pieces_of([t or "" for t in all_texts]))
-
-        def words_in(s):
-            rows = [numbers.of((t or "").encode().lower().split()).view(np.int64) for t in all_texts[s]]
-            return np.concatenate(rows), np.array(list(map(len, rows)), np.int64)
-
-        parts = []
-        for s in slices:
-            words, sizes = words_in(s)
-            codes, distinct = pd.factorize(words)
-            parts.append((distinct, np.bincount(codes, np.repeat(train[s], sizes), len(distinct)), codes.astype(np.int32), sizes))
-        local, count = _merged(parts) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
-        keys, value = table[WORD]
-        at = np.searchsorted(keys[:-1], local)
-        count = np.where((keys[at] == local) & (at < len(keys) - 1), value[at], count)
-        by = np.argsort(local)
-        local, count = local[by], count[by]
+
+    def score(numbers, keys, value, batch):
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "n_symbols")}
-        keys, value = table[STRING]
-        for s, (distinct, _, codes, sizes) in zip(slices, parts, strict=True):
-            c = count[np.searchsorted(local, distinct)]
+        all_texts = texts(batch)
+        for s in pieces_of(all_texts):
+            words = [word_keys(numbers, t) for t in all_texts[s]]
+            sizes = np.array(list(map(len, words)), np.int64)
             owner = np.repeat(np.arange(len(sizes)), sizes)
+            codes, distinct_words = pd.factorize(np.concatenate(words))
+            at = np.searchsorted(keys, distinct_words)
+            at[at == len(keys)] = 0
+            c = np.where(keys[at] == distinct_words, value[at], 0.0)
             out["n_tokens"].append(sizes + 1)
             out["n_known"].append(np.bincount(owner, (c > 0)[codes], len(sizes)).astype(np.int64) + (ends > 0))
             out["base_score"].append(np.bincount(owner, np.log10(c + 1)[codes], len(sizes)) + sizes * least + end_cost)
-            places, starts = strings([(t or "").encode() for t in all_texts[s]], order)
-            codes, distinct = pd.factorize(places)
-            out["score"].append(np.add.reduceat(value[np.searchsorted(keys, distinct)][codes], starts))
+            places, starts = strings(all_texts[s], order)
+            codes, distinct_strings = pd.factorize(places)
+            # Looked up in their order, which is several times as fast.
+            by, cost = np.argsort(distinct_strings), np.empty(len(distinct_strings))
+            cost[by] = value[np.searchsorted(keys, distinct_strings[by])]
+            out["score"].append(np.add.reduceat(cost[codes], starts))
             out["n_symbols"].append(np.diff(np.r_[starts, len(places)]))
-        del parts, table, keys, value, all_texts, numbers
+        found = {k: pa.array(np.concatenate(v)) for k, v in out.items()}
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": found["n_tokens"], "n_known": found["n_known"], "train_tokens": pa.array(np.full(batch.num_rows, tokens, np.int64)), "base_score": found["base_score"], "score": found["score"], "n_symbols": found["n_symbols"]})
+
+    def each(batches):
+        numbers, now, parts, keys, value = WordNumbers(), None, [], None, None
+        for batch in batches:
+            block, is_text = batch.column("block").to_numpy(), np.array(batch.column("is_text").to_pylist(), bool)
+            changes = np.flatnonzero((block[1:] != block[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+            for at, end in zip([0, *changes.tolist()], [*changes.tolist(), len(block)], strict=True):
+                part = batch.slice(at, end - at)
+                if block[at] != now:
+                    now, parts, keys, value = block[at], [], None, None
+                if not is_text[at]:
+                    parts.append((part.column("key").to_numpy().copy(), part.column("value").to_numpy().copy()))
+                    continue
+                if parts:
+                    keys, value = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+                    parts = []
+                yield score(numbers, keys, value, part)
         _given_back()
-        return pd.DataFrame({"doc_id": own.doc_id, "train_tokens": tokens} | {k: np.concatenate(v) if v else [] for k, v in out.items()})
 
-    return blocks.select("block", "doc_id", "training", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_symbols long")
+    return rows.mapInArrow(each, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_symbols long")

@@ -81,14 +81,15 @@ class Encoder:
 
     def encode(self, words: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
         """For each of the distinct words its place in the list, its ids as little-endian unsigned 32-bit integers, and the bytes decoded from them."""
-        rest, ranks = [], self.ranks
+        rest, ranks, tokens = [], self.ranks, self.tokens
         for i, w in enumerate(words):
             r = ranks.get(w)
             if r is not None:
-                yield i, r.to_bytes(4, "little"), w
+                # A word that is a token is a fixpoint from the start, as in the library; its one id is looked up again.
+                yield i, r.to_bytes(4, "little"), tokens[r]
             elif len(w) > LONG_WORD:
                 ids = self.by_heap(w)
-                yield i, np.array(ids, "<u4").tobytes(), b"".join(map(self.tokens.__getitem__, ids))
+                yield i, np.array(ids, "<u4").tobytes(), b"".join(map(tokens.__getitem__, ids))
             else:
                 rest.append(i)
         for at in range(0, len(rest), QUERY_WORDS):

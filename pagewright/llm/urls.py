@@ -3,7 +3,8 @@
 A listed entry is a host and a directory (a path that ends in "/"); it covers
 the host, its subdomains and every path that starts with the directory. A
 page's URL is looked up under each of its host's suffixes with each of its
-path's directories. The Bloom filter drops most lookups that hit nothing; the
+path's directories, as far as the list has entries of so many labels and so
+deep directories. The Bloom filter drops most lookups that hit nothing; the
 join with the list decides about the rest, so no false positive is left. All
 of it is DataFrame expressions.
 """
@@ -56,17 +57,23 @@ def judged(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -> Dat
     decides, of equally long ones that with the longer host; without one the
     verdict is otherwise. A null URL, or one without "://", has an empty host
     and path and fits nothing. Repeated pages are judged each; an entry listed
-    with two verdicts blocks. An empty list gives otherwise for all.
+    with two verdicts blocks. An empty list gives otherwise for all. A listed path
+    that doesn't start and end in "/" is an error. However many labels and
+    directories a URL has, it is looked up under no more than the list has.
     """
     rules = listed.select(F.concat("host", "path").alias("entry"), F.col("host").alias("rule_host"), "verdict").groupBy("entry", "rule_host").agg(F.max("verdict").alias("ruled"))
-    n = rules.count()
+    labels_in, depth_in = F.size(F.split("host", r"\.")), F.size(F.split("path", "/")) - 1
+    odd = F.count_if(~(F.startswith("path", F.lit("/")) & F.endswith("path", F.lit("/"))))
+    n, most_labels, most_depth, wrong = listed.agg(F.countDistinct(F.concat("host", "path"), "host"), F.coalesce(F.max(labels_in), F.lit(1)), F.coalesce(F.max(depth_in), F.lit(1)), odd).first()
+    if wrong:
+        raise ValueError(f"{wrong} listed paths don't start and end in '/'")
     found = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     # Each host and path is looked up once, however many pages have it.
     places = found.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (most_labels - 1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     steps = F.split("path", "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))
+    folders = F.transform(F.sequence(F.lit(1), F.least(F.lit(most_depth), F.size(steps) - 1)), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))
     folders = F.when(F.size(steps) > 1, folders).otherwise(F.array().cast("array<string>"))
     asked = places.select("host", "path", F.explode(suffixes).alias("of_host"), folders.alias("folders")).select("host", "path", "of_host", F.explode("folders").alias("folder"))
     asked = asked.select("host", "path", "of_host", F.concat("of_host", "folder").alias("entry"))

@@ -7,6 +7,8 @@ Every run of WINDOW templates of a benchmark item is a key; a document's runs
 meet them in a hash join. A run must also agree in its slots: the places that
 hold equal values in the item hold equal values in the document, so that a
 question with other numbers and names is caught and a chance meeting isn't.
+Items of fewer than SHORTEST words say too little as templates; they match by
+their words alone.
 Matches at one offset of document and item are taken together: over all of
 them each value of the item must stand for one value of the document and the
 other way round.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, mixed, windows, written
 
-#: Templates in a run, fewest templates of an item that can match, and templates that a match must cover (or the whole item).
+#: Templates in a run, fewest templates of an item that can match by them, and templates that a match must cover (or the whole item).
 WINDOW, SHORTEST, COVER = 8, 5, 13
 #: Words in a run, in eighths, that mustn't be placeholders; a run with fewer is dense and matches by its values or beside another run.
 PLAIN_EIGHTHS = 4
@@ -125,7 +127,10 @@ def _runs(rows: DataFrame, key: str, sizes: list[int] | None, bitmap: np.ndarray
     words (fixed has these names), so that letter case and where a sentence
     starts can't hide a copy. With sizes None a plain first word with a capital
     is also read as a name: as it may be anything but a name, it must be the
-    same in the document (same_first), unless it is a name further on.
+    same in the document (same_first), unless it is a name further on. Runs of
+    fewer than SHORTEST words are read as values only: all of their words are
+    slots, and equal values are needed. A single word is read only where it is
+    the whole text.
     """
     shared = None if bitmap is None else rows.sparkSession.sparkContext.broadcast(bitmap)
     kinds = {key: pa.int64(), "n": pa.int32(), "size": pa.int32(), "window": pa.int64(), "place": pa.int32(), "pattern": pa.binary(), "slots": pa.list_(pa.int64()), "dense": pa.bool_(), "fixed": pa.list_(pa.int64()), "same_first": pa.bool_()}
@@ -152,13 +157,16 @@ def _runs(rows: DataFrame, key: str, sizes: list[int] | None, bitmap: np.ndarray
                     as_name[starts], name_kind[starts] = _TYPE[NAME], NAME
                     readings.append((as_name, name_kind, False, starts))
                 for size in sizes or sorted(set(np.minimum(counts, WINDOW).tolist())):
-                    if size < SHORTEST or len(template) < size:
+                    if not size or len(template) < size:
                         continue
-                    for read, types, as_words, only in readings:
+                    short = size < SHORTEST
+                    for read, types, as_words, only in [(values[word], np.full(len(kind), NAME, np.uint8), False, None)] if short else readings:
                         found = windows(read, size)
                         ok = owner[size - 1 :] == owner[: len(found)]
                         if sizes is None:
                             ok &= np.minimum(counts, WINDOW)[owner[: len(found)]] == size
+                        if size == 1:
+                            ok &= counts[owner] == 1
                         if as_words:
                             ok &= names_in[size:] > names_in[:-size]
                         if only is not None:
@@ -192,9 +200,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     run that isn't matches at the same offset. Names also match as plain words
     in any letter case. n_windows counts the
     matching runs at the best offset, n_slots the distinct values there;
-    reparameterised says that some value differs. Items of fewer
-    than SHORTEST words match nothing, neither do null and empty texts. Rows
-    that repeat an id count once for each pair. Other columns are ignored.
+    reparameterised says that some value differs. Items of
+    fewer than SHORTEST words match where these words stand in their order in
+    any letter case, an item of one word only a text that is this word. Null
+    and empty texts match nothing. Rows that repeat an id count once for each
+    pair. Other columns are ignored.
     """
     items = written(_runs(benchmark, "item_id", None, None))
     words = items.select(F.col("window").bitwiseAND(F.lit(BITMAP - 1)).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))

@@ -6,8 +6,9 @@ of single tokens and of pairs, in 2^BITS buckets, each with the weight
 product with the weights. Nothing but the text is ever an input.
 
 Training fits at most SAMPLE labelled rows, those with the least hashes of
-their ids, so that the same rows are chosen on any cluster; that bound is the
-only one, and scores cover all rows.
+their ids, as far as their texts have SAMPLE_CHARS characters together, so that
+the same rows are chosen on any cluster and the driver's memory is bounded;
+scores cover all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow
 
 BITS = 18
-#: Labelled rows at most that the classifier is fitted on, and passes over them.
-SAMPLE, PASSES = 4000, 4
+#: Labelled rows at most that the classifier is fitted on, characters of these at most, and passes over them.
+SAMPLE, SAMPLE_CHARS, PASSES = 4000, 40_000_000, 4
 #: The learning rate's scale and offset, and the strengths of the penalties on absolute and squared weights.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.0005
 
@@ -81,11 +82,20 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, passes
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "quality", size: int = SAMPLE) -> DataFrame:
-    """doc_id, text, label: the labelled rows with the least hashes of their ids; rows without text or label don't count."""
+    """doc_id, text, label: the labelled rows with the least hashes of their ids; rows without text or label don't count.
+
+    Of rows that repeat a doc_id the least text counts, of labels that do the
+    greatest. The first row whose text goes beyond SAMPLE_CHARS ends the sample.
+    """
     marked = labels.where(may_learn).where(F.col(label).isNotNull()).select(F.col("doc_id").alias("labelled_id"), F.col(label).cast("int").alias("label"))
     chosen = marked.groupBy("labelled_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(size)
     # size bounds what is broadcast
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "label")
+    each = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
+    rows = each.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    # Over size rows at most; their texts stay where they are.
+    sized = Window.orderBy(F.xxhash64("sample_id"), "sample_id")
+    within = rows.select(F.col("doc_id").alias("sample_id"), F.length("text").alias("n")).withColumn("so_far", F.sum("n").over(sized)).where(F.col("so_far") <= SAMPLE_CHARS).select("sample_id")
+    return rows.join(F.broadcast(within), F.col("doc_id") == F.col("sample_id"), "left_semi").select("doc_id", "text", "label")
 
 
 def trained(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "quality", size: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, float]:
@@ -96,12 +106,12 @@ def trained(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str =
 
         def run(batch):
             rows = [features(t, hashes, bits) for t in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "buckets": pa.array([r[0].tobytes() for r in rows]), "values": pa.array([r[1].astype(np.float16).tobytes() for r in rows])}
+            return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "buckets": pa.array([r[0].tobytes() for r in rows]), "values": pa.array([r[1].tobytes() for r in rows])}
 
         return run
 
     sample = map_arrow(sample_of(docs, labels, may_learn, label, size), start, "doc_id long, label int, buckets binary, values binary")
-    rows = sorted((xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["doc_id"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float16).astype(float), r["label"]) for r in sample.toLocalIterator())
+    rows = sorted((xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["doc_id"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32).astype(float), r["label"]) for r in sample.toLocalIterator())
     return fit([r[2:] for r in rows], bits)
 
 

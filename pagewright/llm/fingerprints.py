@@ -27,6 +27,9 @@ from .common import MIX_1, MIX_2, WordNumbers, map_arrow, mixed, released, texts
 BAND = (0.0005, 0.2)
 #: One term in so many is in a subset of each level, and subsets of a level.
 RATES, SUBSETS = (2, 8, 32, 128, 512), 12
+#: Ranges of doc_id at most, and what stands for no doc_id where rows are put in order.
+RANGES, NO_ID = 20_000, -(2**63)
+FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 #: Subsets with parts on both sides that a level needs to be compared.
 LEAST_PARTS = 3
 
@@ -92,15 +95,17 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
     return np.sort(np.array([r[0] for r in chosen.toLocalIterator()], np.int64).view(np.uint64))
 
 
-def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
-    """part, doc_id, text, is_guest: docs dealt to ranges of doc_id; the first document of a range is also a guest of the range before, the very first of the last range. And the number of ranges.
+def dealt_by_id(docs: DataFrame) -> DataFrame:
+    """part, doc_id, text, is_guest in partitions by part: docs dealt to ranges of doc_id; the first document of a range is also a guest of the range before, the very first of the last range.
 
     The ends of the ranges are ids that occur, about as many as the input has
-    partitions; one shuffle of the texts is enough for each document to stand
-    beside its next one. The ends, 8 bytes a range, go to the executors.
+    partitions and no more than RANGES; one shuffle of the texts, each range to
+    a partition of its own, is enough for each document to stand beside its
+    next one. The ends, 8 bytes a range, go to the executors.
     """
-    n = max(1, docs.rdd.getNumPartitions())
-    ends = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n)).alias("e"), F.min("doc_id").alias("least")).first()
+    n = min(max(1, docs.rdd.getNumPartitions()), RANGES)
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    ends = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n)).alias("e"), F.min(key).alias("least")).first()
     firsts = np.array(sorted({ends["least"], *(ends["e"] or [])} - {None}), np.int64)
     count = max(1, len(firsts))
     shared = docs.sparkSession.sparkContext.broadcast(firsts)
@@ -112,8 +117,9 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
         # a guest's place is told by being negative
         return pd.Series([[p, -1 - (p - 1) % count] if f else [p] for p, f in zip(at.tolist(), first.tolist(), strict=True)])
 
-    dealt = docs.select("doc_id", "text", F.explode(places("doc_id")).alias("place"))
-    return dealt.select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("part"), "doc_id", "text", (F.col("place") < 0).alias("is_guest")), count
+    dealt = docs.select("doc_id", "text", F.explode(places(key)).alias("place"))
+    part = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("part")
+    return dealt.select(part, "doc_id", "text", (F.col("place") < 0).alias("is_guest")).repartitionById(count, F.col("part")).sortWithinPartitions("part", "is_guest", "doc_id", "text")
 
 
 def compared(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
@@ -122,33 +128,41 @@ def compared(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     The edited text has its last quarter of code points replaced by the first
     as many of the next document's by doc_id (after the last, the first's).
     Null texts are empty; a lone document is its own next. Rows that repeat a
-    doc_id follow each other in the order of their texts. Other columns are
-    ignored.
+    doc_id follow each other in the order of their texts; rows without one come
+    first. Other columns are ignored.
     """
     docs = texts_of(docs)
     terms = docs.sparkSession.sparkContext.broadcast(lexicon(docs, band))
     released(docs.sparkSession)
-    dealt, n = with_next(docs)
-
-    def each(key, frame):
-        own = frame[~frame.is_guest].sort_values(["doc_id", "text"], kind="stable", na_position="first")
-        guest = frame[frame.is_guest]
-        all_texts = [t or "" for t in own.text]
-        if len(guest):
-            following = [*all_texts[1:], min((t or "" for t in guest.text))]
-        else:
-            following = [*all_texts[1:], *all_texts[:1]]
+
+    def each(batches):
         numbers, subsets = WordNumbers(), Subsets(terms.value)
-        prints = [subsets.fingerprint(_terms(numbers, t.encode())) for t in all_texts]
-        beyond = subsets.fingerprint(_terms(numbers, following[-1].encode())) if all_texts else ""
-        out = {k: [] for k in ("n_chars", "edited_sha256", "edited_fingerprint", "near_edited", "near_next")}
-        for text, after, mine, theirs in zip(all_texts, following, prints, [*prints[1:], beyond], strict=True):
-            k = len(text) // 4
-            edited = (text[: len(text) - k] + after[:k]).encode()
-            edited_print = subsets.fingerprint(_terms(numbers, edited))
-            for name, v in (("n_chars", len(text)), ("edited_sha256", hashlib.sha256(edited).hexdigest()), ("edited_fingerprint", edited_print), ("near_edited", likeness(mine, edited_print)), ("near_next", likeness(mine, theirs))):
-                out[name].append(v)
-        return pd.DataFrame({"doc_id": own.doc_id.to_numpy(), "fingerprint": prints} | out)
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.repartition(n, "part").groupBy("part").applyInPandas(each, schema)
+        # Of the row before: its id, text and fingerprint; and the part's number and first row, for a part without a guest.
+        last = part = None
+        out: list[tuple] = []
+
+        def add(text: str, mark: str) -> None:
+            doc, mine, own_mark = last
+            k = len(mine) // 4
+            edited = (mine[: len(mine) - k] + text[:k]).encode()
+            edited_mark = subsets.fingerprint(_terms(numbers, edited))
+            out.append((doc, len(mine), hashlib.sha256(edited).hexdigest(), own_mark, edited_mark, likeness(own_mark, edited_mark), likeness(own_mark, mark)))
+
+        def found():
+            columns = zip(*out, strict=True)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for p, doc, text, is_guest in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text", "is_guest")), strict=True):
+                text = text or ""
+                mark = subsets.fingerprint(_terms(numbers, text.encode()))
+                if last is not None and p == part:
+                    add(text, mark)
+                last, part = None if is_guest else (doc, text, mark), p
+            if out:
+                yield found()
+
+    return dealt_by_id(docs).mapInArrow(each, FOUND)

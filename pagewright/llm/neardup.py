@@ -282,7 +282,12 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     all stay.
     """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    key = F.struct(F.xxhash64("text"), F.to_json(F.struct(*others)) if others else F.lit(""))
-    least = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("of_id")).agg(F.min_by(F.struct(*docs.columns), key).alias("row")).select("row.*")
-    return least.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    twice = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("of_id")).agg(F.count("*").alias("n_rows")).where("n_rows > 1").select("of_id"))
+    if not twice.isEmpty():
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        key = F.struct(F.xxhash64("text"), F.to_json(F.struct(*others)) if others else F.lit(""))
+        repeated = F.col("doc_id") == F.col("of_id")
+        least = rows.join(twice, repeated, "left_semi").groupBy(F.col("doc_id").alias("of_id")).agg(F.min_by(F.struct(*docs.columns), key).alias("row")).select("row.*")
+        rows = rows.join(twice, repeated, "left_anti").unionByName(least)
+    return rows.unionByName(docs.where("doc_id is null"))

@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagewright.llm import decontamination, fingerprints, licenses, neardup, quality, queries, urls, webpages
+from pagewright.llm import common, decontamination, fingerprints, licenses, neardup, quality, queries, urls, webpages
 
 
 def docs_of(spark, texts):
@@ -53,7 +54,7 @@ def test_decontamination(spark):
     swapped = ITEM.replace("Alice", "Carol").replace("Bob", "Dave").replace("3", "5").replace("12", "20").replace("6", "10")
     broken = ITEM.replace("3 kg", "3 kg").replace("how many euros", "how many dollars")
     texts = [clean[0] + ". " + ITEM + " " + clean[1], swapped, "nothing here", None, "", ITEM.upper(), broken, *clean, ITEM + " " + ITEM]
-    bench = spark.createDataFrame([(7, ITEM), (8, "too short item"), (9, None), (10, "five words make an item")], "item_id long, text string")
+    bench = spark.createDataFrame([(7, ITEM), (8, "a short item"), (9, None), (10, "five words make an item")], "item_id long, text string")
     got = {(x.doc_id, x.item_id): x.reparameterised for x in decontamination.contaminated(docs_of(spark, texts), bench).collect()}
     assert got[(0, 7)] is False and got[(1, 7)] is True and (len(texts) - 1, 7) in got
     assert {d for d, _ in got} <= {0, 1, 5, 6, len(texts) - 1}
@@ -98,6 +99,65 @@ def test_short_items_whatever_is_before_them(spark):
     assert got == {**{(i, 1): False for i in range(7)}, (7, 2): False, (8, 2): False, (9, 2): False, (10, 2): True, (11, 3): False, (12, 3): False}
 
 
+def test_items_of_few_words(spark):
+    bench = spark.createDataFrame([(1, "four words are here"), (2, "Three 3 words"), (3, "single"), (4, "John Smith paid 12 USD and 15 EUR to Mary Jones on 3 May 2020 at 5 pm")], "item_id long, text string")
+    texts = ["so FOUR words, are here now", "four words are there", "three 3 words", "three 4 words", "a single word", "Single!", "x John Smith paid 12 USD and 15 EUR to Mary Jones on 3 May 2020 at 5 pm"]
+    got = {(x.doc_id, x.item_id) for x in decontamination.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 1), (2, 2), (5, 3), (6, 4)}
+
+
+def template_of(word):
+    core = word.strip(".,")
+    return "<n>" if core.isdigit() else "<u>" if core in ("kg", "km") else core
+
+
+def contaminated_by_hand(doc, item):
+    """The rule for texts of plain words, numbers and units, run by run at every offset."""
+    d, t = doc.split(), item.split()
+    size, n = min(decontamination.WINDOW, len(t)), len(t)
+    best = None
+    for offset in range(-n, len(d)):
+        fit = []
+        for i in range(n - size + 1):
+            j = i + offset
+            if j < 0 or j + size > len(d):
+                continue
+            ours, theirs = t[i : i + size], d[j : j + size]
+            if [template_of(w) for w in ours] != [template_of(w) for w in theirs]:
+                continue
+            slots = [(a.strip(".,"), b.strip(".,")) for a, b in zip(ours, theirs, strict=True) if template_of(a).startswith("<")]
+            if [[x[0] == y[0] for y in slots] for x in slots] == [[x[1] == y[1] for y in slots] for x in slots]:
+                fit.append((i, slots, 2 * len(slots) > size))
+        if not any(not dense for _, _, dense in fit):
+            fit = [(i, s, d) for i, s, d in fit if all(a == b for a, b in s)]
+        pairs = {p for _, s, _ in fit for p in s}
+        if not fit or len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
+            continue
+        if len({k for i, _, _ in fit for k in range(i, i + size)}) >= min(decontamination.COVER, n):
+            found = (len(fit), len(pairs), all(a == b for a, b in pairs))
+            best = max(best or found, found)
+    return best
+
+
+def test_decontamination_run_by_run(spark):
+    r = random.Random(13)
+    word = lambda: r.choice("wa wb wc wd we wf wg wh wi wj kg km".split() + [str(r.randint(1, 6)) for _ in range(4)])
+    items = [" ".join(word() for _ in range(r.randint(5, 24))) for _ in range(12)]
+    docs = []
+    for _ in range(80):
+        w = r.choice(items).split()
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = word()
+        if r.random() < 0.4:
+            swap = dict(zip("123456", r.sample("123456789", 6), strict=True))
+            w = [swap.get(x, x) for x in w]
+        docs.append(" ".join([word() for _ in range(r.randint(0, 9))] + w + [word() for _ in range(r.randint(0, 9))]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.n_windows, x.n_slots, not x.reparameterised) for x in decontamination.contaminated(docs_of(spark, docs), bench).collect()}
+    want = {(i, k): b for i, d in enumerate(docs) for k, t in enumerate(items) if (b := contaminated_by_hand(d, t))}
+    assert got == want and len(want) > 30
+
+
 def quality_rows(n=400):
     r = random.Random(9)
     rows = []
@@ -189,7 +249,7 @@ def test_parts_of_words_hide_no_main_element(article):
     assert webpages.main_text(page, "article") == webpages.main_text(page, "") == "t\none\ntwo"
     assert webpages.main_text(f'<div class="sidebar">{article}no</article></div><p>yes</p>', "article") == "yes"
     assert webpages.main_text(f'{article}yes<div class="comments-list"><article>no</article></div></article><div class="related-posts"><article>no</article></div>', "article") == "yes"
-    assert webpages.main_element(["<div.content.with-sidebar>"]) == "div.content.with-sidebar" and webpages.main_element(["<div.content.sidebar>"]) == ""
+    assert webpages.main_element({"/div.content.with-sidebar": 9, "/p": 1}) == "div.content.with-sidebar" and webpages.main_element({"/div.content.sidebar/p": 9, "/p": 1}) == ""
 
 
 def test_wrappers_are_union_free():
@@ -199,7 +259,55 @@ def test_wrappers_are_union_free():
     assert webpages.aligned(a, b) == ["<div>", "( <h1> )?", "( # )?", "( </h1> )?", "( <p> # </p> )+", "</div>"]
     joined = webpages.aligned(a, webpages.folded(webpages.stream("<div><p>x</p></div>")))
     assert joined == a
-    assert webpages.main_element(["<div.content>", "#", "</div>"]) == "div.content" and webpages.main_element(["<div.ad>"]) == ""
+    assert webpages.slots(["<body>", "( <div.post> )?", "( <p> # </p> )+", "( </div> )?", "<p>", "#", "<li>", "#"]) == ["/body/div.post/p", "/body/p", "/body/li"]
+    assert webpages.main_element({"/div.content/p": 9, "/div.ad": 90}) == "div.content" and webpages.main_element({"/div.ad": 9}) == ""
+    assert webpages.main_element({"/div.x/div.y/p": 95, "/p": 5}) == "div.y" and webpages.main_element({"/div.x/p": 50, "/div.y/p": 50}) == ""
+
+
+def host_pages(r, host, first, n):
+    """Pages of a host, made from a template of its own, with the texts that a reader would copy out."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    words = lambda k: " ".join(word() for _ in range(k))
+    opening, closing = r.choice([("<article class='{c}' id='post-{i}'>", "</article>"), ("<main class='{c}'>", "</main>"), ("<div class='post-content'>", "</div>"), ("<div class='x{h} wide'>", "</div>"), ("<section class='story {c}'>", "</section>")])
+    plain = r.choice(["has-comments", "no-sidebar", "news-search", "category-notice", "dark"])
+    menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in words(5).split())
+    top, bottom, notice = words(4), words(6), words(8)
+    neutral = r.random() < 0.5
+    out = []
+    for i in range(first, first + n):
+        blocks = [words(r.randint(20, 60)) for _ in range(r.randint(2, 6))]
+        title, listed = words(5), [words(3) for _ in range(r.randint(0, 3))]
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{b}" + "</p>" * r.randint(0, 1) for b in blocks)
+        if listed:
+            body += "<ul>" + "".join(f"<li>{x}" for x in listed) + "</ul>"
+        inner = "".join(r.choice(["", f"<{e} class='{c}'><p>{words(6)}</p></{e}>"]) for e, c in (("div", "comments"), ("div", "advert"), ("section", "related"), ("div", "sidebar"), ("aside", "y"), ("form", "z")))
+        page = f"<html><head><title>{title}</title><script>if (a < b) c('<p>{word()}</p>')</script></head><body>"
+        page += f"<div class='t'>{top}</div><ul>{menu}</ul>" if neutral else f"<header>{top}</header><nav><ul>{menu}</ul></nav>"
+        page += f"<div class='ad'>{words(7)}</div>" + opening.format(c=plain, i=i, h=host[0]) + body + inner + closing
+        page += f"<div>{notice}</div>" if neutral else f"<div class='notice'>{notice}</div>"
+        page += f"<footer>{bottom} {word()}</footer></body></html>"
+        out.append((i, f"http://{host}/{i}", page, "\n".join([title, *blocks, *listed])))
+    return out
+
+
+def test_html_of_made_up_hosts(spark, monkeypatch):
+    """Texts come out exactly, whatever the host's template, and don't change with other hosts."""
+    r = random.Random(3)
+    rows = [x for k in range(24) for x in host_pages(r, f"h{k}.org", 100 * k, r.randint(4, 9))]
+    pages = lambda part: spark.createDataFrame([x[:3] for x in part], "page_id long, url string, html string")
+    want = {x[0]: x[3] for x in rows}
+    got = {x.page_id: x.text for x in webpages.extracted(pages(rows).repartition(3)).collect()}
+    assert got == want
+    monkeypatch.setattr(webpages, "SHARE", 3)
+    one = [x for x in rows if x[0] < 100]
+    assert webpages.wrappers(pages(one)).collect() == webpages.wrappers(pages(rows)).where("host = 'h0.org'").collect()
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    text = "<body><div><p>{}</p><p>the same words in every copy of it</p></div></body>"
+    rows = [(i, "http://a.org/", text.format("x" if i else "y")) for i in range(4)] + [(9, "http://b.org/", text.format("z"))]
+    got = {x.page_id: x.text for x in webpages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{w}\nthe same words in every copy of it" for i, w in ((0, "y"), (1, "x"), (2, "x"), (3, "x"), (9, "z"))}
 
 
 def test_large_hosts_are_aligned_in_shares(spark, monkeypatch):
@@ -256,3 +364,72 @@ def test_pipeline(spark, tmp_path):
     assert not any(i >= 200 for i in kept[0]) and kept[0] >= {i for i in range(30)} | {100, 101}
     assert {100, 101}.isdisjoint(kept[1]) and {0, 1, 2}.issubset(kept[1]) and kept[2] == kept[1] and 104 not in kept[3] and kept[3] == kept[2] - {104} and kept[4] == kept[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[4])
+
+
+def test_very_long_urls(spark):
+    """Labels and directories beyond the list's cost nothing."""
+    url = "http://" + "a." * 2000 + "example.com/en/" + "d/" * 2000
+    given = [url, url.replace("/en/", "/fr/"), "http://" + "com/" * 3000]
+    pages = spark.createDataFrame([(1, u) for u in given], "page_id long, url string")
+    listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    assert sorted((r.host, r.path, r.rule, r.verdict) for r in urls.judged(pages, listed).collect()) == sorted(judge(u) for u in given)
+    with pytest.raises(ValueError):
+        urls.judged(pages, spark.createDataFrame([("com", "/en", "block")], "host string, path string, verdict string"))
+
+
+def spelt_out(texts, band):
+    """Lexicon, subsets, fingerprints and likeness with sets and dictionaries."""
+    import numpy as np
+    import xxhash
+
+    mix = lambda x: int(common.mixed(np.array([x], np.uint64))[0])
+    number = lambda w: xxhash.xxh3_64_intdigest(w)
+    terms = [{number(w) for w in (t or "").encode().lower().split()} for t in texts]
+    seen = Counter(w for ws in terms for w in ws)
+    known = {w for w, n in seen.items() if band[0] * len(texts) <= n <= band[1] * len(texts) and n > 1}
+    in_subset = {}
+
+    def members(k, rate, ws):
+        seed = (k + 1) * int(common.MIX_2) % 2**64
+        return [w for w in ws if in_subset.setdefault((k, w), mix(w ^ seed) % rate == 0)]
+
+    def mark(ws):
+        ws, parts = ws & known or ws, []
+        for k in range(len(fingerprints.RATES) * fingerprints.SUBSETS):
+            mine = members(k, fingerprints.RATES[k // fingerprints.SUBSETS], ws)
+            total = sum(mix((w + int(common.MIX_1)) % 2**64) for w in mine) % 2**64
+            parts.append(f"{mix(total) >> 32:08x}" if mine else None)
+        return parts
+
+    def near(a, b):
+        if a == b:
+            return 1.0
+        best = 0.0
+        for at in range(0, len(a), fingerprints.SUBSETS):
+            both = [x == y for x, y in zip(a[at : at + fingerprints.SUBSETS], b[at : at + fingerprints.SUBSETS], strict=True) if x or y]
+            if len(both) >= fingerprints.LEAST_PARTS:
+                best = max(best, sum(both) / len(both))
+        return best
+
+    out = []
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        k = len(t) // 4
+        edited = (t[: len(t) - k] + after[:k]).encode()
+        a, b, c = mark(terms[i]), mark({number(w) for w in edited.lower().split()}), mark(terms[(i + 1) % len(texts)])
+        text = lambda parts: "".join(p or "-" * 8 for p in parts)
+        out.append((len(t), hashlib.sha256(edited).hexdigest(), text(a), text(b), near(a, b), near(a, c)))
+    return out
+
+
+@pytest.mark.parametrize("ids", ["plain", "repeated"])
+def test_fingerprints_spelt_out(spark, ids):
+    r = random.Random(6)
+    texts = [" ".join(f"T{int(r.paretovariate(0.7))}" for _ in range(r.randint(1, 150))) for _ in range(30)] + [None, "", "same text", "same text"]
+    if ids == "repeated":
+        rows = sorted([(None if i < 3 else 2**60 + i // 4, t) for i, t in enumerate(texts)], key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode()))
+    else:
+        rows = list(enumerate(texts))
+    want = Counter((i, *w) for (i, _), w in zip(rows, spelt_out([t for _, t in rows], (0.05, 0.5)), strict=True))
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, part string").repartition(4)
+    assert Counter(tuple(x) for x in fingerprints.compared(df, band=(0.05, 0.5)).collect()) == want

@@ -13,6 +13,8 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from pagewright.llm import bpe, neardup, ppm, substrings
+from pagewright.llm import components as module
+from pagewright.llm.common import written
 from pagewright.llm.components import components
 
 VOCABULARY = P.path("byte_bpe_50k.tiktoken")
@@ -40,9 +42,13 @@ def texts():
 
 
 def frame(spark, texts):
-    """Documents with a column whose name clashes with the operators' own, and one extra row for every tenth id."""
-    rows = [(i, t, "x", i) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "doc_id long, text string, n_shingles string, anchors int")
+    """Documents with columns whose names clash with the operators' own."""
+    rows = [(i, t, "x", i, "k") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_shingles string, anchors int, block string")
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, set_key string")
 
 
 def shingle_sets(texts):
@@ -53,34 +59,73 @@ def shingle_sets(texts):
     return out
 
 
-def test_near_duplicates(spark, texts):
-    sets, parent = shingle_sets(texts), list(range(len(texts)))
+def linked(rows):
+    """component of each row's (doc_id, place) by comparing all pairs; rows of one doc_id that have a set are one document."""
+    sets, parent = shingle_sets([t for _, t in rows]), {}
 
     def top(x):
-        while parent[x] != x:
+        while parent.setdefault(x, x) != x:
             x = parent[x]
         return x
 
-    for a in sets:
-        for b in range(a):
+    node = {k: ("row", k) if rows[k][0] is None else rows[k][0] for k in sets if sets[k]}
+    for a in node:
+        for b in node:
             both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((top(a), top(b)))
-                parent[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, texts)).collect()}
-    assert got == {i: (len(s), top(i), top(i) == i) for i, s in sets.items()}
+            if b < a and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = top(node[a]), top(node[b])
+                parent[x] = y
+    members = defaultdict(list)
+    for k in node:
+        if rows[k][0] is not None:
+            members[top(node[k])].append(rows[k][0])
+    least = {t: min(m) for t, m in members.items()}
+    return [(i, len(sets[k]), least.get(top(node[k])) if k in node else i) for k, (i, _) in enumerate(rows)]
 
 
-def test_near_duplicates_of_a_hot_group(spark):
+def check_near(spark, rows):
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(rows_of(spark, rows)).collect())
+    assert got == Counter((i, n, c, None if c is None or i is None else c == i) for i, n, c in linked(rows))
+
+
+def test_near_duplicates(spark, texts):
+    check_near(spark, list(enumerate(texts)))
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark, texts):
+    """A document with two texts joins what links with either, in any order of the rows."""
+    r = random.Random(11)
+    a, b = prose(r, 40, 10_000), prose(r, 40, 10_000)
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, a), (4, "other text"), (None, a), (None, b + " y"), (None, "alone"), (5, "other text"), (6, None), (6, a), (7, None), (7, "")]
+    for _ in range(2):
+        check_near(spark, rows)
+        rows = rows[::-1]
+    check_near(spark, [(i // 3, t) for i, t in enumerate(texts)])
+
+
+def hot_group(n):
     """Many near copies of one text, most of which don't link with each other."""
     r, rows = random.Random(3), []
     base = prose(r, 60, 10_000).split()
-    for _ in range(300):
+    for _ in range(n):
         w = list(base)
         for k in r.sample(range(60), r.choice([0, 1, 2, 3, 5, 8])):
             w[k] = f"z{r.randint(0, 10**6)}"
         rows.append(" ".join(w))
-    test_near_duplicates(spark, rows)
+    return rows
+
+
+def test_near_duplicates_of_a_hot_group(spark):
+    check_near(spark, list(enumerate(hot_group(300))))
+
+
+def test_a_group_of_thousands_is_compared_in_parts(spark, monkeypatch):
+    """Parts of few shingles give the same components as one."""
+    docs = frame(spark, hot_group(3000))
+    one = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    monkeypatch.setattr(neardup, "LEFT", 5000)
+    monkeypatch.setattr(neardup, "RIGHT", 3000)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == one and 1 < len(set(one.values())) < 2000
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -98,16 +143,16 @@ def test_without_near_copies_keeps_columns(spark):
 def test_pigeonhole_finds_all_pairs_within_distance(spark):
     """Signatures at every distance up to the threshold meet in the index."""
     r = np.random.default_rng(5)
-    base = r.integers(0, 1 << 16, neardup.SLOTS, dtype=np.uint16)
+    base = r.integers(0, 1 << 32, neardup.SLOTS, dtype=np.uint32)
     rows = [(0, bytearray(base.tobytes()))]
     for k in range(1, 60):
         s = base.copy()
         at = r.choice(neardup.SLOTS, min(neardup.DISTANCE, k), replace=False)
-        s[at] ^= np.uint16(1) + r.integers(0, 1 << 15, len(at), dtype=np.uint16)
+        s[at] ^= np.uint32(1) + r.integers(0, 1 << 31, len(at), dtype=np.uint32)
         rows.append((k, bytearray(s.tobytes())))
-    df = spark.createDataFrame(rows, "doc_id long, signature binary")
+    df = spark.createDataFrame(rows, "cls long, signature binary")
     keys = neardup.index_keys(df, neardup.SLOTS, neardup.CHUNKS, neardup.DISTANCE)
-    met = keys.join(keys.where("doc_id = 0").select("key"), "key").select("doc_id").distinct().count()
+    met = keys.join(keys.where("cls = 0").select("key"), "key").select("cls").distinct().count()
     assert met == 60
 
 
@@ -129,6 +174,14 @@ def test_components(spark):
     assert got == {x: top(x) for x in parent}
 
 
+def test_components_of_a_chain_take_logarithmic_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(module, "written", lambda df: tables.append(1) or written(df))
+    got = components(spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {r.component for r in got.collect()} == {0} and got.count() == 1001
+    assert len(tables) <= 1 + 2 * 16 + 4  # two a round
+
+
 def cut(texts, window=35):
     words = [(t or "").encode().split() for t in texts]
     seen = Counter(tuple(w[k : k + window]) for w in words for k in range(len(w) - window + 1))
@@ -148,6 +201,20 @@ def test_substring_dedup(spark, texts, window, short):
     assert got == {i: (n, k, hashlib.sha256(t).digest()) for i, (n, k, t) in enumerate(cut(texts, window))}
 
 
+def test_substring_dedup_with_repeated_and_null_ids(spark):
+    """Every row is a text of its own, in any order of the rows."""
+    r = random.Random(12)
+    a, b = prose(r, 40, 10_000), prose(r, 40, 10_000)
+    rows = [(1, a), (1, b), (2, f"x {a} y"), (3, f"x2 {b} y2"), (4, a + " z"), (4, a + " z"), (None, b), (None, "alone " + prose(r, 50, 10_000)), (5, None), (5, f"p {b}")]
+    for _ in range(2):
+        got = Counter((x.doc_id, x.n_words, x.n_removed, bytes(x.kept_sha256)) for x in substrings.without_repeats(rows_of(spark, rows)).collect())
+        want = cut([t for _, t in rows])
+        assert got == Counter((i, n, k, hashlib.sha256(t).digest()) for (i, _), (n, k, t) in zip(rows, want, strict=True))
+        out = Counter((x.doc_id, x.text) for x in substrings.deduplicated(rows_of(spark, rows)).collect())
+        assert out == Counter((i, kept.decode() if k else t) for (i, t), (_, k, kept) in zip(rows, want, strict=True))
+        rows = rows[::-1]
+
+
 def test_deduplicated_texts(spark, texts):
     docs = frame(spark, texts).withColumn("n_chars", F.length("text"))
     out = substrings.deduplicated(docs)
@@ -196,13 +263,24 @@ def test_ppm_equals_the_model_spelt_out(spark):
         model = Ppm([(t or "").encode() for i, t in enumerate(rows) if learns(i)], order)
         got = {x.doc_id: x for x in ppm.scored(docs, ~F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2"), order, block_bytes=300).collect()}
         for i, t in enumerate(rows):
-            assert got[i].score == pytest.approx(model.score((t or "").encode()), abs=1e-6)
+            assert got[i].score == pytest.approx(model.score((t or "").encode()), rel=1e-11, abs=1e-9)
     counts = Counter(w for i, t in enumerate(rows) if learns(i) for w in [*(t or "").encode().lower().split(), None])
     n, v = sum(counts.values()), len(counts)
     for i, t in enumerate(rows):
         words = [*(t or "").encode().lower().split(), None]
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(words), sum(w in counts for w in words), n)
-        assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), abs=1e-6)
+        assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel=1e-11, abs=1e-9)
+
+
+def test_ppm_of_a_long_text_is_exact(spark):
+    """A text of a million bytes, repeated and null ids, and columns with clashing names."""
+    r = random.Random(21)
+    rows = [(1, prose(r, 220_000)), (1, prose(r, 30)), (1, prose(r, 30)), (None, "w1 w2"), (None, None), (2, "w3 w4"), (2, "w3 w4")]
+    model = Ppm([(t or "").encode() for i, t in rows if i != 1], 2)
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, block string, value string")
+    got = sorted((x.n_symbols, x.score) for x in ppm.scored(docs, F.expr("doc_id is null or doc_id <> 1"), 2).collect())
+    want = sorted((len((t or "").encode()) + 1, model.score((t or "").encode())) for _, t in rows)
+    assert len(rows[0][1]) > 900_000 and [g[0] for g in got] == [w[0] for w in want] and all(g[1] == pytest.approx(w[1], rel=1e-11) for g, w in zip(got, want, strict=True))
 
 
 def test_ppm_probabilities_sum_to_one(spark):
@@ -234,3 +312,20 @@ def test_bpe_equals_the_library(spark):
         want = library.encode_ordinary(t)
         assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     assert bpe.digests(docs.where("false"), VOCABULARY, P.PATTERN).count() == 0
+    twice = docs.union(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    assert Counter(x.ids_sha256 for x in bpe.digests(twice, VOCABULARY, P.PATTERN).collect()) == Counter({k: 2 * n for k, n in Counter(x.ids_sha256 for x in bpe.digests(docs, VOCABULARY, P.PATTERN).collect()).items()})
+
+
+@pytest.mark.parametrize("word", [b" the", b"zqxj vk", b"a" * 2000])
+def test_a_wrong_id_shows_in_the_decoded_bytes(word):
+    """Words that are tokens, that aren't, and long ones are all decoded from their ids."""
+    ranks = bpe.ranks_of(open(VOCABULARY, "rb").read())
+    encoder = bpe.Encoder(ranks)
+    ((_, ids, text),) = encoder.encode([word])
+    assert text == word
+    first = np.frombuffer(ids, "<u4")[0]
+    other = next(t for t, n in ranks.items() if n != first and len(t) == len(encoder.tokens[first]))
+    encoder.tokens[first] = other
+    encoder.db.execute("UPDATE vocabulary SET bytes = ? WHERE id = ?", [other, int(first)])
+    ((_, again, text),) = encoder.encode([word])
+    assert again == ids and text != word

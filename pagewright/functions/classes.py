@@ -17,6 +17,7 @@ INTENTS = (
     ("action_path", r"how (do i |to |can i )?(make|create|post|record|enter|add|pass|generate|cut|raise|prepare|issue|file|submit|save|write|book|lodge)"),
     ("definition", r"what (is|are)|explain|tell me about|describe|meaning of|definition of|what does .+ (do|mean)|what'?s (a |an |the )?[a-z]|define"),
 )
+# How a question starts, and names of features.
 QUESTION_START = r"how|what|where|why|when|which|can|could|would|should|do|does|did|is|are|was|were|explain|tell|show|list|steps|step"
 TOPICS = r"journal|voucher|invoice|payment|receipt|contra|ledger|trial\s*balance|day\s*book|balance\s*sheet|chart\s*of\s*accounts|party|parties|stock|vat|tds|payroll|report|sales|purchase|credit\s*note|debit\s*note"
 

@@ -80,6 +80,11 @@ def dpi_for_pages(pages: Column) -> Column:
     return F.when(pages > 200, 350).when(pages > 100, 380).otherwise(400)
 
 
+def image_file_dpi(pages: Column) -> Column:
+    """The resolution of pages in a file of images: lower from 51 and from 151 pages."""
+    return F.when(pages > 150, 350).when(pages > 50, 380).otherwise(400)
+
+
 def image_quality(skew: Column, noise: Column, bleed: Column, shadows: Column, adequate: Column) -> Column:
     """100 less what tilt, noise, bleed-through, shadows and low resolution cost, each up to a bound."""
     cost = lambda x, k, most: F.least(F.lit(most), x * k)

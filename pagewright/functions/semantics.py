@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .text import DEVANAGARI, n_of, n_visible, share, stripped
 
+# Patterns of amounts, dates, percentages, sections and mixed numbers, and what excuses a large percentage.
 AMOUNT = r"(?:रु\.?|Rs\.?|NRs\.?)\s*([\d,]+(?:\.\d+)?)"
 DATE = r"(\d{4})[./\-](\d{1,2})[./\-](\d{1,2})"
 PERCENTAGE = r"([\d.]+)\s*(?:%|प्रतिशत)"
 SECTION, DEFINED = r"दफा\s*([\d०-९]+)", r"दफा\s*([\d०-९]+)\s*[.:]"
 MIXED_DIGITS = r"[०-९]+[0-9]+|[0-9]+[०-९]+"
+MORE_THAN, LOOK_BACK = "से अधिक", 20
 
 
 def _all(c: Column, pattern: str, group: int = 1) -> Column:
@@ -29,18 +31,29 @@ def large_amounts(c: Column, most: float = 1e15) -> Column:
 
 def wrong_dates(c: Column) -> Column:
     """Months and days that can't be, of years from 2000 to 2120; a date may give both."""
-    dates = F.arrays_zip(_all(c, DATE, 0).alias("d"), _all(c, DATE, 1).alias("y"), _all(c, DATE, 2).alias("m"), _all(c, DATE, 3).alias("n"))
-    near = F.filter(dates, lambda x: x["y"].cast("int").between(2000, 2120))
-    month = F.transform(F.filter(near, lambda x: ~x["m"].cast("int").between(1, 12)), lambda x: F.concat(F.lit("month "), x["d"]))
-    day = F.transform(F.filter(near, lambda x: ~x["n"].cast("int").between(1, 32)), lambda x: F.concat(F.lit("day "), x["d"]))
+    part = lambda d, i: F.element_at(F.split(d, r"[./\-]"), i).cast("int")
+    near = F.filter(_all(c, DATE, 0), lambda d: part(d, 1).between(2000, 2120))
+    month = F.transform(F.filter(near, lambda d: ~part(d, 2).between(1, 12)), lambda d: F.concat(F.lit("month "), d))
+    day = F.transform(F.filter(near, lambda d: ~part(d, 3).between(1, 32)), lambda d: F.concat(F.lit("day "), d))
     return _issues("error", "date", F.concat(month, day))
 
 
 def large_shares(c: Column) -> Column:
-    """Percentages over 100 without "से अधिक" in the twenty characters before."""
-    found = F.arrays_zip(_all(c, rf"(?s)(.{{0,20}}?)(?<![\d.]){PERCENTAGE}", 1).alias("before"), _all(c, rf"(?s)(.{{0,20}}?)(?<![\d.]){PERCENTAGE}", 2).alias("value"))
-    over = F.filter(found, lambda x: (x["value"].try_cast("double") > 100) & ~x["before"].contains("से अधिक"))
-    return _issues("warning", "amount", F.transform(over, lambda x: x["value"]))
+    """Percentages over 100 without MORE_THAN in the LOOK_BACK characters of the text before."""
+    between = F.split(c, PERCENTAGE, -1)
+    matches = F.transform(_all(c, PERCENTAGE, 0), lambda m, i: F.struct(F.get(between, i).alias("between"), m.alias("match")))
+    start = F.expr("cast(named_struct('before', '', 'found', array()) as struct<before:string,found:array<string>>)")
+    last = lambda x: F.right(x, F.lit(LOOK_BACK))
+
+    def step(acc, m):
+        before = last(F.concat(acc["before"], m["between"]))
+        value = F.regexp_extract(m["match"], r"^[\d.]+", 0)
+        large = F.coalesce(value.try_cast("double") > 100, F.lit(False)) & ~before.contains(MORE_THAN)
+        return F.struct(last(F.concat(before, m["match"])).alias("before"), F.when(large, F.concat(acc["found"], F.array(value))).otherwise(acc["found"]).alias("found"))
+
+    # Texts without a mark of a percentage have none.
+    found = F.when(c.rlike("%|प्रतिशत"), F.aggregate(matches, start, step)["found"]).otherwise(F.array().cast("array<string>"))
+    return _issues("warning", "amount", found)
 
 
 def missing_sections(c: Column) -> Column:
@@ -66,7 +79,7 @@ def mixed_numbers(c: Column, most: int = 3) -> Column:
 def all_issues(c: Column, domain: Column | None = None) -> Column:
     domain = F.lit("general") if domain is None else domain
     c = F.coalesce(c, F.lit(""))
-    none = F.filter(mixed_numbers(c), lambda x: F.lit(False))
+    none = F.array().cast("array<struct<severity:string,category:string,found:string>>")
     legal = F.when(domain.isin("legal", "government"), missing_sections(c)).otherwise(none)
     return F.concat(large_amounts(c), wrong_dates(c), large_shares(c), legal, mixed_paragraphs(c), mixed_numbers(c))
 

@@ -132,6 +132,15 @@ def stamps(images: DataFrame, width: float, height: float) -> DataFrame:
     return images.where(corner & (w / h).between(0.7, 1.4) & w.between(width * 0.06, width * 0.3))
 
 
+def charts(images: DataFrame, vectors: DataFrame, tables: DataFrame, covered: float = 0.3) -> DataFrame:
+    """Images that are neither small nor long, and vector drawings of eight strokes or more, that no table covers; with confidence."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    ratio = w / F.greatest(h, F.lit(1.0))
+    drawn = images.where((w * h >= 2000) & (ratio > 0.4) & (ratio < 2.5)).withColumn("confidence", F.lit(55.0))
+    stroked = vectors.where((F.col("strokes") >= 8) & (w > 80) & (h > 60)).withColumn("confidence", F.lit(50.0))
+    return overlapping(drawn, tables, covered, "left_anti").unionByName(overlapping(stroked, tables, covered, "left_anti"), allowMissingColumns=True)
+
+
 def handwriting(vectors: DataFrame, texts: DataFrame, left: float, right: float) -> DataFrame:
     """Vector drawings of four strokes or more in the side margins that no text covers by a fifth."""
     drawn = vectors.where((F.col("strokes") >= 4) & ((F.col("x1") <= left) | (F.col("x0") >= right)))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.devanagari import sequence_confidence
-from ..functions.text import DEVANAGARI, PRIVATE, is_blank, n_of, n_visible, share, stripped
+from ..functions.semantics import verdict
+from ..functions.text import DEVANAGARI, PRIVATE, character_error_rate, is_blank, n_of, n_visible, share, stripped
+from ..sources.stored import stored
 
 GARBAGE = r"(?i)undefined|NaN|\[object|function\s*\("
 #: Weights of a page's scores.
@@ -80,12 +82,10 @@ def first_good(candidates: DataFrame, least: float = 75.0) -> DataFrame:
 def consensus(candidates: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, page, agreed: whether any two sources share that part of their words, by the larger set."""
     words = F.array_distinct(F.filter(F.split("text", r"(?U)\s+"), lambda x: x != ""))
-    sets = candidates.select("doc_id", "page", "place", words.alias("w")).where(F.size("w") > 0)
-    other = sets.select("doc_id", "page", F.col("place").alias("other"), F.col("w").alias("v"))
-    met = sets.join(other, ["doc_id", "page"]).where("place < other")
-    ratio = F.size(F.array_intersect("w", "v")) / F.greatest(F.size("w"), F.size("v"))
-    hit = met.groupBy("doc_id", "page").agg(F.max(ratio >= least).alias("agreed"))
-    return candidates.select("doc_id", "page").distinct().join(hit, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("agreed", F.lit(False)).alias("agreed"))
+    near = lambda a, b: (a["place"] < b["place"]) & (F.size(F.array_intersect(a["w"], b["w"])) / F.greatest(F.size(a["w"]), F.size(b["w"])) >= least)
+    # A page has a text from each of a few engines.
+    found = candidates.groupBy("doc_id", "page").agg(F.collect_list(F.struct("place", words.alias("w"))).alias("sets")).withColumn("sets", F.filter("sets", lambda x: F.size(x["w"]) > 0))
+    return found.select("doc_id", "page", F.exists("sets", lambda a: F.exists("sets", lambda b: near(a, b))).alias("agreed"))
 
 
 def method_counts(pages: DataFrame, batch: int = 50) -> DataFrame:
@@ -147,16 +147,27 @@ def serialized(elements: DataFrame) -> DataFrame:
 
 
 def graph_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with rank: a node's longest path from one without predecessor; edges (doc_id, source, target) must have no cycle. Depth rounds, each a join."""
+    """nodes with rank: a node's longest path from one without predecessor; edges (doc_id, source, target) must have no cycle. Depth rounds, each a join and a table on shared storage."""
     ranked = nodes.select("doc_id", "node").withColumn("rank", F.lit(0))
     while True:
         step = edges.join(ranked.withColumnRenamed("node", "source"), ["doc_id", "source"]).groupBy("doc_id", F.col("target").alias("node")).agg((F.max("rank") + 1).alias("next"))
-        new = ranked.join(step, ["doc_id", "node"], "left").select("doc_id", "node", F.greatest("rank", F.coalesce("next", F.lit(0))).alias("rank"), (F.coalesce("next", F.lit(0)) > F.col("rank")).alias("moved")).persist()
+        new = stored(ranked.join(step, ["doc_id", "node"], "left").select("doc_id", "node", F.greatest("rank", F.coalesce("next", F.lit(0))).alias("rank"), (F.coalesce("next", F.lit(0)) > F.col("rank")).alias("moved")))
         if not new.where("moved").head(1):
             return new.select("doc_id", "node", "rank")
         ranked = new.drop("moved")
 
 
+def adjusted_confidence(confidence: Column, issues: Column) -> Column:
+    """A confidence after a text's semantic issues, not under 0. The text itself stays: only the vocabulary's words with a certainty of 90 would be put in, and those are the words that stand there."""
+    return F.greatest(F.lit(0.0), confidence + verdict(issues)["adjustment"])
+
+
+def golden_pairs(pairs: DataFrame, most: float = 0.02) -> DataFrame:
+    """name, rate, status of pairs (name, expected, found): PASS up to that rate of wrong characters, FAIL over it, MISSING without a text."""
+    rate = F.when(F.col("found").isNotNull(), character_error_rate(F.col("found"), F.col("expected")))
+    return pairs.select("name", rate.alias("rate"), F.when(F.col("found").isNull(), "MISSING").when(rate <= most, "PASS").otherwise("FAIL").alias("status"))
+
+
 def metrics_of_words(mean: Column, words: Column) -> Column:
     """Whether a recognised page is to be tried again: few words or little confidence."""
     return (words < 2) | (mean < 75)

@@ -47,6 +47,25 @@ def layout_text(words: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n")).alias("text"))
 
 
+def ruled_tables(words: DataFrame, rulings: DataFrame, thin: float = 3.0) -> DataFrame:
+    """doc_id, page, row, column, text: the cells between a page's ruling lines that hold words (doc_id, page, text, x0, y0, x1, y1).
+
+    rulings: (doc_id, page, x0, y0, x1, y1); those up to thin wide are upright,
+    those up to thin high level. Lines nearer than thin are one. A page needs
+    two of either for a table; a word belongs where its middle is.
+    """
+    upright, level = F.col("x1") - F.col("x0") <= thin, F.col("y1") - F.col("y0") <= thin
+    none = F.array().cast("array<double>")
+    apart = lambda xs: F.aggregate(xs, none, lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) >= thin), F.concat(kept, F.array(x))).otherwise(kept))
+    ends = lambda hit, c: apart(F.array_sort(F.collect_set(F.when(hit, F.col(c)))))
+    grid = rulings.groupBy("doc_id", "page").agg(ends(upright, "x0").alias("xs"), ends(level & ~upright, "y0").alias("ys")).where((F.size("xs") > 1) & (F.size("ys") > 1))
+    place = lambda ends_, middle: F.size(F.filter(ends_, lambda e: e <= middle))
+    placed = words.join(grid, ["doc_id", "page"]).withColumn("row", place("ys", (F.col("y0") + F.col("y1")) / 2)).withColumn("column", place("xs", (F.col("x0") + F.col("x1")) / 2))
+    inside = placed.where((F.col("row") >= 1) & (F.col("row") < F.size("ys")) & (F.col("column") >= 1) & (F.col("column") < F.size("xs")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda x: x["text"]), " ")
+    return inside.groupBy("doc_id", "page", "row", "column").agg(text.alias("text"))
+
+
 def joined_spans(spans: DataFrame, tab: float = 50.0, space: float = 5.0, from_start: bool = False) -> DataFrame:
     """doc_id, page, block, line, text: a line's spans joined by their gaps, to a tab, a space or nothing.
 

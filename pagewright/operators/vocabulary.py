@@ -15,37 +15,43 @@ from ..functions.devanagari import skeleton
 
 # Words by domain; a word that several domains have belongs to the first.
 WORDS = {
-    "legal": """अदालत सर्वोच्च उच्च जिल्ला न्यायालय न्यायाधीश न्यायपालिका वकील अभिवक्ता प्रतिवादी वादी मुद्दा फैसला आदेश निर्णय पुनरावेदन
-        कानून ऐन नियमावली विनियमावली संविधान अध्यादेश दफा उपदफा खण्ड अनुसूची परिच्छेद भाग प्रकरण व्याख्या परन्तुक स्पष्टीकरण
-        अभियोग प्रमाण गवाही साक्षी बयान जाँच अनुसन्धान तहकिकात पक्राउ गिरफ्तारी जमानत धरौटी थुनामा कैद जरिवाना
-        लिखत सम्झौता अनुबन्ध करार करारनामा अधिकारपत्र प्रमाणपत्र विश्वासपत्र
-        नेपाल सरकार मन्त्रालय विभाग कार्यालय आयोग समिति निकाय प्रदेश स्थानीय पालिका गाउँपालिका नगरपालिका महानगरपालिका संसद प्रतिनिधिसभा राष्ट्रियसभा
-        अधिकार कर्तव्य दायित्व जिम्मेवारी जवाफदेही हक अपराध दण्ड सजाय क्षतिपूर्ति मुआब्जा हर्जाना रकम वैधानिकता""",
-    "accounting": """खाता जर्नल खातावही खाताबही बही नामेसी जम्मा शेष बाँकी रकम नगद चेक ड्राफ्ट भौचर
-        वासलात नाफानोक्सान आर्थिक विवरण तुलनपत्र नगदप्रवाह लेखापरीक्षण
-        सम्पत्ति चलसम्पत्ति अचलसम्पत्ति स्थिरसम्पत्ति पूँजीगत हिसाब मौज्दात
-        दायित्व चालू दीर्घकालीन ऋण कर्जा देय भुक्तानी तिर्नुपर्ने
-        आम्दानी आय खर्च व्यय नाफा नोक्सान राजस्व प्राप्ति बिक्री खरीद
-        पूँजी सेयर शेयर लाभांश सञ्चित कोष जगेडा सुरक्षित
-        कर करयोग्य भ्याट मूल्य अभिवृद्धि आयकर अग्रिम कर्तव्य छुट
-        रुपैयाँ पैसा हजार लाख करोड अर्ब प्रतिशत
-        वर्ष चैत्र बैशाख जेठ असार श्रावण भदौ असोज कात्तिक मंसिर पौष माघ फाल्गुन""",
-    "banking": """बैंक बैंकिङ निक्षेप बचत चल्ती स्थिर मुद्दती ब्याज ब्याजदर सापटी ऋणपत्र धितोपत्र प्रतिभूति
-        विनिमय हुण्डी पत्र प्रत्याभूति लगानी कारोबार भुक्तानी निकासी जम्मा खाता शाखा केन्द्रीय""",
-    "common": """र को का की ले मा बाट सम्म लाई प्रति सँग देखि भन्दा पनि तर वा अथवा तथा एवं यो त्यो यी ती कुनै सबै प्रत्येक
-        गर्नु हुनु भएको गरेको गरिएको बनाउनु दिनु लिनु राख्नु हेर्नु गर्न हुन भए गरे गरि
-        व्यक्ति संस्था कम्पनी कर्मचारी अधिकारी निर्देशक सदस्य अध्यक्ष सचिव प्रमुख जनता नागरिक राष्ट्र देश प्रदेश
-        एक दुई तीन चार पाँच छ सात आठ नौ दश सय हजार लाख
-        दिन हप्ता महिना वर्ष साल मिति समय अवधि अन्तर्गत भित्र पछि
-        नयाँ पुरानो ठूलो सानो पहिलो अन्तिम मुख्य विशेष सामान्य आवश्यक""",
+    "legal": (
+        "अदालत", "सर्वोच्च", "उच्च", "जिल्ला", "न्यायालय", "न्यायाधीश", "न्यायपालिका", "वकील", "अभिवक्ता", "प्रतिवादी", "वादी", "मुद्दा", "फैसला",
+        "आदेश", "निर्णय", "पुनरावेदन", "कानून", "ऐन", "नियमावली", "विनियमावली", "संविधान", "अध्यादेश", "दफा", "उपदफा", "खण्ड", "अनुसूची", "परिच्छेद",
+        "भाग", "प्रकरण", "व्याख्या", "परन्तुक", "स्पष्टीकरण", "अभियोग", "प्रमाण", "गवाही", "साक्षी", "बयान", "जाँच", "अनुसन्धान", "तहकिकात", "पक्राउ",
+        "गिरफ्तारी", "जमानत", "धरौटी", "थुनामा", "कैद", "जरिवाना", "लिखत", "सम्झौता", "अनुबन्ध", "करार", "करारनामा", "अधिकारपत्र", "प्रमाणपत्र",
+        "विश्वासपत्र", "नेपाल", "सरकार", "मन्त्रालय", "विभाग", "कार्यालय", "आयोग", "समिति", "निकाय", "प्रदेश", "स्थानीय", "पालिका", "गाउँपालिका",
+        "नगरपालिका", "महानगरपालिका", "संसद", "प्रतिनिधिसभा", "राष्ट्रियसभा", "अधिकार", "कर्तव्य", "दायित्व", "जिम्मेवारी", "जवाफदेही", "हक", "अपराध",
+        "दण्ड", "सजाय", "क्षतिपूर्ति", "मुआब्जा", "हर्जाना", "रकम", "वैधानिकता",
+    ),
+    "accounting": (
+        "खाता", "जर्नल", "खातावही", "खाताबही", "बही", "नामेसी", "जम्मा", "शेष", "बाँकी", "रकम", "नगद", "चेक", "ड्राफ्ट", "भौचर", "वासलात",
+        "नाफानोक्सान", "आर्थिक", "विवरण", "तुलनपत्र", "नगदप्रवाह", "लेखापरीक्षण", "सम्पत्ति", "चलसम्पत्ति", "अचलसम्पत्ति", "स्थिरसम्पत्ति", "पूँजीगत",
+        "हिसाब", "मौज्दात", "दायित्व", "चालू", "दीर्घकालीन", "ऋण", "कर्जा", "देय", "भुक्तानी", "तिर्नुपर्ने", "आम्दानी", "आय", "खर्च", "व्यय", "नाफा",
+        "नोक्सान", "राजस्व", "प्राप्ति", "बिक्री", "खरीद", "पूँजी", "सेयर", "शेयर", "लाभांश", "सञ्चित", "कोष", "जगेडा", "सुरक्षित", "कर", "करयोग्य",
+        "भ्याट", "मूल्य", "अभिवृद्धि", "आयकर", "अग्रिम", "कर्तव्य", "छुट", "रुपैयाँ", "पैसा", "हजार", "लाख", "करोड", "अर्ब", "प्रतिशत", "वर्ष",
+        "चैत्र", "बैशाख", "जेठ", "असार", "श्रावण", "भदौ", "असोज", "कात्तिक", "मंसिर", "पौष", "माघ", "फाल्गुन",
+    ),
+    "banking": (
+        "बैंक", "बैंकिङ", "निक्षेप", "बचत", "चल्ती", "स्थिर", "मुद्दती", "ब्याज", "ब्याजदर", "सापटी", "ऋणपत्र", "धितोपत्र", "प्रतिभूति", "विनिमय",
+        "हुण्डी", "पत्र", "प्रत्याभूति", "लगानी", "कारोबार", "भुक्तानी", "निकासी", "जम्मा", "खाता", "शाखा", "केन्द्रीय",
+    ),
+    "common": (
+        "र", "को", "का", "की", "ले", "मा", "बाट", "सम्म", "लाई", "प्रति", "सँग", "देखि", "भन्दा", "पनि", "तर", "वा", "अथवा", "तथा", "एवं", "यो",
+        "त्यो", "यी", "ती", "कुनै", "सबै", "प्रत्येक", "गर्नु", "हुनु", "भएको", "गरेको", "गरिएको", "बनाउनु", "दिनु", "लिनु", "राख्नु", "हेर्नु",
+        "गर्न", "हुन", "भए", "गरे", "गरि", "व्यक्ति", "संस्था", "कम्पनी", "कर्मचारी", "अधिकारी", "निर्देशक", "सदस्य", "अध्यक्ष", "सचिव", "प्रमुख",
+        "जनता", "नागरिक", "राष्ट्र", "देश", "प्रदेश", "एक", "दुई", "तीन", "चार", "पाँच", "छ", "सात", "आठ", "नौ", "दश", "सय", "हजार", "लाख", "दिन",
+        "हप्ता", "महिना", "वर्ष", "साल", "मिति", "समय", "अवधि", "अन्तर्गत", "भित्र", "पछि", "नयाँ", "पुरानो", "ठूलो", "सानो", "पहिलो", "अन्तिम",
+        "मुख्य", "विशेष", "सामान्य", "आवश्यक",
+    ),
 }
 
 
-def vocabulary(spark: SparkSession, words: dict[str, str] = WORDS) -> DataFrame:
+def vocabulary(spark: SparkSession, words: dict[str, tuple[str, ...]] = WORDS) -> DataFrame:
     """word, domain, skeleton: each word once, under its first domain."""
     first: dict[str, str] = {}
-    for domain, text in words.items():
-        for w in text.split():
+    for domain, listed in words.items():
+        for w in listed:
             first.setdefault(w, domain)
     return spark.createDataFrame(list(first.items()), "word string, domain string").withColumn("skeleton", skeleton(F.col("word")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import layouts, texts
+from . import checks, layouts, texts
 
-QUERIES = texts.QUERIES | layouts.QUERIES
-ORACLE = texts.ORACLE | layouts.ORACLE
+QUERIES = texts.QUERIES | layouts.QUERIES | checks.QUERIES
+ORACLE = texts.ORACLE | layouts.ORACLE | checks.ORACLE

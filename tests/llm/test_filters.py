@@ -433,3 +433,93 @@ def test_fingerprints_spelt_out(spark, ids):
     want = Counter((i, *w) for (i, _), w in zip(rows, spelt_out([t for _, t in rows], (0.05, 0.5)), strict=True))
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, part string").repartition(4)
     assert Counter(tuple(x) for x in fingerprints.compared(df, band=(0.05, 0.5)).collect()) == want
+
+
+def by_recursion(expression):
+    """(labels, class) of a well-formed expression with the two sides split at its loosest operator; None if no licence is known."""
+    tokens = expression.replace("(", " ( ").replace(")", " ) ").split()
+    depth, loosest = 0, None
+    for i, t in enumerate(tokens):
+        depth += (t == "(") - (t == ")")
+        if depth == 0 and t in licenses.PRECEDENCE and (loosest is None or licenses.PRECEDENCE[t] <= licenses.PRECEDENCE[tokens[loosest]]):
+            loosest = i
+    if loosest is None:
+        if tokens[0] == "(":
+            return by_recursion(" ".join(tokens[1:-1]))
+        known = licenses.family(tokens[0])
+        return ({known[0]}, known[1]) if known else (set(), None)
+    (a, x), (b, y) = by_recursion(" ".join(tokens[:loosest])), by_recursion(" ".join(tokens[loosest + 1 :]))
+    if tokens[loosest] == "with":
+        return a, None if x is None else max(0, x - 1)
+    both = [c for c in (x, y) if c is not None]
+    return a | b, None if not both else (min if tokens[loosest] == "or" else max)(both)
+
+
+def test_license_labels_and_scores_spelt_out(spark):
+    r = random.Random(14)
+    names = ["mit", "gpl-2.0", "apache-2.0", "lgpl-2.1", "unknown-1", "cc-by-nc-4.0", "bsd-3-clause"]
+
+    def expression(depth):
+        if depth == 0 or r.random() < 0.3:
+            return r.choice(names)
+        inner = f"{expression(depth - 1)} {r.choice(['or', 'and', 'with'])} {expression(depth - 1)}"
+        return f"({inner})" if r.random() < 0.5 else inner
+
+    rows, phrases = [], list(licenses.NOTICES) + list(licenses.BASE)
+    for _ in range(120):
+        parts = [r.choice(["some", "license", "mit", "text", "by", "public", *phrases, *phrases]) for _ in range(r.randint(0, 6))]
+        found = expression(2) if r.random() < 0.6 else None
+        rows.append((r.randint(1, 40) if r.random() < 0.9 else None, " ".join(parts).title(), found))
+    df = spark.createDataFrame([(i, t + (f"\n# SPDX-License-Identifier: {e}\nend" if e else ""), "x") for i, t, e in rows], "doc_id long, text string, labels string")
+    want = Counter()
+    for i, t, e in rows:
+        words = t.lower().split() + ([*("spdx license identifier").split(), *re.findall(r"[0-9a-z]+", e), "end"] if e else [])
+        hits = [label for p, label in (licenses.NOTICES | licenses.BASE).items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        rated = [known[1] if (known := licenses.family(x)) else 3 if x == "reserved" else 0 for x in hits]
+        labels, rank = by_recursion(e) if e else (set(), None)
+        rated += [] if rank is None else [rank]
+        labels = set() if rank is None else labels
+        want[(i, ",".join(sorted(labels | set(hits))), licenses.CLASS_SCORE[max(rated)] if rated else 0.0)] += 1
+    assert Counter((x.doc_id, x.labels, x.score) for x in licenses.scan(df).collect()) == want
+
+
+def test_quality_spelt_out(spark):
+    """Features, updates and scores with dictionaries."""
+    import math
+
+    import xxhash
+
+    def vector(text):
+        hashes = [xxhash.xxh3_64_intdigest(t.lower().encode()) | (1 if t.isupper() and len(t) > 1 else 0) for t in re.findall(r"\w+|[^\w\s]+", text)]
+        every = hashes + [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(hashes, hashes[1:], strict=False)]
+        counts = Counter((h * 0xFF51AFD7ED558CCD % 2**64) >> (64 - quality.BITS) for h in every)
+        x = {k: 1 + math.log(n) for k, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {k: v / norm for k, v in x.items()}
+
+    rows = quality_rows(60)
+    learnt = sorted(((xxhash.xxh3_64_intdigest(str(i)), i, vector(t), q) for i, t, q in rows), key=lambda x: x[:2])
+    share = sum(q for *_, q in learnt) / len(learnt)
+    z, n, bias, bias_n = Counter(), Counter(), 0.0, 0.0
+
+    def weight(k):
+        if abs(z[k]) <= quality.L1:
+            return 0.0
+        return -(z[k] - math.copysign(quality.L1, z[k])) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.PASSES):
+        for _, _, x, q in learnt:
+            p = 1 / (1 + math.exp(-(sum(weight(k) * v for k, v in x.items()) + bias)))
+            slope = (p - q) * (0.5 / share if q else 0.5 / (1 - share))
+            for k, v in x.items():
+                g, w = slope * v, weight(k)
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA * w
+                n[k] += g * g
+            bias_n += slope * slope
+            bias -= 0.1 * slope / (1 + math.sqrt(bias_n))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (None, "the cat"), (902, "x " * 3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = {(x.doc_id, x.score) for x in quality.scored(docs, *quality.trained(docs, labels, F.lit(True))).collect()}
+    for i, t in [(i, t) for i, t, _ in rows] + [(900, ""), (901, ""), (None, "the cat"), (902, "x " * 3000)]:
+        score = next(s for d, s in got if d == i)
+        assert score == pytest.approx(1 / (1 + math.exp(-(sum(weight(k) * v for k, v in vector(t).items()) + bias))) if t else 1 / (1 + math.exp(-bias)), abs=1e-4)

@@ -164,11 +164,13 @@ _NESTED = "^\\s*(?:[0-9]+\\.[0-9]+[.)]\\s|[0-9]+\\.[0-9]+\\.[0-9]+[.)]\\s|\\([a-
 _ELEMENT_CAPTION = "(?i)^(?:(?:Figure|Fig\\.?|Table|Chart|Graph|Diagram|Map|Photo|Image)\\s*[0-9]|\\s*[०-९0-9]|(?:Source|:|Note|Reference|)\\s*:)"
 
 
-@query(f"""WITH {ELEMENTS} SELECT element_id,
-  CASE WHEN text = '' THEN 'empty' WHEN size / 10 >= 1.6 THEN 'heading_1' WHEN size / 10 >= 1.3 THEN 'heading_2' WHEN size / 10 >= 1.1 AND bold THEN 'heading_3'
+_CLASS = f"""CASE WHEN text = '' THEN 'empty' WHEN size / 10 >= 1.6 THEN 'heading_1' WHEN size / 10 >= 1.3 THEN 'heading_2' WHEN size / 10 >= 1.1 AND bold THEN 'heading_3'
    WHEN bold AND length(text) < 100 AND NOT regexp_matches(text, '[.।]$') THEN 'heading_3' WHEN regexp_matches(text, {sql.q(_NESTED)}) OR regexp_matches(text, {sql.q(_LIST)}) THEN 'list_item'
-   WHEN regexp_matches(text, {sql.q(_ELEMENT_CAPTION)}) THEN 'caption' WHEN regexp_matches(text, '[=<>]') AND length(regexp_replace(text, '[^=<>]', '', 'g')) / length(text) > 0.15 THEN 'equation' ELSE 'paragraph' END AS element_class,
-  CASE WHEN regexp_matches(text, '^[0-9]+\\.[0-9]+\\.[0-9]+') THEN 3 WHEN regexp_matches(text, '^[0-9]+\\.[0-9]+') OR regexp_matches(text, '^\\([a-z]\\)') THEN 2 ELSE 1 END AS list_level,
+   WHEN regexp_matches(text, {sql.q(_ELEMENT_CAPTION)}) THEN 'caption' WHEN regexp_matches(text, '[=<>]') AND length(regexp_replace(text, '[^=<>]', '', 'g')) / length(text) > 0.15 THEN 'equation' ELSE 'paragraph' END"""
+_LEVEL = """CASE WHEN regexp_matches(text, '^[0-9]+\\.[0-9]+\\.[0-9]+') THEN 3 WHEN regexp_matches(text, '^[0-9]+\\.[0-9]+') OR regexp_matches(text, '^\\([a-z]\\)') THEN 2 ELSE 1 END"""
+
+
+@query(f"""WITH {ELEMENTS} SELECT element_id, {_CLASS} AS element_class, {_LEVEL} AS list_level,
   trim(CASE WHEN regexp_matches(text, {sql.q(_LIST)}) THEN regexp_extract(text, {sql.q(_LIST)}) ELSE regexp_extract(text, {sql.q(_NESTED)}) END) AS marker FROM e""")
 def q39_element_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
@@ -368,7 +370,10 @@ def q63_columns_and_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "page", F.col("columns").cast("int").alias("columns_"), F.col("left").alias("left_"), F.col("right").alias("right_"), F.col("top").alias("top_"), F.col("bottom").alias("bottom_"))
 
 
-@query()
+@query(f"""WITH {ELEMENTS}, c AS (SELECT *, {_CLASS} AS class, {_LEVEL} AS level, CASE WHEN (y0 + y1) / 2 <= 64 THEN 0 WHEN (y0 + y1) / 2 >= 736 THEN 3 ELSE 1 END AS section FROM e),
+p AS (SELECT *, CASE WHEN section = 0 THEN '[HEADER] ' || text WHEN section = 3 THEN '[FOOTER] ' || text WHEN starts_with(class, 'heading_') THEN repeat('#', CAST(substr(class, 9, 1) AS INTEGER)) || ' ' || text
+  WHEN class = 'list_item' THEN repeat('  ', level - 1) || text ELSE text END AS piece FROM c WHERE regexp_matches(text, '\\S'))
+SELECT doc_id, page, string_agg(piece, chr(10) ORDER BY section, y0, piece) AS text FROM p GROUP BY ALL""")
 def q64_serialized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = elements(spark, sf_dir)
     zone = classes.zone((F.col("y0") + F.col("y1")) / 2, F.lit(HEIGHT))

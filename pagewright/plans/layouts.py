@@ -115,16 +115,52 @@ def q33_column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.gaps(layout.projection(elements(spark, sf_dir), WIDTH), least=6)
 
 
-@query()
+RULES_SQL = f"""WITH RECURSIVE {ELEMENTS}, u AS (SELECT doc_id, page, element_id, x0, x1, y0, CASE WHEN x1 - x0 > 400 THEN y0 + 4 ELSE y1 END AS y1 FROM e)"""
+
+
+def ruled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """elements whose wide ones are rules, too low to fill the gap between columns."""
+    y1 = F.when(F.col("x1") - F.col("x0") > 400, F.col("y0") + 4).otherwise(F.col("y1"))
+    return elements(spark, sf_dir).select("doc_id", "page", "element_id", "x0", "x1", "y0", y1.alias("y1"))
+
+
+@query(f"""{RULES_SQL}, body AS (SELECT * FROM u WHERE y1 - y0 > 5 AND x1 - x0 > 30),
+bin AS (SELECT DISTINCT doc_id, page, unnest(range(CAST(floor(x0 / 3) AS BIGINT), least(199, CAST(floor(x1 / 3) AS BIGINT)) + 1)) AS bin FROM body),
+hole AS (SELECT doc_id, page, bin AS start, lead(bin) OVER (PARTITION BY doc_id, page ORDER BY bin) AS stop FROM bin),
+cut AS (SELECT doc_id, page, list((start + 1 + stop) * 1.5 ORDER BY start) AS cuts FROM hole WHERE stop - start - 1 >= 6 AND (start + 1) * 3 >= 30 AND stop * 3 <= 570 GROUP BY ALL),
+rim AS (SELECT doc_id, page, min(x0) AS lo, max(x1) AS hi FROM body GROUP BY ALL),
+edge AS (SELECT rim.doc_id, rim.page, [lo] || CASE WHEN len(cuts) <= 4 THEN cuts ELSE [] END || [hi] AS xs FROM rim LEFT JOIN cut USING (doc_id, page)),
+piece AS (SELECT doc_id, page, xs[i] AS c0, xs[i + 1] AS c1, len(xs) = 2 AS sole FROM (SELECT *, unnest(range(1, len(xs))) AS i FROM edge)),
+held AS (SELECT p.doc_id, p.page, c0, c1, count(*) FILTER ((x0 + x1) / 2 BETWEEN c0 - 5 AND c1 + 5) AS n FROM piece p JOIN body USING (doc_id, page) WHERE c1 - c0 >= 90 OR sole GROUP BY ALL),
+col AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY c0) - 1 AS col, c0, c1 FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, page) AS total FROM held) WHERE n >= greatest(1, total * 0.08) OR total = 0),
+span AS (SELECT doc_id, page, max(c1) - min(c0) AS span, count(*) AS k FROM col GROUP BY ALL),
+v AS (SELECT u.*, coalesce(k, 1) AS k, coalesce(k > 1 AND x1 - x0 >= span * 0.7, false) AS wide, coalesce((SELECT min(col) FROM col WHERE col.doc_id = u.doc_id AND col.page = u.page AND (x0 + x1) / 2 BETWEEN c0 - 5 AND c1 + 5), 0) AS col FROM u LEFT JOIN span USING (doc_id, page)),
+f AS (SELECT v.*, (SELECT count(*) FROM v o WHERE o.wide AND o.doc_id = v.doc_id AND o.page = v.page AND (o.y0, -CAST(o.wide AS INTEGER), o.x0, o.element_id) <= (v.y0, -CAST(v.wide AS INTEGER), v.x0, v.element_id)) AS band,
+  (SELECT max(o.y1) FROM v o WHERE o.wide AND o.doc_id = v.doc_id AND o.page = v.page AND (o.y0, -CAST(o.wide AS INTEGER), o.x0, o.element_id) <= (v.y0, -CAST(v.wide AS INTEGER), v.x0, v.element_id)) AS under FROM v),
+g AS (SELECT *, CASE WHEN k <= 1 THEN 2 WHEN wide THEN 0 WHEN y0 < under THEN 1 ELSE 2 END AS turn FROM f)
+SELECT doc_id, page, element_id, CAST(CASE WHEN k > 1 THEN col ELSE 0 END AS INTEGER) AS "column",
+  CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY band, turn, CASE WHEN k > 1 AND turn = 2 THEN col ELSE 0 END, y0, x0, element_id) - 1 AS INTEGER) AS reading_order FROM g""")
 def q34_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = elements(spark, sf_dir).select("doc_id", "page", "element_id", "x0", "x1", "y0", "y1")
+    e = ruled_pages(spark, sf_dir)
     return layout.reading_order(e, layout.columns_of(e, WIDTH)).select("doc_id", "page", "element_id", "column", "reading_order")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round_even(y0 / 3, 0), x0, y0, x1, y1, text) AS n FROM w),
+al(doc_id, n, anchor, line) AS (SELECT doc_id, n, y0, 0 FROM s WHERE n = 1
+  UNION ALL SELECT s.doc_id, s.n, CASE WHEN abs(s.y0 - anchor) > 3 THEN s.y0 ELSE anchor END, line + CASE WHEN abs(s.y0 - anchor) > 3 THEN 1 ELSE 0 END FROM al JOIN s ON s.doc_id = al.doc_id AND s.n = al.n + 1),
+t AS (SELECT doc_id, line, x0, x1, text, row_number() OVER o AS k, (lag(x1) OVER o + x0) / 2 AS middle, x0 - lag(x1) OVER o AS gap FROM al JOIN s USING (doc_id, n) WINDOW o AS (PARTITION BY doc_id, line ORDER BY x0, y0, x1, y1, text)),
+l AS (SELECT doc_id, line, coalesce(list(middle ORDER BY k) FILTER (gap >= 24), []) AS bounds FROM t GROUP BY ALL),
+tr(doc_id, line, bounds, run) AS (SELECT doc_id, line, bounds, 1 FROM l WHERE line = 0
+  UNION ALL SELECT l.doc_id, l.line, CASE WHEN same THEN b ELSE l.bounds END, run + CASE WHEN same THEN 0 ELSE 1 END
+  FROM (SELECT l.doc_id, l.line, l.bounds, tr.bounds AS b, run, len(l.bounds) > 0 AND len(l.bounds) = len(tr.bounds) AND len(list_filter(range(1, len(l.bounds) + 1), lambda i: abs(l.bounds[i] - tr.bounds[i]) > 12)) = 0 AS same FROM tr JOIN l ON l.doc_id = tr.doc_id AND l.line = tr.line + 1) l),
+long AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n FROM tr WHERE len(bounds) > 0) WHERE n >= 3),
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS tab FROM long),
+c AS (SELECT doc_id, tab, line, cell, coalesce(string_agg(text, ' ' ORDER BY k), '') AS said FROM (SELECT *, unnest(range(0, len(bounds) + 1)) AS cell FROM numbered) m
+  LEFT JOIN (SELECT t.doc_id AS d, t.line AS l2, t.text, t.k, len(list_filter(q.bounds, lambda x: t.x0 >= x)) AS c FROM t JOIN numbered q ON q.doc_id = t.doc_id AND q.line = t.line) z ON d = doc_id AND l2 = line AND c = cell GROUP BY ALL)
+SELECT doc_id, CAST(tab AS INTEGER) AS table_no, CAST(line AS INTEGER) AS line, string_agg(said, ' | ' ORDER BY cell) AS cells FROM c GROUP BY ALL""")
 def q35_borderless_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = boxes(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), "text", "x0", "y0", "x1", "y1")
-    return layout.borderless_tables(words)
+    return layout.borderless_tables(words).select("doc_id", F.col("table").alias("table_no"), "line", F.array_join("cells", " | ").alias("cells"))
 
 
 @query("""WITH r AS (SELECT n_regionkey AS region, n_name AS a, CAST(n_nationkey AS VARCHAR) AS b, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation),
@@ -215,7 +251,20 @@ def q42_uncovered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.overlapping(small, big, 0.35, "left_anti").select("doc_id", "page", "element_id")
 
 
-@query()
+# Classes of blocks from the one that prevails over all others.
+_BEFORE = ("table", "qr_code", "barcode", "signature", "stamp", "formula", "chart", "figure", "image", "handwriting", "header", "footer", "heading", "list", "caption", "margin_note", "paragraph")
+
+
+@query(f"""WITH RECURSIVE {ELEMENTS}, p AS (SELECT *, list_position([{", ".join(sql.q(k) for k in _BEFORE)}], kind) AS turn FROM e),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY turn, confidence DESC, element_id) AS n FROM p),
+f(doc_id, page, n, kept) AS (SELECT doc_id, page, 0, CAST([] AS STRUCT(id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, turn BIGINT)[]) FROM e GROUP BY ALL
+  UNION ALL SELECT doc_id, page, n, CASE WHEN len(list_filter(kept, lambda o: least(x1, o.x1) > greatest(x0, o.x0) AND least(y1, o.y1) > greatest(y0, o.y0) AND (
+    (least(x1, o.x1) - greatest(x0, o.x0)) * (least(y1, o.y1) - greatest(y0, o.y0)) > 0.55 * ((x1 - x0) * (y1 - y0) + (o.x1 - o.x0) * (o.y1 - o.y0) - (least(x1, o.x1) - greatest(x0, o.x0)) * (least(y1, o.y1) - greatest(y0, o.y0)))
+    OR ((least(x1, o.x1) - greatest(x0, o.x0)) * (least(y1, o.y1) - greatest(y0, o.y0)) > 0.65 * (x1 - x0) * (y1 - y0) AND o.turn <= turn)))) > 0 THEN kept
+    ELSE list_append(kept, {{'id': element_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'turn': turn}}) END
+  FROM (SELECT b.*, f.kept FROM f JOIN b ON b.doc_id = f.doc_id AND b.page = f.page AND b.n = f.n + 1)),
+last AS (SELECT doc_id, page, unnest(kept) AS o FROM (SELECT doc_id, page, arg_max(kept, n) AS kept FROM f GROUP BY ALL))
+SELECT doc_id, page, o.id AS block_id, format('p{{:03d}}_b{{:03d}}', page, row_number() OVER (PARTITION BY doc_id, page ORDER BY o.y0, o.x0, o.id)) AS name FROM last""")
 def q43_prevailing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = elements(spark, sf_dir).withColumnRenamed("element_id", "block_id")
     return blocks.block_ids(blocks.prevailing(e)).select("doc_id", "page", "block_id", "name")

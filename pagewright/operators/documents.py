@@ -171,3 +171,10 @@ def golden_pairs(pairs: DataFrame, most: float = 0.02) -> DataFrame:
 def metrics_of_words(mean: Column, words: Column) -> Column:
     """Whether a recognised page is to be tried again: few words or little confidence."""
     return (words < 2) | (mean < 75)
+
+
+def batch_files(files: DataFrame) -> DataFrame:
+    """name, status, entry, text of converted files (name, text, error): a text's entry in the archive is named after its file."""
+    done = F.coalesce(F.col("text") != "", F.lit(False)) & F.col("error").isNull()
+    entry = F.concat(F.regexp_replace("name", r"\.[^/.]+\z", ""), F.lit("_unicode.txt"))
+    return files.select("name", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), F.when(done, entry).alias("entry"), F.when(done, F.col("text")).alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DEVANAGARI
+from ..functions.text import DEVANAGARI, stripped
 
 
 def is_noise(text: Column, conf: Column, least: float = 45.0) -> Column:
@@ -79,6 +79,14 @@ def joined_spans(spans: DataFrame, tab: float = 50.0, space: float = 5.0, from_s
     return spans.withColumn("piece", piece).groupBy("doc_id", "page", "block", "line").agg(text.alias("text"))
 
 
+def characters_text(characters: DataFrame) -> DataFrame:
+    """doc_id, page, text: characters (doc_id, page, block, line, place, c) put together by line, lines trimmed, empty ones dropped."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "c"))), lambda x: x["c"]), "")
+    lines = characters.where("c <> ''").groupBy("doc_id", "page", "block", "line").agg(stripped(joined).alias("text")).where("text <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "text"))), lambda x: x["text"]), "\n")
+    return lines.groupBy("doc_id", "page").agg(text.alias("text"))
+
+
 def projection(elements: DataFrame, width: float, bins: int = 200) -> DataFrame:
     """doc_id, page, bin, density: heights summed over the bins that elements cover."""
     step = width / bins

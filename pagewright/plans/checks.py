@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classes, geometry, legacy, quality, semantics, text
 from ..functions import devanagari as dv
-from ..operators import blocks, corrections, crosspage, documents, intelligence, layout, vocabulary
+from ..operators import blocks, corrections, crosspage, documents, images, intelligence, layout, vocabulary
+from ..sources import adapters
 from . import sql
 from .layouts import ELEMENTS, elements
 from .texts import ASKED_SQL, CHARS, EVENTS_SQL, LEGACY_SQL, S1, VOCAB_SQL, _code, asked, edits, read, s1, wide
@@ -463,3 +464,67 @@ def q97_adjusted_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up confidences after the dates that can't be."""
     rows = wide(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", documents.adjusted_confidence((F.col("doc_id") % 40).cast("double"), semantics.wrong_dates(F.col("text"))).alias("confidence"))
+
+
+@query(f"""{S1}, r AS (SELECT id, i AS place, CAST((id * 7 + i * 23) % 101 AS DOUBLE) AS conf, CASE WHEN (id + i) % 3 = 0 THEN raw WHEN (id + i) % 3 = 1 THEN s ELSE s || substr(s, 1, 4) END AS t FROM s1, range(5) k(i)),
+w AS (SELECT *, {sql.n_of('t', sql.DEVA)} AS d FROM r),
+q AS (SELECT id, coalesce(bool_or(place = 0 AND conf >= 85 AND (d / length(t) >= 0.3 OR d > 20)), false) AS first, coalesce(min(place) FILTER (place > 0 AND conf >= 90 AND d > 30), 4) AS stop FROM w GROUP BY id),
+o AS (SELECT w.*, first, row_number() OVER (PARTITION BY w.id ORDER BY round(conf * 0.3 + d * 2 + length(t) * 0.1, 9) DESC, place) AS n FROM w JOIN q USING (id) WHERE place <= CASE WHEN first THEN 0 ELSE stop END)
+SELECT id AS doc_id, 'v' || CAST(place AS VARCHAR) AS variant, t AS text, conf AS confidence, first FROM o WHERE n = 1""")
+def q98_best_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of five made-up readings of a page stays."""
+    base = s1(spark, sf_dir).select("id", "raw", "s", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("place"))
+    k = (F.col("id") + F.col("place")) % 3
+    t = F.when(k == 0, F.col("raw")).when(k == 1, F.col("s")).otherwise(F.concat("s", F.substring("s", 1, 4)))
+    rows = base.select(F.col("id").alias("doc_id"), F.lit(1).alias("page"), "place", F.concat(F.lit("v"), F.col("place").cast("string")).alias("variant"), t.alias("text"), ((F.col("id") * 7 + F.col("place") * 23) % 101).cast("double").alias("confidence"))
+    return images.best_reading(rows).drop("page")
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, 300 + p_partkey % 700 AS w, 400 + p_partkey % 900 AS h, CAST(p_partkey * 3 % 25 AS DOUBLE) / 2 AS ink, p_partkey % 12 + 1 AS cores, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey % 16 END AS gb, p_partkey % 300 AS pages, 700000 + p_partkey % 40 * 10000 AS size FROM part),
+t AS (SELECT *, CASE WHEN cores >= 8 AND coalesce(gb, 99) >= 8 THEN 0 WHEN cores >= 4 AND coalesce(gb, 99) >= 4 THEN 1 ELSE 2 END AS tier FROM r)
+SELECT id AS doc_id, 'scanned_image' AS kind, 'ltr' AS direction, CAST(ink > 1 AS INTEGER) AS n_scanned, CASE WHEN ink > 1 THEN ink END AS scanned_percent, CAST(ink > 5 AS INTEGER) AS n_handwritten, 'p001_b001' AS name, CAST(w AS DOUBLE) AS x1, CAST(h AS DOUBLE) AS y1,
+ (['high', 'balanced', 'safe'])[tier + 1] AS tier, CAST(6.0 - 0.5 * tier - CASE WHEN pages > 200 THEN 1.5 WHEN pages > 100 THEN 1.0 WHEN pages > 30 THEN 0.5 ELSE 0 END AS DOUBLE) AS scale,
+ CAST(CASE WHEN size <= 900000 THEN 88 WHEN size - 40000 <= 900000 THEN 86 WHEN size - 80000 <= 900000 THEN 84 ELSE 82 END AS INTEGER) AS quality FROM t""")
+def q99_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files as pages and blocks; the scale of pages by machine and length; the quality that keeps a page's file small."""
+    k = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select(k.alias("doc_id"), (300 + k % 700).alias("width"), (400 + k % 900).alias("height"), ((k * 3 % 25).cast("double") / 2).alias("ink"), F.lit(0.0).alias("skew"))
+    tier = images.machine_tier(k % 12 + 1, F.when(k % 5 != 0, k % 16))
+    sizes = F.transform(F.sequence(F.lit(80), F.lit(90)), lambda q: F.struct(q.alias("quality"), (700000 + k % 40 * 10000 - (88 - q) * 20000).alias("bytes")))
+    chosen = read(spark, sf_dir, "part").select(k.alias("doc_id"), tier.alias("tier"), images.drawing_scale(k % 300, tier).alias("scale"), images.kept_quality(sizes).alias("quality"))
+    pages = images.image_pages(rows).select("doc_id", "kind", "direction", "n_scanned", "scanned_percent", "n_handwritten")
+    return pages.join(images.image_blocks(rows).select("doc_id", "name", "x1", "y1"), "doc_id").join(chosen, "doc_id")
+
+
+@query(f"""WITH c AS (SELECT conv_id * 1000 + turn AS doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS k FROM conversations)
+SELECT doc_id, string_agg({sql.strip('l')}, chr(10) ORDER BY k) AS text FROM c WHERE regexp_matches(l, '\\S') GROUP BY doc_id""")
+def q100_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations given as single characters, put together again."""
+    lines = wide(read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+    each = lines.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")).select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("block"), "line", F.posexplode(F.split("l", "")).alias("place", "c"))
+    return layout.characters_text(each).select("doc_id", "text")
+
+
+@query(f"""{S1}, m AS (SELECT id, CASE WHEN id % 4 = 0 THEN substr(raw, 1, 9) WHEN id % 9 = 1 THEN '2081' ELSE raw END AS raw, CASE id % 6 WHEN 0 THEN substr(s, 1, 2) || substr(raw, 3, 7) WHEN 1 THEN substr(s, 1, 4) || raw WHEN 2 THEN raw WHEN 3 THEN NULL ELSE s END AS made FROM s1)
+SELECT id, CASE WHEN made <> raw AND made <> '' AND ({sql.deva('made')} >= 0.40 OR {sql.date_code('raw')} OR (length({sql.strip('raw')}) <= 12 AND {sql.deva('made')} >= 0.15)) THEN made END AS accepted FROM m""")
+def q101_other_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is taken of a converter's made-up answers."""
+    k, raw, s = F.col("id") % 6, F.col("raw"), F.col("s")
+    made = F.when(k == 0, F.concat(F.substring(s, 1, 2), F.substring(raw, 3, 7))).when(k == 1, F.concat(F.substring(s, 1, 4), raw)).when(k == 2, raw).when(k == 3, None).otherwise(s)
+    asked_ = F.when(F.col("id") % 4 == 0, F.substring(raw, 1, 9)).when(F.col("id") % 9 == 1, "2081").otherwise(raw)
+    return s1(spark, sf_dir).select("id", legacy.accepted_mapping(asked_, made).alias("accepted"))
+
+
+@query("""SELECT 'degraded' AS status, 'recognition_missing' AS reasons, 'नेपाल' AS converter_test, '' AS adapters""")
+def q102_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of an installation without adapters that has Nepali."""
+    return adapters.health(spark, ("nep", "eng"))
+
+
+@query("""WITH f AS (SELECT replace(p_name, ' ', '.') || CASE p_partkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '' ELSE '/a' END AS name, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN NULL ELSE p_type END AS text, CASE WHEN p_partkey % 7 = 0 THEN 'no' END AS error FROM part)
+SELECT name, CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END AS status, CASE WHEN error IS NULL AND text <> '' THEN regexp_replace(name, '\\.[^/.]+$', '') || '_unicode.txt' END AS entry, CASE WHEN error IS NULL AND text <> '' THEN text END AS text FROM f""")
+def q103_batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.when(k % 3 == 0, ".pdf").when(k % 3 == 1, "").otherwise("/a"))
+    files = read(spark, sf_dir, "part").select(name.alias("name"), F.when(k % 5 == 0, "").when(k % 7 == 0, None).otherwise(F.col("p_type")).alias("text"), F.when(k % 7 == 0, "no").alias("error"))
+    return documents.batch_files(files)

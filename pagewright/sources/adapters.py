@@ -9,7 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.legacy import PREETI, transliterated
 
 SCHEMAS = {
     "spans": "doc_id string, page int, block int, line int, span int, font string, text string, x0 double, y0 double, x1 double, y1 double, size double, flags int",
@@ -39,3 +42,11 @@ def rows(files: DataFrame, kind: str, name: str) -> DataFrame:
             yield pd.DataFrame([(path, *row) for path, content in zip(frame.path, frame.content, strict=True) for row in function(bytes(content))], columns=columns)
 
     return files.select("path", "content").mapInPandas(run, SCHEMAS[kind])
+
+
+def health(spark: SparkSession, languages: tuple[str, ...] = ()) -> DataFrame:
+    """One row: status, reasons, converter_test, adapters. The built-in converter is tried on a word; languages are those that recognition has."""
+    made = transliterated(F.lit("g]kfn"), PREETI)
+    reasons = F.array_compact(F.array(F.lit(None if "nep" in languages else "nep_missing"), F.lit(None if any(kind == "words" for kind, _ in _ADAPTERS) else "recognition_missing"), F.when(~made.contains("नेपाल"), "converter_failed")))
+    known = F.lit(",".join(sorted(f"{kind}:{name}" for kind, name in _ADAPTERS)))
+    return spark.range(1).select(F.when(F.size(reasons) > 0, "degraded").otherwise("ok").alias("status"), F.array_join(reasons, ",").alias("reasons"), made.alias("converter_test"), known.alias("adapters"))

@@ -483,8 +483,8 @@ def test_license_labels_and_scores_spelt_out(spark):
     assert Counter((x.doc_id, x.labels, x.score) for x in licenses.scan(df).collect()) == want
 
 
-def test_quality_spelt_out(spark):
-    """Features, updates and scores with dictionaries."""
+def quality_by_hand(rows):
+    """The score of any text after learning from rows of (id, text, label): features and updates with dictionaries."""
     import math
 
     import xxhash
@@ -497,7 +497,6 @@ def test_quality_spelt_out(spark):
         norm = math.sqrt(sum(v * v for v in x.values()))
         return {k: v / norm for k, v in x.items()}
 
-    rows = quality_rows(60)
     learnt = sorted(((xxhash.xxh3_64_intdigest(str(i)), i, vector(t), q) for i, t, q in rows), key=lambda x: x[:2])
     share = sum(q for *_, q in learnt) / len(learnt)
     z, n, bias, bias_n = Counter(), Counter(), 0.0, 0.0
@@ -517,9 +516,14 @@ def test_quality_spelt_out(spark):
                 n[k] += g * g
             bias_n += slope * slope
             bias -= 0.1 * slope / (1 + math.sqrt(bias_n))
+    return lambda t: 1 / (1 + math.exp(-((sum(weight(k) * v for k, v in vector(t).items()) if t else 0.0) + bias)))
+
+
+def test_quality_spelt_out(spark):
+    rows = quality_rows(60)
+    score = quality_by_hand(rows)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (None, "the cat"), (902, "x " * 3000)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
     got = {(x.doc_id, x.score) for x in quality.scored(docs, *quality.trained(docs, labels, F.lit(True))).collect()}
     for i, t in [(i, t) for i, t, _ in rows] + [(900, ""), (901, ""), (None, "the cat"), (902, "x " * 3000)]:
-        score = next(s for d, s in got if d == i)
-        assert score == pytest.approx(1 / (1 + math.exp(-(sum(weight(k) * v for k, v in vector(t).items()) + bias))) if t else 1 / (1 + math.exp(-bias)), abs=1e-4)
+        assert next(s for d, s in got if d == i) == pytest.approx(score(t), abs=1e-4)

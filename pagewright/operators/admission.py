@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def admitted(requests: DataFrame, most: int = 20, window_us: int = 60_000_000) -> DataFrame:
@@ -11,17 +14,25 @@ def admitted(requests: DataFrame, most: int = 20, window_us: int = 60_000_000) -
 
     A request is admitted if fewer than most requests admitted before it are
     within the window; refused ones don't count. Whether one is admitted
-    depends on the answers before it, so each client's requests are folded in
-    order; the state that the fold carries is the last most times.
+    depends on the answers before it, so each client's requests stream by in
+    order. What is kept meanwhile is the times of the last admitted ones, most
+    at most, however many requests a client makes.
     """
-    asked = F.array_sort(F.collect_list(F.struct("at_us", "request_id")))
-    per_client = requests.groupBy("client").agg(asked.alias("asked"))
-    start = F.expr("cast(named_struct('live', array(), 'out', array()) as struct<live:array<bigint>,out:array<struct<at_us:bigint,request_id:bigint,admitted:boolean>>>)")
+    rows = requests.select("client", "request_id", "at_us")
 
-    def step(acc, r):
-        live = F.filter(acc["live"], lambda t: r["at_us"] - t <= window_us)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.concat(live, F.array(r["at_us"]))).otherwise(live).alias("live"), F.concat(acc["out"], F.array(F.struct(r["at_us"].alias("at_us"), r["request_id"].alias("request_id"), ok.alias("admitted")))).alias("out"))
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, live = object(), deque()
+        for batch in batches:
+            said = []
+            for c, at in zip(batch.column("client").to_pylist(), batch.column("at_us").to_pylist(), strict=True):
+                if c != client:
+                    client, live = c, deque()
+                while live and at - live[0] > window_us:
+                    live.popleft()
+                said.append(len(live) < most)
+                if said[-1]:
+                    live.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.bool_())], names=[*batch.schema.names, "admitted"])
 
-    folded = per_client.select("client", F.explode(F.aggregate("asked", start, step)["out"]).alias("r"))
-    return folded.select("client", "r.request_id", "r.at_us", "r.admitted")
+    in_order = rows.repartition("client").sortWithinPartitions("client", "at_us", "request_id")
+    return in_order.mapInArrow(judge, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", admitted boolean")

@@ -54,15 +54,24 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH g AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, string_split(text, chr(10)) AS ls FROM documents),
+VOLUMES = "(SELECT * REPLACE (source || '-' || CAST(doc_id // 300 AS VARCHAR) AS source) FROM documents) d"
+
+
+def volumes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents as pages of volumes of their source: doc_id, page, the columns, and id, a document's own. A volume has 300 pages at most, however large the table."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 300).cast("string")).alias("doc_id"), *columns)
+    return docs.withColumn("page", F.row_number().over(Window.partitionBy("doc_id").orderBy("id")))
+
+
+@query(f"""WITH g AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, string_split(text, chr(10)) AS ls FROM {VOLUMES}),
 z AS (SELECT source, page, 'header' AS zone, ls[1] AS line FROM g UNION ALL SELECT source, page, 'footer', ls[-1] FROM g),
 n AS (SELECT source, count(*) AS pages FROM g GROUP BY source),
 m AS (SELECT source, zone, trim(regexp_replace(regexp_replace(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')) AS line FROM z WHERE regexp_matches(line, '\\S')),
 c AS (SELECT source, zone, line, count(*) AS n_pages FROM m WHERE line <> '' GROUP BY ALL)
 SELECT source AS doc_id, zone, line, n_pages FROM c JOIN n USING (source) WHERE pages >= 3 AND n_pages >= greatest(2, floor(pages * 0.02))""")
 def q28_running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources as documents, their texts as pages: first and last lines that come back on 2 % of the pages."""
-    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"))
+    """First and last lines of texts that come back on 2 % of a volume's pages."""
+    docs = volumes(spark, sf_dir, "text")
     ls = F.split("text", "\n")
     lines = docs.select("doc_id", "page", F.explode(F.array(F.struct(F.lit("header").alias("zone"), F.get(ls, 0).alias("line")), F.struct(F.lit("footer").alias("zone"), F.get(ls, F.size(ls) - 1).alias("line")))).alias("z")).select("doc_id", "page", "z.*")
     return crosspage.running_lines(lines, share=0.02)
@@ -270,7 +279,7 @@ def q43_prevailing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.block_ids(blocks.prevailing(e)).select("doc_id", "page", "block_id", "name")
 
 
-PAGES_SQL = """pg AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text, 1 + doc_id % 3 AS n_columns, doc_id % 5 = 0 AS unbalanced, doc_id % 4 AS tables, CASE WHEN doc_id % 4 > 1 THEN 1 ELSE 0 END AS empty_tables, CASE WHEN doc_id % 4 > 2 THEN 1 ELSE 0 END AS uneven_tables, doc_id % 6 = 0 AS has_legacy FROM documents),
+PAGES_SQL = f"""pg AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text, 1 + doc_id % 3 AS n_columns, doc_id % 5 = 0 AS unbalanced, doc_id % 4 AS tables, CASE WHEN doc_id % 4 > 1 THEN 1 ELSE 0 END AS empty_tables, CASE WHEN doc_id % 4 > 2 THEN 1 ELSE 0 END AS uneven_tables, doc_id % 6 = 0 AS has_legacy FROM {VOLUMES}),
 sc AS (SELECT doc_id, page, tables, empty_tables, has_legacy, text,
   CASE WHEN NOT regexp_matches(text, '\\S') THEN 0.0 ELSE 100.0 - CASE WHEN regexp_matches(text, '(?i)undefined|NaN|\\[object|function\\s*\\(') THEN 30 ELSE 0 END - CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 10 THEN 20 ELSE 0 END END AS extraction,
   CASE WHEN n_columns > 1 THEN CASE WHEN unbalanced THEN 70.0 ELSE 85.0 END ELSE 95.0 END AS layout, CASE WHEN tables = 0 THEN 100.0 ELSE greatest(0.0, 80.0 - 20.0 * empty_tables - 10.0 * uneven_tables) END AS table_score,
@@ -278,10 +287,10 @@ sc AS (SELECT doc_id, page, tables, empty_tables, has_legacy, text,
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of their source, with made-up columns and tables."""
-    k = F.col("doc_id")
-    return wide(read(spark, sf_dir, "documents")).select(
-        F.col("source").alias("doc_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), "text", (1 + k % 3).alias("n_columns"), (k % 5 == 0).alias("unbalanced"), (k % 4).alias("tables"),
+    """Pages of volumes with made-up columns and tables."""
+    k = F.col("id")
+    return volumes(spark, sf_dir, "text").select(
+        "doc_id", "page", "text", (1 + k % 3).alias("n_columns"), (k % 5 == 0).alias("unbalanced"), (k % 4).alias("tables"),
         F.when(k % 4 > 1, 1).otherwise(0).alias("empty_tables"), F.when(k % 4 > 2, 1).otherwise(0).alias("uneven_tables"), (k % 6 == 0).alias("has_legacy"),
     )
 
@@ -337,11 +346,11 @@ def q49_repair_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.first_good(candidates(spark, sf_dir)).select("doc_id", "source", "score")
 
 
-@query("""WITH g AS (SELECT source, doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents)
-SELECT source AS doc_id, length(regexp_replace(regexp_replace(string_agg(repeat('═', 60) || chr(10) || '  PAGE ' || k || ' / ' || n || chr(10) || repeat('═', 60) || chr(10) || chr(10) || t || chr(10), chr(10) ORDER BY k), '^\\s+|\\s+$', '', 'g'), chr(10) || '{4,}', chr(10) || chr(10) || chr(10), 'g')) + 1 AS n_chars, max(n) AS n_pages FROM g GROUP BY source""")
+@query(f"""WITH g AS (SELECT source, doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM {VOLUMES})
+SELECT source AS doc_id, length(regexp_replace(regexp_replace(string_agg(repeat('═', 60) || chr(10) || '  PAGE ' || k || ' / ' || n || chr(10) || repeat('═', 60) || chr(10) || chr(10) || t || chr(10), chr(10) ORDER BY k), '^\\s+|\\s+$', '', 'g'), chr(10) || '{{4,}}', chr(10) || chr(10) || chr(10), 'g')) + 1 AS n_chars, max(n) AS n_pages FROM g GROUP BY source""")
 def q51_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources as text files with a banner for each page: how long they are."""
-    p = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), "text", F.lit(90.0).alias("confidence"))
+    """Volumes as text files with a banner for each page: how long they are."""
+    p = volumes(spark, sf_dir, "text").select("doc_id", "page", "text", F.lit(90.0).alias("confidence"))
     files = documents.joined_pages(p)
     return documents.text_files(files).join(files.select("doc_id", "n_pages"), "doc_id").select("doc_id", F.length("content").cast("long").alias("n_chars"), "n_pages")
 
@@ -397,11 +406,11 @@ def q60_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements(spark, sf_dir).groupBy(r.alias("route")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH pg AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, CASE doc_id % 3 WHEN 0 THEN 'direct_unicode' WHEN 1 THEN 'direct_legacy' ELSE 'no_text' END AS m, n_chars FROM documents)
+@query(f"""WITH pg AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, CASE doc_id % 3 WHEN 0 THEN 'direct_unicode' WHEN 1 THEN 'direct_legacy' ELSE 'no_text' END AS m, n_chars FROM {VOLUMES})
 SELECT doc_id, CAST((page - 1) // 50 + 1 AS BIGINT) AS batch, count(*) AS n_pages, count(*) FILTER (m = 'direct_unicode') AS direct_unicode, count(*) FILTER (m = 'direct_legacy') AS direct_legacy, count(*) FILTER (m = 'no_text') AS no_text, CAST(sum(n_chars) AS BIGINT) AS total_chars FROM pg GROUP BY ALL""")
 def q61_page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 3
-    p = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), F.when(k == 0, "direct_unicode").when(k == 1, "direct_legacy").otherwise("no_text").alias("method"), F.col("n_chars").alias("char_count"))
+    k = F.col("id") % 3
+    p = volumes(spark, sf_dir, "n_chars").select("doc_id", "page", F.when(k == 0, "direct_unicode").when(k == 1, "direct_legacy").otherwise("no_text").alias("method"), F.col("n_chars").alias("char_count"))
     return documents.method_counts(p)
 
 

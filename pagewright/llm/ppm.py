@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import ctypes
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ from .common import WordNumbers, dropped, small_batches, texts, written
 ORDER = 5
 #: Bytes of text in a block, and of those handled at a time.
 BLOCK_BYTES, PIECE_BYTES = 40_000_000, 1_000_000
+#: Rows of sorted parts that are merged at a time.
+MERGED = 500_000
 END, BEFORE, BITS = 256, 257, 9
 #: Symbols that may follow a context.
 SYMBOLS = 257
@@ -90,13 +93,26 @@ def _given_back() -> None:
         trim(0)
 
 
+def _merging(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys of several sorted parts in order, and the sums of their counts, about MERGED of the parts' rows at a time."""
+    longest = max((keys for keys, _ in parts), key=len)
+    steps = -(-sum(len(keys) for keys, _ in parts) // MERGED)
+    bounds = longest[np.arange(1, steps) * len(longest) // steps] if len(longest) else longest
+    cuts = [np.r_[0, np.searchsorted(keys, bounds), len(keys)] for keys, _ in parts]
+    for k in range(len(bounds) + 1):
+        keys, n = (np.concatenate([p[i][c[k] : c[k + 1]] for p, c in zip(parts, cuts, strict=True)]) for i in (0, 1))
+        if not len(keys):
+            continue
+        by = np.argsort(keys, kind="stable")
+        keys = keys[by]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        yield keys[first], np.add.reduceat(n[by], first, dtype=np.int64)
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of several sorted parts in order, and the sums of their counts."""
-    keys = np.concatenate([p[0] for p in parts])
-    by = np.argsort(keys, kind="stable")
-    keys = keys[by]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else by
-    return keys[first], np.add.reduceat(np.concatenate([p[1] for p in parts])[by], first, dtype=np.int64) if len(keys) else by
+    """The parts as one. What is held meanwhile is little more than they and their sum."""
+    found = list(_merging(parts)) or parts[:1]
+    return tuple(np.concatenate([f[i] for f in found]) for i in (0, 1))
 
 
 def _counted(blocks: DataFrame, order: int) -> DataFrame:
@@ -131,10 +147,8 @@ def _counted(blocks: DataFrame, order: int) -> DataFrame:
                             found[b] = [_merged(parts)]
                 del own, places, words, keys, codes
         for b in list(found):
-            keys, n = _merged(found.pop(b))
-            for at in range(0, len(keys), 500_000):
-                size = len(keys[at : at + 500_000])
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(size, b, np.int32)), "key": pa.array(keys[at : at + size]), "n": pa.array(n[at : at + size].astype(np.int64))})
+            for keys, n in _merging(found.pop(b)):
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(keys), b, np.int32)), "key": pa.array(keys), "n": pa.array(n)})
         _given_back()
 
     return blocks.mapInArrow(each, "block int, key long, n long")

@@ -272,6 +272,21 @@ def test_ppm_equals_the_model_spelt_out(spark):
         assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel=1e-11, abs=1e-9)
 
 
+@pytest.mark.parametrize("at_a_time", [1, 7, 10_000])
+def test_counts_are_merged_range_by_range(monkeypatch, at_a_time):
+    monkeypatch.setattr(ppm, "MERGED", at_a_time)
+    r = random.Random(17)
+    want, parts = Counter(), []
+    for size in (0, 1, 40, 300, 300):
+        mine = {r.randint(-200, 200): r.randint(0, 9) for _ in range(size)}
+        want.update(mine)
+        parts.append((np.array(sorted(mine), np.int64), np.array([mine[k] for k in sorted(mine)], np.int32)))
+    keys, n = ppm._merged(parts)
+    assert keys.tolist() == sorted({int(k) for p in parts for k in p[0]})
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == {int(k): want[int(k)] for p in parts for k in p[0]}
+    assert all(len(x) == 0 for x in ppm._merged(parts[:1]))
+
+
 def test_ppm_of_a_long_text_is_exact(spark):
     """A text of a million bytes, repeated and null ids, and columns with clashing names."""
     r = random.Random(21)

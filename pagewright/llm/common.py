@@ -14,9 +14,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries after which a task forgets the words it has numbered, so that its memory doesn't grow with the text.
-WORD_CACHE = 250_000
-
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 SHIFT = np.uint64(33)
 
@@ -83,17 +80,9 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-class WordNumbers(dict):
-    """64-bit numbers of words, remembered for up to WORD_CACHE words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        n = self[word] = xxhash.xxh3_64_intdigest(word)
-        return n
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_numbers(words: list[bytes]) -> np.ndarray:
+    """64-bit numbers of words. Hashing a word costs less than looking it up among many."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

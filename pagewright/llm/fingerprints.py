@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_1, MIX_2, WordNumbers, map_arrow, mixed, released, texts, texts_of
+from .common import MIX_1, MIX_2, map_arrow, mixed, released, texts, texts_of, word_numbers
 
 #: Shares of all documents that a term of the lexicon is in.
 BAND = (0.0005, 0.2)
@@ -34,8 +34,8 @@ FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, ed
 LEAST_PARTS = 3
 
 
-def _terms(numbers: WordNumbers, text: bytes) -> np.ndarray:
-    return np.unique(numbers.of(text.lower().split()))
+def _terms(text: bytes) -> np.ndarray:
+    return np.unique(word_numbers(text.lower().split()))
 
 
 class Subsets:
@@ -81,10 +81,9 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
     total = docs.count()
 
     def start():
-        numbers = WordNumbers()
 
         def run(batch):
-            each = [_terms(numbers, t) for t in texts(batch)]
+            each = [_terms(t) for t in texts(batch)]
             codes, distinct = pd.factorize(np.concatenate(each).view(np.int64))
             return {"term": pa.array(distinct), "n": pa.array(np.bincount(codes, minlength=len(distinct)))}
 
@@ -136,7 +135,7 @@ def compared(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     released(docs.sparkSession)
 
     def each(batches):
-        numbers, subsets = WordNumbers(), Subsets(terms.value)
+        subsets = Subsets(terms.value)
         # Of the row before: its id, text and fingerprint; and the part's number and first row, for a part without a guest.
         last = part = None
         out: list[tuple] = []
@@ -145,7 +144,7 @@ def compared(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
             doc, mine, own_mark = last
             k = len(mine) // 4
             edited = (mine[: len(mine) - k] + text[:k]).encode()
-            edited_mark = subsets.fingerprint(_terms(numbers, edited))
+            edited_mark = subsets.fingerprint(_terms(edited))
             out.append((doc, len(mine), hashlib.sha256(edited).hexdigest(), own_mark, edited_mark, likeness(own_mark, edited_mark), likeness(own_mark, mark)))
 
         def found():
@@ -158,7 +157,7 @@ def compared(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
         for batch in batches:
             for p, doc, text, is_guest in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text", "is_guest")), strict=True):
                 text = text or ""
-                mark = subsets.fingerprint(_terms(numbers, text.encode()))
+                mark = subsets.fingerprint(_terms(text.encode()))
                 if last is not None and p == part:
                     add(text, mark)
                 last, part = None if is_guest else (doc, text, mark), p

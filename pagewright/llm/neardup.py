@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_1, WordNumbers, dropped, map_arrow, mixed, signed, texts, texts_of, windows, written
+from .common import MIX_1, dropped, map_arrow, mixed, signed, texts, texts_of, windows, word_numbers, written
 from .components import components
 
 SHINGLE, SLOTS, CHUNKS, DISTANCE = 5, 48, 16, 31
@@ -36,12 +36,12 @@ SHINGLE, SLOTS, CHUNKS, DISTANCE = 5, 48, 16, 31
 LEFT, RIGHT = 1_000_000, 500_000
 
 
-def shingles(numbers: WordNumbers, text: bytes, size: int) -> np.ndarray:
+def shingles(text: bytes, size: int) -> np.ndarray:
     """Sorted 64-bit numbers of the distinct runs of size words; the whole text as one run if it has fewer."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    return np.unique(windows(numbers.of(words), min(size, len(words))))
+    return np.unique(windows(word_numbers(words), min(size, len(words))))
 
 
 def _seeds(slots: int) -> np.ndarray:
@@ -69,13 +69,12 @@ def signed_sets(docs: DataFrame, size: int = SHINGLE, slots: int = SLOTS) -> Dat
     """doc_id, text_hash, n_shingles, set_key (equal for equal sets, null for empty ones), signature."""
 
     def start():
-        numbers = WordNumbers()
 
         def run(batch):
             out = {"n_shingles": [], "set_key": [], "signature": []}
             all_texts = texts(batch)
             for at in range(0, len(all_texts), 1000):
-                sets = [shingles(numbers, t, size) for t in all_texts[at : at + 1000]]
+                sets = [shingles(t, size) for t in all_texts[at : at + 1000]]
                 rows = iter(signatures(sets, slots))
                 out["n_shingles"] += map(len, sets)
                 out["set_key"] += [_key(s) if len(s) else None for s in sets]
@@ -259,10 +258,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """cls, shingles for the wanted classes: each set's sorted numbers, 8 bytes each."""
 
     def start():
-        numbers = WordNumbers()
 
         def run(batch):
-            found = [shingles(numbers, t, size) for t in texts(batch)]
+            found = [shingles(t, size) for t in texts(batch)]
             return {"set_key": pa.array([_key(s) if len(s) else None for s in found], pa.binary()), "wanted_key": batch.column("wanted_key"), "cls": batch.column("cls"), "shingles": pa.array([s.tobytes() for s in found], pa.binary())}
 
         return run

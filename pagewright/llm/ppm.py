@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordNumbers, dropped, small_batches, texts, written
+from .common import dropped, small_batches, texts, word_numbers, written
 
 ORDER = 5
 #: Bytes of text in a block, and of those handled at a time.
@@ -81,8 +81,8 @@ def pieces_of(all_texts: list):
 WORD = np.uint64(1 << 63)
 
 
-def word_keys(numbers: WordNumbers, text: bytes) -> np.ndarray:
-    return (numbers.of(text.lower().split()) | WORD).view(np.int64)
+def word_keys(text: bytes) -> np.ndarray:
+    return (word_numbers(text.lower().split()) | WORD).view(np.int64)
 
 
 def _given_back() -> None:
@@ -122,7 +122,7 @@ def _counted(blocks: DataFrame, order: int) -> DataFrame:
     """
 
     def each(batches):
-        numbers, found = WordNumbers(), {}
+        found = {}
         for batch in batches:
             block, train = batch.column("block").to_numpy(), np.array(batch.column("training").to_pylist(), bool)
             for b in np.unique(block).tolist():
@@ -132,7 +132,7 @@ def _counted(blocks: DataFrame, order: int) -> DataFrame:
                 own = texts(batch.take(pa.array(mine)))
                 for s in pieces_of(own):
                     places, starts = strings(own[s], order)
-                    words = [word_keys(numbers, t) for t in own[s]]
+                    words = [word_keys(t) for t in own[s]]
                     for keys, sizes in ((places, np.diff(np.r_[starts, len(places)])), (np.concatenate(words), list(map(len, words)))):
                         learns = train[mine[s]]
                         codes, distinct = pd.factorize(keys)
@@ -232,11 +232,11 @@ def _added_up(rows: DataFrame, order: int, tokens: int, distinct: int, ends: int
     """The texts' scores, of rows (block, is_text, key, value, doc_id, text) that have each block's answers by key and then its texts together."""
     least, end_cost = float(np.log10(1 / (tokens + distinct + 1))), float(np.log10((ends + 1) / (tokens + distinct + 1)))
 
-    def score(numbers, keys, value, batch):
+    def score(keys, value, batch):
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "n_symbols")}
         all_texts = texts(batch)
         for s in pieces_of(all_texts):
-            words = [word_keys(numbers, t) for t in all_texts[s]]
+            words = [word_keys(t) for t in all_texts[s]]
             sizes = np.array(list(map(len, words)), np.int64)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             codes, distinct_words = pd.factorize(np.concatenate(words))
@@ -257,7 +257,7 @@ def _added_up(rows: DataFrame, order: int, tokens: int, distinct: int, ends: int
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": found["n_tokens"], "n_known": found["n_known"], "train_tokens": pa.array(np.full(batch.num_rows, tokens, np.int64)), "base_score": found["base_score"], "score": found["score"], "n_symbols": found["n_symbols"]})
 
     def each(batches):
-        numbers, now, parts, keys, value = WordNumbers(), None, [], None, None
+        now, parts, keys, value = None, [], None, None
         for batch in batches:
             block, is_text = batch.column("block").to_numpy(), np.array(batch.column("is_text").to_pylist(), bool)
             changes = np.flatnonzero((block[1:] != block[:-1]) | (is_text[1:] != is_text[:-1])) + 1
@@ -271,7 +271,7 @@ def _added_up(rows: DataFrame, order: int, tokens: int, distinct: int, ends: int
                 if parts:
                     keys, value = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
                     parts = []
-                yield score(numbers, keys, value, part)
+                yield score(keys, value, part)
         _given_back()
 
     return rows.mapInArrow(each, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_symbols long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordNumbers, dropped, map_arrow, texts, texts_of, windows, written
+from .common import dropped, map_arrow, texts, texts_of, windows, word_numbers, written
 
 WINDOW, SHORT = 35, 8
 #: Bits of a minimiser's position in its document.
@@ -58,7 +58,6 @@ def _first_look(docs: DataFrame, window: int, short: int) -> DataFrame:
     """doc_id, text_hash, n_words, words_key (of the word sequence), whole_sha256, anchors (a number for every minimiser's place)."""
 
     def start():
-        numbers = WordNumbers()
 
         def run(batch):
             n, key, sha, anchors = [], [], [], []
@@ -71,7 +70,7 @@ def _first_look(docs: DataFrame, window: int, short: int) -> DataFrame:
                 if len(words) < window:
                     anchors.append(np.empty(0, np.int64))
                     continue
-                runs, at = _minimisers(numbers.of(words), window, short)
+                runs, at = _minimisers(word_numbers(words), window, short)
                 anchors.append(runs[np.unique(at)].view(np.int64))
             return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_words": pa.array(n, pa.int64()), "words_key": pa.array(key, pa.binary()), "whole_sha256": pa.array(sha, pa.binary()), "anchors": _lists(anchors, pa.int64())}
 
@@ -84,14 +83,13 @@ def _edges(docs: DataFrame, window: int, short: int) -> DataFrame:
     """cls, text, edges, places, more: the distinct windows whose minimiser is one of the class's hits, where each starts first, and where else (null for nowhere)."""
 
     def start():
-        numbers = WordNumbers()
 
         def run(batch):
             edges, places, more, counts = [], [], [], []
             hits = batch.column("hits")
             ends, flat = hits.offsets.to_numpy(), hits.values.to_numpy().view(np.uint64)
             for i, text in enumerate(texts(batch)):
-                n = numbers.of(text.split())
+                n = word_numbers(text.split())
                 runs, at = _minimisers(n, window, short)
                 p = np.flatnonzero(np.isin(runs[at], flat[ends[i] : ends[i + 1]])).astype(np.int32)
                 e = windows(n, window)[p].view(np.int64)

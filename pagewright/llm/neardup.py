@@ -13,9 +13,16 @@ any number of documents. Links are confirmed on the full sets.
 Texts with equal sets form a class, and only classes go on. Buckets of the
 index aren't expanded into pairs. A first round compares each member with the
 bucket's hub, the member that meets most others in all its buckets: of copies
-of a text that is mostly the text. A second round compares, in blocks of
-bounded size, only members that the first round left in different components.
-No pair within the distance is left out.
+of a text that is mostly the text. A second round takes only members that the
+first round left in different components of a bucket. Their shingles are put in
+one order, the rarest first. Two sets that link have so many shingles in common
+that the first common one stands near the beginning of both, so that only sets
+that share such a beginning's shingle, with enough of both after it, can link.
+What makes a copy too different from its hub to link is rare, so that such
+copies mostly don't meet. Of those that do, only pairs whose bitmaps allow a
+link are compared: bits of shingles' numbers, each flipped by every shingle it
+stands for, differ in no more places than the sets do. No pair within the
+distance that links is left out.
 """
 
 from __future__ import annotations
@@ -25,15 +32,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIX_1, dropped, map_arrow, mixed, signed, texts, texts_of, windows, word_numbers, written
+from .common import MIX_1, dropped, map_arrow, mixed, signed, small_batches, texts, texts_of, windows, word_numbers, written
 from .components import components
 
 SHINGLE, SLOTS, CHUNKS, DISTANCE = 5, 48, 16, 31
-#: Shingles that one task of a comparison holds of either side, 8 bytes each; a text with more is alone there.
+#: Shingles that one task holds, 8 bytes each, of the sets compared with one: of a hub's (RIGHT), of those left for the second round (LEFT). A text with more is alone there.
 LEFT, RIGHT = 1_000_000, 500_000
+#: 64-bit parts of a set's bitmap.
+MARKS = 16
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -169,6 +178,61 @@ def _parts(side: DataFrame, most: int, n_shingles: DataFrame) -> DataFrame:
     return side.join(sized, "block").select("block", "cls", F.pmod(F.xxhash64("cls"), F.col("n_parts")).alias("part"))
 
 
+def _linked(pairs: DataFrame, most: int, n_shingles: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) that link, written; each a is compared with its b's in parts of about most shingles."""
+    right = written(_parts(pairs.select(F.col("a").alias("block"), F.col("b").alias("cls")), most, n_shingles))
+    left = right.select("block", "part").distinct().select("block", F.col("block").alias("cls"), "part")
+    links = written(_compared(right.withColumn("is_left", F.lit(False)).union(left.withColumn("is_left", F.lit(True))), sets, share))
+    dropped(right)
+    return links
+
+
+def _candidates(asked: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of asked (cls, component, asks) that may link: in different components, and one of them asks.
+
+    All sets are put in one order of shingles, the rarest first. A shingle with
+    `after` shingles from it on to the set's end can be the first common one of
+    a pair only if both sets have as many after it as the link needs. So every
+    pair that links is found by its first common shingle. Bitmaps that differ in
+    more places than linked sets can rule a pair out.
+    """
+    num, den = share
+    marks = [f"mark{i}" for i in range(MARKS)]
+
+    def start_marks():
+        def run(batch):
+            odd = np.array([np.bincount(np.frombuffer(x, np.uint64).view(np.int64) & (64 * MARKS - 1), minlength=64 * MARKS) & 1 for x in batch.column("shingles").to_pylist()], np.uint8)
+            parts = np.packbits(odd, axis=1).view(np.int64)
+            return {"cls": batch.column("cls")} | {m: pa.array(parts[:, i]) for i, m in enumerate(marks)}
+
+        return run
+
+    def start():
+        def run(batch):
+            found = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+            sizes = [len(x) for x in found]
+            return {"shingle": signed(np.concatenate(found)), "cls": pa.array(np.repeat(batch.column("cls").to_numpy(), sizes)), "size": pa.array(np.repeat(np.array(sizes, np.int64), sizes))}
+
+        return run
+
+    these = sets.join(asked, "cls", "left_semi").select("cls", "shingles")
+    with small_batches(sets.sparkSession, 200):
+        each = written(map_arrow(these, start, "shingle long, cls long, size long"))
+        marked = written(map_arrow(these, start_marks, f"cls long, {' long, '.join(marks)} long").join(asked, "cls"))
+    shared = written(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
+    from_end = Window.partitionBy("cls").orderBy(F.desc("n"), "shingle")
+    ranked = each.join(shared, "shingle").withColumn("after", F.row_number().over(from_end).cast("long")).where(F.col("after") * den >= F.col("size") * num)
+    firsts = written(ranked.drop("n").join(marked, "cls"))
+    dropped(each, shared, marked)
+    smaller = firsts.where(F.col("after") * (num + den) >= F.col("size") * (2 * num)).select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("cls", "size", "after", "component", "asks", *marks)))
+    larger = (F.col("size") > F.col("size_b")) | (F.col("size") == F.col("size_b")) & (F.col("cls") > F.col("cls_b"))
+    enough = F.least("after", "after_b") * (num + den) >= (F.col("size") + F.col("size_b")) * num
+    apart = (F.col("component") != F.col("component_b")) & (F.col("asks") | F.col("asks_b"))
+    differing = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_b"))) for m in marks), F.lit(0))
+    alike = differing * (num + den) <= (F.col("size") + F.col("size_b")) * (den - num)
+    return firsts.join(smaller, "shingle").where(larger & enough & apart & alike).select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct()
+
+
 def classes_of(rows: DataFrame) -> DataFrame:
     """cls, set_key, n_shingles, signature, least (doc_id), source (a row with that set): a row for each set that rows have."""
     source = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("source")
@@ -214,34 +278,27 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int]
     sets = written(_sets(docs, classes.join(wanted, "cls", "left_semi"), size))
 
     n_shingles = classes.select("cls", "n_shingles")
-    right = written(_parts(first.select(F.col("a").alias("block"), F.col("b").alias("cls")), RIGHT, n_shingles))
-    left = right.select("block", "part").distinct().select("block", F.col("block").alias("cls"), "part")
-    sides = right.withColumn("is_left", F.lit(False)).union(left.withColumn("is_left", F.lit(True)))
-    links = written(_compared(sides, sets, share).union(_of_repeated_ids(rows, classes)))
-    groups = written(components(links))
-    dropped(first, right, links)
+    links = _linked(first, RIGHT, n_shingles, sets, share)
+    groups = written(components(links.union(_of_repeated_ids(rows, classes))))
+    dropped(first, links)
 
     # Second round: where a bucket's members besides its hub are still in different components.
-    known = members.where("n > 2").join(hubs, "key").where("cls <> hub.cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "hub", F.coalesce("component", "cls").alias("component"))
+    known = members.where("n > 2").join(hubs, "key").where("cls <> hub.cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
     known = written(known)
     dropped(members, hubs)
     each = known.groupBy("key", "component").agg(F.count("*").alias("m"))
     split = written(each.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("m", "component")).alias("most")).where("k > 1").select("key", "most"))
-    split = written(known.join(split, "key").select("key", "cls", "hub", (F.col("component") != F.col("most")).alias("asks"))) if not split.isEmpty() else None
-    if split is not None:
-        # Members go by their weightiest hub, so that a group of copies is in few blocks.
-        lefts = split.where("asks").groupBy("cls").agg(F.max("hub")["cls"].alias("block"))
-        lefts = written(_parts(lefts, LEFT, n_shingles).select("cls", F.struct("block", "part").alias("block")))
-        asked = split.where("asks").join(lefts, "cls").select("block", "key").distinct()
-        rights = asked.join(split.select("key", "cls"), "key").select("block", "cls").distinct()
-        rights = written(_parts(rights, RIGHT, n_shingles).withColumn("is_left", F.lit(False)))
-        others = rights.select("block", "part").distinct().join(lefts, "block").select("block", "cls", "part", F.lit(True).alias("is_left"))
-        more = _compared(rights.union(others), sets, share)
+    if not split.isEmpty():
+        asked = known.join(split, "key").groupBy("cls").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("most")).alias("asks"))
+        asked = written(asked)
+        pairs = written(_candidates(asked, sets, share))
+        more = _linked(pairs, LEFT, n_shingles, sets, share)
         # The links' ends are components by now.
+        ends = more
         for c in "ab":
-            more = more.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
-        merged = written(components(more.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
-        dropped(lefts, rights, split)
+            ends = ends.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+        merged = written(components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+        dropped(asked, pairs, more)
         grown = classes.select(F.col("cls").alias("node")).join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         groups = grown.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     dropped(sets, known)

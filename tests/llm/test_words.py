@@ -128,6 +128,53 @@ def test_a_group_of_thousands_is_compared_in_parts(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == one and 1 < len(set(one.values())) < 2000
 
 
+def lone_copies(n):
+    """Near copies of one text, which isn't among them; only every tenth has a copy that links with it."""
+    r, rows = random.Random(13), []
+    base = prose(r, 100, 10_000).split()
+    for i in range(n):
+        w = list(base)
+        for k in r.sample(range(100), r.choice([2, 3, 4])):
+            w[k] = f"z{r.randint(0, 10**9)}"
+        rows.append(" ".join(w))
+        if i % 10 == 0:
+            w[r.randint(0, 99)] = f"z{r.randint(0, 10**9)}"
+            rows.append(" ".join(w))
+    return rows
+
+
+def test_copies_that_do_not_link_are_not_compared_in_pairs(spark, monkeypatch):
+    """The second round compares about as many pairs as link, not all pairs of a group."""
+    rounds, compared = [], neardup._compared
+
+    def counted(sides, *more):
+        rounds.append(Counter((r.block, r.part, r.is_left) for r in sides.collect()))
+        return compared(sides, *more)
+
+    monkeypatch.setattr(neardup, "_compared", counted)
+    rows = list(enumerate(lone_copies(300)))
+    check_near(spark, rows)
+    first, second = (sum(n * sides[block, part, False] for (block, part, is_left), n in sides.items() if is_left) for sides in rounds)
+    assert second < len(rows)
+
+
+def test_bitmaps_and_beginnings_keep_every_link(spark):
+    """All linked pairs of random sets of any size are candidates, those at the threshold included."""
+    r = random.Random(17)
+    numbers = [r.getrandbits(63) for _ in range(4000)]
+    found = []
+    for _ in range(150):
+        one = set(r.sample(numbers, r.choice([1, 2, 3, 7, 14, 35, 70, 400, 2000])))
+        # Of 7 k numbers 6 k are kept and k are new: 6 k of 8 k are in both.
+        gone = set(r.sample(sorted(one), r.choice([len(one) // 7, len(one) // 8, len(one) // 5, 0])))
+        found += [one, one - gone, one - gone | set(r.sample(numbers, len(gone)))]
+    sets = spark.createDataFrame([(i, bytearray(np.array(sorted(x), np.uint64).tobytes())) for i, x in enumerate(found)], "cls long, shingles binary")
+    asked = spark.createDataFrame([(i, i, i % 2 == 0) for i in range(len(found))], "cls long, component long, asks boolean")
+    got = {frozenset(p) for p in neardup._candidates(asked, sets, (75, 100)).collect()}
+    links = {frozenset((a, b)) for a in range(len(found)) for b in range(a) if (a % 2 == 0 or b % 2 == 0) and 100 * len(found[a] & found[b]) >= 75 * len(found[a] | found[b])}
+    assert len(links) > 150 and any(4 * len(found[a] & found[b]) == 3 * len(found[a] | found[b]) for a, b in links) and links <= got
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = frame(spark, ["x"]).where("false")
     assert neardup.near_duplicates(empty).count() == 0 and neardup.without_near_copies(empty).count() == 0

@@ -518,7 +518,7 @@ def q101_other_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'degraded' AS status, 'recognition_missing' AS reasons, 'नेपाल' AS converter_test, '' AS adapters""")
 def q102_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of an installation without adapters that has Nepali."""
-    return adapters.health(spark, ("nep", "eng"))
+    return adapters.health(spark, ("nep", "eng"), present=())
 
 
 @query("""WITH f AS (SELECT replace(p_name, ' ', '.') || CASE p_partkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '' ELSE '/a' END AS name, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN NULL ELSE p_type END AS text, CASE WHEN p_partkey % 7 = 0 THEN 'no' END AS error FROM part)

@@ -6,7 +6,7 @@ mapInPandas on the executors. Nothing here imports such a library.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +44,10 @@ def rows(files: DataFrame, kind: str, name: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SCHEMAS[kind])
 
 
-def health(spark: SparkSession, languages: tuple[str, ...] = ()) -> DataFrame:
-    """One row: status, reasons, converter_test, adapters. The built-in converter is tried on a word; languages are those that recognition has."""
+def health(spark: SparkSession, languages: tuple[str, ...] = (), present: Iterable[tuple[str, str]] | None = None) -> DataFrame:
+    """One row: status, reasons, converter_test, adapters. The built-in converter is tried on a word; languages are those that recognition has, present the adapters' (kind, name), else those registered in this process."""
+    present = sorted(_ADAPTERS if present is None else present)
     made = transliterated(F.lit("g]kfn"), PREETI)
-    reasons = F.array_compact(F.array(F.lit(None if "nep" in languages else "nep_missing"), F.lit(None if any(kind == "words" for kind, _ in _ADAPTERS) else "recognition_missing"), F.when(~made.contains("नेपाल"), "converter_failed")))
-    known = F.lit(",".join(sorted(f"{kind}:{name}" for kind, name in _ADAPTERS)))
+    reasons = F.array_compact(F.array(F.lit(None if "nep" in languages else "nep_missing"), F.lit(None if any(kind == "words" for kind, _ in present) else "recognition_missing"), F.when(~made.contains("नेपाल"), "converter_failed")))
+    known = F.lit(",".join(sorted(f"{kind}:{name}" for kind, name in present)))
     return spark.range(1).select(F.when(F.size(reasons) > 0, "degraded").otherwise("ok").alias("status"), F.array_join(reasons, ",").alias("reasons"), made.alias("converter_test"), known.alias("adapters"))

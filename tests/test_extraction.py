@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import blocks
-from pagewright.plans import extraction
+from pagewright.plans import checks, extraction
 from pagewright.sources import adapters
 from pagewright.streaming import queries as streams
 
@@ -55,6 +55,16 @@ def test_adapters(spark):
         adapters.register("nothing", "x", None)
 
 
+def test_health_with_and_without_registered_adapters(spark, monkeypatch):
+    """The query tells of an installation without adapters, whatever the process has registered; health tells of these by default."""
+    monkeypatch.setattr(adapters, "_ADAPTERS", {("words", "b"): None, ("codes", "a"): None})
+    state = lambda df: df.select("status", "reasons", "adapters").collect()
+    assert state(adapters.health(spark, ("nep",))) == [("ok", "", "codes:a,words:b")]
+    assert state(adapters.health(spark)) == [("degraded", "nep_missing", "codes:a,words:b")]
+    assert state(adapters.health(spark, ("nep",), present=[("codes", "a")])) == [("degraded", "recognition_missing", "codes:a")]
+    assert state(checks.q102_health(spark, "")) == [("degraded", "recognition_missing", "")]
+
+
 def run_stream(df, name, mode):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()

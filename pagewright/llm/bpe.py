@@ -17,7 +17,7 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import duckdb
@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import slices, texts_of, trimmed
 
 LONG_WORD = 1000
 #: Text taken at a time, and words that are remembered; both bound a task's memory.
@@ -139,8 +139,11 @@ class TextCoder:
         if len(self.known_ids) > REMEMBERED:
             self.known_ids, self.known_text = {}, {}
         ids, text = self.known_ids, self.known_text
-        cut = [self.pieces.split(t) for t in batch]
-        new = set(chain.from_iterable(cut)) - ids.keys()
+        # Equal pieces share one string.
+        same: dict[str, str] = {}
+        cut = [list(map(same.setdefault, ps, ps)) for ps in map(self.pieces.split, batch)]
+        new = same.keys() - ids.keys()
+        del same
         # A space and letters, or letters alone, are one word in any of the patterns; so is each word by itself.
         single = {p for p in new if p.isalpha() or p[1:].isalpha() and p[0] == " "}
         split = {p: self.pattern.findall(p) for p in new - single}
@@ -154,7 +157,7 @@ class TextCoder:
             yield b"".join(map(ids.__getitem__, parts)), b"".join(map(text.__getitem__, parts))
 
 
-def batches(texts: list[str]) -> Iterator[list[str]]:
+def batches(texts: Iterable[str]) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -171,14 +174,21 @@ def _coded(docs: DataFrame, vocabulary: str, pattern: str, make: Callable, schem
 
     def each(found):
         coder = None
-        for batch in found:
-            if not batch.num_rows:
-                continue
-            coder = coder or TextCoder(ranks_of(data.value), pattern)
-            ids, texts, at = batch.column("doc_id"), [x or "" for x in batch.column("text").to_pylist()], 0
-            for part in batches(texts):
-                yield make(ids.slice(at, len(part)), list(coder.code(part)))
-                at += len(part)
+        try:
+            for batch in found:
+                if not batch.num_rows:
+                    continue
+                if coder is None:
+                    coder = TextCoder(ranks_of(data.value), pattern)
+                    trimmed()
+                ids, at = batch.column("doc_id"), 0
+                texts = (x or "" for piece in slices([batch]) for x in piece.column("text").to_pylist())
+                for part in batches(texts):
+                    yield make(ids.slice(at, len(part)), list(coder.code(part)))
+                    at += len(part)
+        finally:
+            coder = batch = ids = texts = part = None
+            trimmed()
 
     return docs.mapInArrow(each, schema)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import uuid
 import weakref
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 SHIFT = np.uint64(33)
+#: Rows with texts that a Python function takes at a time.
+ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +46,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/pagewright/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to shared storage and read again: its lineage ends here and lost executors don't repeat it."""
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, written to shared storage and read again: its lineage ends here and lost executors don't repeat it. rows: at most so many in an Arrow batch, where these hold texts."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    df.write.parquet(folder)
+    with small_batches(spark, rows) if rows else nullcontext():
+        df.write.parquet(folder)
     released(spark)
     out = spark.read.schema(df.schema).parquet(folder)
     _FOLDERS[out] = folder
@@ -63,11 +68,11 @@ def dropped(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """For a job that runs inside the block: fewer rows in an Arrow batch, where a task needs its memory for other things."""
+def small_batches(spark: SparkSession, rows: int = ROWS):
+    """For a job that runs inside the block: at most so many rows in an Arrow batch, where a task needs its memory for other things."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
     try:
         yield
     finally:
@@ -80,6 +85,20 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trimmed() -> None:
+    """Gives memory that a Python worker no longer uses back to the system. Workers stay for later tasks, beside which they would hold all that any task before needed."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ROWS rows, none of them empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def word_numbers(words: list[bytes]) -> np.ndarray:
     """64-bit numbers of words. Hashing a word costs less than looking it up among many."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -123,13 +142,18 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch that returns one batch, a table's columns or None."""
+    """mapInArrow for a function of one batch that returns one batch, a table's columns or None; a task's end gives back its memory."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = f()
-        for batch in batches:
-            if batch.num_rows and (out := run(batch)) is not None:
-                yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
+        run = batch = out = None
+        try:
+            run = f()
+            for batch in batches:
+                if batch.num_rows and (out := run(batch)) is not None:
+                    yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
+        finally:
+            run = batch = out = None
+            trimmed()
 
     return df.mapInArrow(each, schema)
 

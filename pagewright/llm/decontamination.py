@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mixed, windows, written
+from .common import ROWS, map_arrow, mixed, windows, written
 
 #: Templates in a run, fewest templates of an item that can match by them, and templates that a match must cover (or the whole item).
 WINDOW, SHORTEST, COVER = 8, 5, 13
@@ -215,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not sizes:
         return items.selectExpr("item_id as doc_id", "item_id", "cast(0 as long) as n_windows", "cast(0 as long) as n_slots", "false as reparameterised").where("false")
     by_values = F.when(F.col("dense"), F.xxhash64("slots")).otherwise(F.lit(0)).alias("by_values")
-    runs = written(_runs(docs, "doc_id", sizes, bitmap.view(np.uint64)).drop("fixed", "same_first").select("*", by_values))
+    runs = written(_runs(docs, "doc_id", sizes, bitmap.view(np.uint64)).drop("fixed", "same_first").select("*", by_values), ROWS)
     wanted = items.select("item_id", F.col("n").alias("item_n"), "size", "window", F.col("place").alias("item_place"), F.col("pattern").alias("item_pattern"), F.col("slots").alias("item_slots"), F.col("dense").alias("item_dense"), "fixed", "same_first", by_values)
     group = ["doc_id", "item_id", "offset"]
     found = [*group, "item_n", "size", "item_place", "item_slots", "slots", "dense", "fixed"]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIX_1, dropped, map_arrow, mixed, signed, small_batches, texts, texts_of, windows, word_numbers, written
+from .common import MIX_1, ROWS, dropped, map_arrow, mixed, signed, small_batches, texts, texts_of, windows, word_numbers, written
 from .components import components
 
 SHINGLE, SLOTS, CHUNKS, DISTANCE = 5, 48, 16, 31
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int]
     by their texts; component_id and kept are null where no linked row has
     one. Other columns are ignored.
     """
-    rows = written(signed_sets(docs, size, slots))
+    rows = written(signed_sets(docs, size, slots), ROWS)
     classes = classes_of(rows)
     keys = index_keys(classes, slots, chunks, distance)
     # Written, so that the joins have shuffles of their own on both sides and a very common key can be split.
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int]
     first = written(_near(first, classes, distance))
     wide = members.where("n > 2").join(hubs, "key").where("cls <> hub.cls").select("cls").distinct()
     wanted = first.select(F.col("a").alias("cls")).union(first.select("b")).union(wide).distinct()
-    sets = written(_sets(docs, classes.join(wanted, "cls", "left_semi"), size))
+    sets = written(_sets(docs, classes.join(wanted, "cls", "left_semi"), size), ROWS)
 
     n_shingles = classes.select("cls", "n_shingles")
     links = _linked(first, RIGHT, n_shingles, sets, share)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, slices, trimmed
 
 BITS = 18
 #: Labelled rows at most that the classifier is fitted on, characters of these at most, and passes over them.
@@ -122,13 +122,17 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, *more: str) -> Dat
 
     def each(found):
         hashes, (w, b) = Hashes(), model.value
-        for batch in found:
-            z = []
-            for t in batch.column("text").to_pylist():
-                i, x = features(t or "", hashes, bits)
-                z.append(float(w[i] @ x) + b)
-            score = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(score, pa.float64())} | {c: batch.column(c) for c in more})
+        try:
+            for batch in slices(found):
+                z = []
+                for t in batch.column("text").to_pylist():
+                    i, x = features(t or "", hashes, bits)
+                    z.append(float(w[i] @ x) + b)
+                score = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(score, pa.float64())} | {c: batch.column(c) for c in more})
+        finally:
+            hashes = batch = None
+            trimmed()
 
     schema = "doc_id long, score double" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(each, schema)
@@ -141,11 +145,15 @@ def accepted(docs: DataFrame, weights: np.ndarray, bias: float, least: float = 0
 
     def each(found):
         hashes, (w, b) = Hashes(), model.value
-        for batch in found:
-            keep = []
-            for t in batch.column("text").to_pylist():
-                i, x = features(t or "", hashes, bits)
-                keep.append(1 / (1 + np.exp(-min(max(float(w[i] @ x) + b, -35), 35))) >= least)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        try:
+            for batch in slices(found):
+                keep = []
+                for t in batch.column("text").to_pylist():
+                    i, x = features(t or "", hashes, bits)
+                    keep.append(1 / (1 + np.exp(-min(max(float(w[i] @ x) + b, -35), 35))) >= least)
+                yield batch.filter(pa.array(keep, pa.bool_()))
+        finally:
+            hashes = batch = None
+            trimmed()
 
     return docs.mapInArrow(each, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_arrow, texts, texts_of, windows, word_numbers, written
+from .common import ROWS, dropped, map_arrow, texts, texts_of, windows, word_numbers, written
 
 WINDOW, SHORT = 35, 8
 #: Bits of a minimiser's position in its document.
@@ -183,7 +183,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -
     apart. Other columns are ignored.
     """
     docs = texts_of(docs).withColumn("text_hash", F.xxhash64("text"))
-    look = written(_first_look(docs, window, short))
+    look = written(_first_look(docs, window, short), ROWS)
     source = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("source")
     classes = look.groupBy("words_key").agg(source, F.count("*").alias("copies"), F.first("n_words").alias("n")).where(F.col("n") >= window)
     classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), "words_key", "copies", F.col("source.doc_id").alias("source_doc"), F.col("source.text_hash").alias("source_hash")))
@@ -195,7 +195,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -
     hits = anchors.join(twice, "anchor").groupBy("cls").agg(F.collect_list("anchor").alias("hits"))
     hits = written(hits.join(classes.select("cls", "source_doc", "source_hash"), "cls"))
     dropped(twice)
-    read = written(_edges(docs.join(hits, is_source), window, short))
+    read = written(_edges(docs.join(hits, is_source), window, short), ROWS)
     dropped(hits)
     if not read.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
         # Rows with the same id and text have all been read.
@@ -204,7 +204,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -
 
     here = spans.select("cls", "at", "n")
     there = spans.select(F.col("source_id").alias("cls"), F.col("source_at").alias("at"), "n")
-    digests = written(_digests(read.select("cls", "text").join(_wanted(here.union(there).distinct()), "cls"), window))
+    digests = written(_digests(read.select("cls", "text").join(_wanted(here.union(there).distinct()), "cls"), window), ROWS)
     same = (
         spans.join(digests, ["cls", "at", "n"])
         .withColumnRenamed("digest", "own")
@@ -212,7 +212,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, short: int = SHORT) -
         .where("own = digest")
     )
     covered = same.select("cls", "at", "n").union(same.select(F.col("source_id"), F.col("source_at"), "n")).distinct()
-    left = written(_kept(read.select("cls", "text").join(_wanted(covered), "cls"), window))
+    left = written(_kept(read.select("cls", "text").join(_wanted(covered), "cls"), window), ROWS)
     dropped(read, spans, digests)
 
     nothing = F.lit(hashlib.sha256(b"").digest())
